@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm import groupjoin, lookalike, minhash, pairs_defects, residue
+from marlspike.llm import encode, groupjoin, leaks, lookalike, minhash, pairs_defects, residue
 from marlspike.session import table
 
 
@@ -32,12 +32,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.equal_looking_pairs(table(spark, d, "predict_requests"), "request_id", "message")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_matches(spark, d).where("kind = 'phrase'").select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents")).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_report, p7_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
