@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm import encode, groupjoin, leaks, lookalike, minhash, pairs_defects, residue
+from marlspike.llm import encode, groupjoin, leaks, lookalike, minhash, pairs_defects, pii, residue
 from marlspike.session import table
 
 
@@ -19,6 +19,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groupjoin.near_duplicate_groups(table(spark, d, "messages"), "msg_id", "text").select(F.col("id").alias("msg_id"), "group_id")
 
 
+def _personal(spark: SparkSession, d: str, texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    model = pii.train(pii.training_sample(table(spark, d, "predict_requests"), table(spark, d, "predict_responses")))
+    return pii.find_personal_data(texts, model, keys)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    one = table(spark, d, "predict_requests").select("request_id", F.lit("message").alias("field"), F.col("message").alias("text"))
+    two = table(spark, d, "predict_responses").select("request_id", F.lit("message_masked").alias("field"), F.col("message_masked").alias("text"))
+    # most masked messages equal the message: each text of a request is searched once
+    texts = one.unionByName(two).where("text is not null").groupBy("request_id", "text").agg(F.collect_set("field").alias("fields"))
+    found = _personal(spark, d, texts, ("request_id", "fields"))
+    return found.select("request_id", F.explode("fields").alias("field"), "kinds").select("request_id", "field", F.explode("kinds").alias("kind")).distinct()
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "predict_requests").select("request_id", F.col("message").alias("text")).distinct()
+    return _personal(spark, d, texts, ("request_id",)).select("request_id", "masked")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = minhash.cross_split_pairs(table(spark, d, "messages"), "msg_id", "text", "split")
     return pairs.select(F.least("id_t", "id_h").alias("id_a"), F.greatest("id_t", "id_h").alias("id_b")).distinct()
@@ -49,7 +68,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_masked, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
