@@ -6,7 +6,7 @@ import re
 
 # Frequent words that tell the Latin-script languages apart.
 WORDS = {
-    "en": "the and of a in from on to for with at my it by before after not that is each you over if but which was when file order can so week please near be your am how like were this should we do i are will new any me what why loan would he she they them their our us stop only who says than nothing often same bill since around where there has had have did does about because until through more less some other no yes hello hi thanks thank you're don't can't won't isn't sorry help need want give send cancel refund late slow again good morning evening ok okay order's just also its into out up off then else".split(),
+    "en": "the and of a in from on to for with at my it by before after not that is each you over if but which was when file order can so week please near be your am how like were this should we do i are will new any me what why loan would he she they them their our us stop only who says than nothing often same bill since around where there has had have did does about because until through more less some other no yes hello hi thanks thank you're don't can't won't isn't sorry help need want give send cancel refund late slow again good morning evening ok okay order's just also its into out up off then else give agent person someone somebody speak talk call get got let see very much many who whom tell ask say said make made take took come came going went could can't cannot must might every never always only still already today tomorrow yesterday working works".split(),
     "fr": "le la les et de des du une un pour avant reçu d'aide à vous par puis depuis au aux chez ce cette vérifier commande jours pouvez avec merci carte essayez je j'ai me mon ma mes pas ne n'est n'ai n'arrive est sont suis été et ou où qui que quand comment combien pourquoi votre vos nous ici moins fois avoir être l'application l'erreur l'agence colis facture forfait numéro souhaite voudrais impossible bonjour merci svp s'il plaît aucun aucune personne toujours encore déjà répond quelle quel c'est d'un d'une il elle on sur dans sans vers sous entre mais donc car si très trop peu beaucoup virement reste bloqué dossier".split(),
     "tl": "ang ng sa na po at mag para ninyo mula ako kayo kayong ko mo ito iyon hindi pa pero bago noong ay mga kay kapag kung dahil paki pakitingnan tingnan nag nagpadala naglipat nais kong gusto palitan ilipat walang wala may maaari maaaring puwedeng pumunta tulong makita numero resibo tayo siya sila kami namin natin nila niya lang din rin naman opo oo salamat kumusta magandang araw ano anong bakit saan nasaan kailan paano pakibuksan buksan makapasok ayaw sobrang bagal signal dito doon ngayon beses tumawag sumasagot dapat gawin nakabinbin habang nagbabayad aking akong iyan".split(),
     "arabizi": "el fi men ma w 3ala ma3 gabl 3end 7ag raqm bas laish leish hatha hathi hay hni 6alab chi mal abi abgha shu shno aish yani wayed kil li elli ela la2ni 3an ghair marra marrat nafs badal zyada mob mab mo enta enti ana ani inta int e7na hom shlon shloon keef kaif wain wein mta meta sar 9ar ba3ad al7een le7een lain ila ya allah salam marhaba shukran mashkoor mashkooreen khabrooni fahmooni sawait asawi ygool galoo galo raddkum a7taj dafa3t 7awalt wasal wasalni kartti fatorti raqmi malaf baqat mablagh jihaz bdoon khasm rosoom yom gool esmi emaili 3nwani ismi abi abgy la na3am tayeb zain bukra ams youm shay hal lazem".split(),

@@ -479,11 +479,13 @@ def training_sample(requests: DataFrame, responses: DataFrame, rows: int = SAMPL
 
 
 _ID_PASSPORT = re.compile(r"[A-Za-z]{1,2} ?\d{7}")
+_FORM_LABEL = (1, 2, 3, 3, 4)
 
 
 def kinds_in(text: str, offs: list[tuple[int, int]], lab: np.ndarray) -> list[tuple[str, int, int]]:
     """Runs of one label as (kind, start, end), after an exact check of what a run of the kind must hold."""
     out = []
+    forms = spans(plain(text))
     i = 0
     while i < len(lab):
         k = int(lab[i])
@@ -492,6 +494,9 @@ def kinds_in(text: str, offs: list[tuple[int, int]], lab: np.ndarray) -> list[tu
             j += 1
         if k:
             a, b = offs[i][0], offs[j - 1][1]
+            inside = [(x, y) for x, y, f in forms if _FORM_LABEL[f] == k and x < b and y > a]
+            if inside and k in (1, 2, 3):
+                a, b = min(x for x, _ in inside), max(y for _, y in inside)
             run = plain(text[a:b])
             digits = sum(c.isdigit() for c in run)
             kind = LABELS[k]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm import encode, groupjoin, leaks, lookalike, minhash, pairs_defects, pii, residue
+from marlspike.llm import encode, groupjoin, langid, leaks, lookalike, minhash, pairs_defects, pii, residue
 from marlspike.session import table
 
 
@@ -38,6 +38,36 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d, texts, ("request_id",)).select("request_id", "masked")
 
 
+def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with ``lang_hint`` and replies with ``reply_lang``; replies without content stay out."""
+    one = table(spark, d, "predict_requests").select("request_id", F.lit("message").alias("field"), F.col("message").alias("text"), F.col("lang_hint").alias("given"))
+    bare = F.regexp_replace(F.lower("reply"), r"[^\p{L}\p{N}/]", "")
+    two = table(spark, d, "predict_responses").where(~bare.isin("", "/", *NO_REPLY)).select("request_id", F.lit("reply").alias("field"), F.col("reply").alias("text"), F.col("reply_lang").alias("given"))
+    return one.unionByName(two).where("text is not null").select("request_id", "field", "text", langid.label_column("given").alias("label")).distinct()
+
+
+NO_REPLY = ("null", "none", "nil", "nan", "na", "n/a", "nul", "void", "undefined", "empty", "blank")
+
+
+def _language_network(spark: SparkSession, d: str) -> langid.Network:
+    return langid.train(langid.labelled_sample(table(spark, d, "predict_requests"), "message", "lang_hint") + langid.labelled_sample(table(spark, d, "predict_responses"), "reply", "reply_lang"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = langid.detect(_labelled_texts(spark, d), _language_network(spark, d), ("request_id", "field", "label"))
+    right = F.when(F.size("langs") > 1, F.col("label") == "mixed").otherwise(F.col("label") == F.col("langs")[0]["lang"])
+    return found.where((F.size("langs") > 0) & ~right).select("request_id", "field", F.explode("langs.lang").alias("lang")).distinct()
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    found = langid.detect(_labelled_texts(spark, d), _language_network(spark, d), ("request_id", "field"))
+    return found.select("request_id", "field", F.explode("langs").alias("x")).select("request_id", "field", "x.lang", F.round("x.confidence", 4).alias("confidence")).distinct()
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.detect_segments(_labelled_texts(spark, d), _language_network(spark, d), ("request_id", "field"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = minhash.cross_split_pairs(table(spark, d, "messages"), "msg_id", "text", "split")
     return pairs.select(F.least("id_t", "id_h").alias("id_a"), F.greatest("id_t", "id_h").alias("id_b")).distinct()
@@ -68,7 +98,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_masked, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_masked, p5_found, p5_languages, p5_segments, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
