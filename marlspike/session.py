@@ -37,3 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, at least the cores it can use."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with repeated rows counted once.
+
+    Only if a key occurs twice, which one aggregation of keys tells, are the rows themselves compared; a table of
+    unique keys is not shuffled.
+    """
+    return df if df.groupBy(key).count().where("count > 1").isEmpty() else df.distinct()
