@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlspike.llm import encode, groupjoin, langid, leaks, lookalike, minhash, pairs_defects, pii, residue
+from marlspike.llm import encode, groupjoin, langid, leaks, lookalike, minhash, pairs_defects, pii, residue, unigram
 from marlspike.session import table
 
 
@@ -38,6 +38,10 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d, texts, ("request_id",)).select("request_id", "masked")
 
 
+def p4_budget(spark: SparkSession, d: str) -> DataFrame:
+    return unigram.token_budget(unigram.record_texts(table(spark, d, "hub_rows"), table(spark, d, "hub_sources")))
+
+
 def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Messages with ``lang_hint`` and replies with ``reply_lang``; replies without content stay out."""
     one = table(spark, d, "predict_requests").select("request_id", F.lit("message").alias("field"), F.col("message").alias("text"), F.col("lang_hint").alias("given"))
@@ -98,7 +102,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_masked, p5_found, p5_languages, p5_segments, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_masked, p4_budget, p5_found, p5_languages, p5_segments, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
