@@ -16,6 +16,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from marlspike.session import once
+
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pre-tokenizer pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,9 +99,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     twice (one aggregation of ids) are the rows themselves compared. Null ids are kept as they are.
     """
     path = os.path.join(folder, f"{tokenizer}.tiktoken")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    if not base.groupBy("doc_id").count().where("count > 1").isEmpty():
-        base = base.distinct()
+    base = once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "doc_id")
     id_type = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):  # noqa: ANN001, ANN202

@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from marlspike.session import cut, once
+
 # How unfilled fields are written, with F for the field's name.
 FIELD_FORMS = (
     r"\{\{\s*F\s*\}\}", r"\$\{\s*F\s*\}", r"(?<![\{\$\w])\{\s*F\s*\}(?!\})", r"\[\[\s*F\s*\]\]", r"(?<!\[)\[\s*F\s*\](?![\](])",
@@ -89,7 +91,7 @@ FIRST_WORDS = frozenset(
     " kindly enable activate turn allow switch noscript update upgrade checking verifying one this we loading يرجى الرجاء فضلا veuillez pakibuksan paki pakion i براہ"
     " sample dummy placeholder filler example copy text content description headline title summary todo tbd xxx fixme first second third fourth paragraph sub subtitle caption button body call our your add insert nothing نص هنا يضاف texte".split()
 )
-INNER_LITERALS = ("الرابط /", "العنوان /", "le lien /", "l'adresse /", "something went wrong", "page has gone missing", "session has ", "incident id", "ray id", "request id", "not connect to ", "انتهت", "javascript", "script", "cookies", "browser is ", "browser has ", " here", "replace before launch", "edit me", "lorem ipsum")
+INNER_LITERALS = ("الرابط /", "العنوان /", "le lien /", "l'adresse /", "something went wrong", "page has gone missing", "session has ", "incident id", "ray id", "request id", "not connect to ", "انتهت", "javascript", "script", "cookies", "browser is ", "browser has ", "your text", "your slogan", "your address", "your photo", "your paragraph", "your name", "your copy", "replace before launch", "edit me", "lorem ipsum")
 #: Characters without which a text can't hold a field.
 MAYBE_FIELD = re.compile(r"[{\[<%@]|__|XX_")
 
@@ -197,20 +199,23 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     form), never as a list of one host. Null, empty and blank texts and empty tables give no rows; repeated rows
     count once.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).where("_t is not null and trim(_t) <> ''").dropDuplicates(["doc_id", "_t"])
+    base = once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")), "doc_id").where("doc_id is not null and _t is not null and trim(_t) <> ''")
 
     def first(batches):  # noqa: ANN001, ANN202
-        """Per document: its verdict without subtraction, and whether any line holds evidence."""
+        """The documents that are excluded as they stand, and with their text those that hold any evidence."""
         for b in batches:
-            v, hint = [], []
-            for t in b.column("_t").to_pylist():
-                x = verdict(t)
-                v.append(x)
-                hint.append(x is None and any_evidence(t))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_t"), b.column("host"), pa.array(v, pa.string()), pa.array(hint, pa.bool_())], names=["doc_id", "_t", "host", "kind", "hint"])
+            at, kinds, texts = [], [], []
+            for i, t in enumerate(b.column("_t").to_pylist()):
+                k = verdict(t)
+                if k or any_evidence(t):
+                    at.append(i)
+                    kinds.append(k)
+                    texts.append(None if k else t)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), pa.array(texts, pa.string()), b.column("host").take(rows), pa.array(kinds, pa.string())], names=["doc_id", "_t", "host", "kind"])
 
     id_type = base.schema["doc_id"].dataType.simpleString()
-    seen = base.mapInArrow(first, f"doc_id {id_type}, _t string, host string, kind string, hint boolean")
+    seen = cut(base.mapInArrow(first, f"doc_id {id_type}, _t string, host string, kind string"))
     form = lambda c: F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\p{N}+", "0"), r"\s+", " ")))
     lines = base.select("host", F.explode(F.array_distinct(F.transform(F.split("_t", "\n"), form))).alias("form"))
     sizes = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
@@ -218,7 +223,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lines.groupBy("host", "form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).join(sizes, "host").where(F.col("n") >= F.col("docs") * MIN_SHARE).select("host", "form")
     )
     sure = seen.where("kind is not null").select("doc_id", "kind")
-    open_lines = seen.where("hint").select("doc_id", "host", F.posexplode(F.split("_t", "\n")).alias("pos", "line")).withColumn("form", form(F.col("line")))
+    open_lines = seen.where("kind is null").select("doc_id", "host", F.posexplode(F.split("_t", "\n")).alias("pos", "line")).withColumn("form", form(F.col("line")))
     left = open_lines.join(recurrent.withColumn("menu", F.lit(True)), ["host", "form"], "left")
 
     @F.arrow_udf("boolean")
