@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +46,12 @@ def once(df: DataFrame, key: str) -> DataFrame:
     unique keys is not shuffled.
     """
     return df if df.groupBy(key).count().where("count > 1").isEmpty() else df.distinct()
+
+
+def settled(c: Column) -> Column:
+    """``c`` computed once per row, whatever reads it later.
+
+    The optimizer merges neighbouring projections and would repeat a long expression at every use; a generator of
+    one element stands between them.
+    """
+    return F.explode(F.array(c))
