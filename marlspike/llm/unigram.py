@@ -224,7 +224,7 @@ def vocabulary(path: str) -> Unigram:
 
 
 #: Cost of any piece beside its rank: each further piece is paid for, so that long pieces win as merging lets them.
-COST_SHIFT = 3.0
+COST_SHIFT = 2.0
 
 
 def count_tokens(df: DataFrame, text_col: str, out: str = "tokens", tokenizer: str = "piece_bpe_32k", folder: str = TOKENIZERS) -> DataFrame:
