@@ -92,6 +92,15 @@ def without_placeholders(c: Column) -> Column:
     return F.regexp_replace(c, PLACEHOLDER, " ")
 
 
+def count_latin(c: Column) -> Column:
+    """Latin letters of a text, counted as what their removal leaves out."""
+    return F.length(c) - F.length(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", ""))
+
+
+def count_arabic(c: Column) -> Column:
+    return F.length(c) - F.length(F.regexp_replace(c, f"{ARABIC_CHAR}+", ""))
+
+
 def latin_words(c: Column) -> Column:
     """Latin words of a text, number-and-suffix tokens taken out."""
     bare = F.regexp_replace(c, f"(?<!{W})(?:{ENGLISH_NUMERIC})(?!{W})", " ")
@@ -101,7 +110,7 @@ def latin_words(c: Column) -> Column:
 def detect_lang(c: Column) -> Column:
     """ar, en, mixed, arabizi or other, by the share of Arabic letters and of Arabizi words."""
     t = without_placeholders(c)
-    ar, lat = F.regexp_count(t, F.lit(ARABIC_CHAR)), F.regexp_count(t, F.lit("[A-Za-z]"))
+    ar, lat = count_arabic(t), count_latin(t)
     words = latin_words(t)
     hits = F.size(F.filter(words, lambda w: w.rlike(ARABIZI_WORD) | F.lower(w).isin(ARABIZI_LIST)))
     ratio = ar / (ar + lat)
@@ -144,7 +153,7 @@ def words(c: Column) -> Column:
 def quality_reason(c: Column, min_chars: int, max_chars: int, min_letters: float, min_words: int, min_unique: float) -> Column:
     """The first rule that fails (too_short, too_long, low_letter_ratio, repetitive), else ok."""
     ws = words(c)
-    letters = F.regexp_count(c, F.lit("[A-Za-z]")) + F.regexp_count(c, F.lit(ARABIC_CHAR))
+    letters = count_latin(c) + count_arabic(c)
     return (
         F.when(c.isNull() | (F.length(c) < min_chars), "too_short")
         .when(F.length(c) > max_chars, "too_long")

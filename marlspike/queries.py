@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marlspike.functions import jsonio, text as T
 from marlspike.operators import dedup, joins, metrics, sampling, tokens
 from marlspike.plans import pipeline
-from marlspike.session import cut, settled, table
+from marlspike.session import cut, settled, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -66,7 +66,7 @@ def _lang_sql(k: str, c: str, f: str, more: str = "") -> str:
 
 
 def corpus_clean(spark: SparkSession, d: str, cfg: pipeline.PipelineConfig = pipeline.PRETRAIN) -> DataFrame:
-    return pipeline.run_pipeline(_docs(spark, d).select("doc_id", "text", "source"), "doc_id", cfg)
+    return pipeline.run_pipeline(spread(_docs(spark, d).select("doc_id", "text", "source")), "doc_id", cfg)
 
 
 @query()

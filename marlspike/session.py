@@ -55,3 +55,12 @@ def settled(c: Column) -> Column:
     one element stands between them.
     """
     return F.explode(F.array(c))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over the session's cores where its files give fewer partitions than that.
+
+    Only inputs of a few splits are repartitioned, so what moves is at most a split per core.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
