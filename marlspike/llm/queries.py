@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlspike.llm import encode, groupjoin, langid, leaks, lookalike, minhash, pairs_defects, pii, residue, unigram
-from marlspike.session import table
+from marlspike.session import spread, table
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "messages"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return groupjoin.near_duplicate_groups(table(spark, d, "messages"), "msg_id", "text").select(F.col("id").alias("msg_id"), "group_id")
+    return groupjoin.near_duplicate_groups(_messages(spark, d), "msg_id", "text").select(F.col("id").alias("msg_id"), "group_id")
 
 
 def _personal(spark: SparkSession, d: str, texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -73,12 +81,12 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = minhash.cross_split_pairs(table(spark, d, "messages"), "msg_id", "text", "split")
+    pairs = minhash.cross_split_pairs(_messages(spark, d), "msg_id", "text", "split")
     return pairs.select(F.least("id_t", "id_h").alias("id_a"), F.greatest("id_t", "id_h").alias("id_b")).distinct()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.overlap_report(minhash.cross_split_pairs(table(spark, d, "messages"), "msg_id", "text", "split", keep=("split", "source")))
+    return minhash.overlap_report(minhash.cross_split_pairs(_messages(spark, d), "msg_id", "text", "split", keep=("split", "source")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,11 +94,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_corpus(table(spark, d, "documents"))
+    return encode.encode_corpus(_documents(spark, d))
 
 
 def p9_matches(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.find_leaks(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +106,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.find_residue(table(spark, d, "documents")).select("doc_id")
+    return residue.find_residue(_documents(spark, d)).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
