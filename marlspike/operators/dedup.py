@@ -108,3 +108,28 @@ def near_copies(new: DataFrame, fixed: DataFrame, key: str, exact: str, items: s
     hit = pairs.where(F.col("a").startswith("f:") & F.col("b").startswith("n:")).select(F.substring("b", 3, 64).alias("k")).distinct()
     near = rest.join(hit, rest[key].cast("string") == hit["k"], "left_semi").select(key, F.lit("near").alias("kind"))
     return same.unionByName(near)
+
+
+def new_only(new: DataFrame, seen: DataFrame, text: str, order: str) -> DataFrame:
+    """The rows of ``new`` whose text neither stands in ``seen`` nor before them in ``new``."""
+    fresh = exact_dedup(new, text, order).where("first").drop("first")
+    key = text_key(F.col(text))
+    known = seen.select(key.alias("_k")).distinct()
+    return fresh.withColumn("_k", key).join(known, "_k", "left_anti").drop("_k")
+
+
+def decontaminate(train: DataFrame, held: DataFrame, key: str, exact: str, items: str, num: int, den: int) -> DataFrame:
+    """``train`` without the rows that repeat a held-out row exactly or nearly."""
+    hit = near_copies(train, held, key, exact, items, num, den).select(key).distinct()
+    return train.join(hit, key, "left_anti")
+
+
+def example_copies(rows: DataFrame, examples: list[str], text: str, max_jaccard: float) -> Column:
+    """Whether a text shares more than ``max_jaccard`` of its words with one of the given prompt examples."""
+    from marlspike.functions.text import jaccard, plain_words
+
+    own = plain_words(F.col(text))
+    out = F.lit(False)
+    for e in examples:
+        out = out | (jaccard(own, plain_words(F.lit(e))) >= max_jaccard)
+    return out

@@ -28,3 +28,25 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     n = new.select(key, F.col(order).alias("_n"), *[F.col(c).alias(f"n_{c}") for c in fields])
     both = o.join(n, key, "full_outer")
     return both.select(key, *[F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in fields], F.coalesce("_g", F.lit(1)).alias("added"), F.coalesce("_o", "_n").alias(order))
+
+
+def rewrites(rows: DataFrame, fixed: DataFrame, verdicts: DataFrame, keys: list[str], text: str, good: str) -> DataFrame:
+    """``rows`` with ``text`` replaced where a rewrite exists that was judged ``good``; ``rewritten`` tells where.
+
+    A rewrite without a verdict is not used, a row without a rewrite stays as it is.
+    """
+    usable = fixed.join(verdicts.where(F.col("verdict") == good).select(*keys), keys, "left_semi").select(*keys, F.col(text).alias("_t")).dropDuplicates(keys)
+    out = rows.join(usable, keys, "left")
+    return out.withColumn("rewritten", F.col("_t").isNotNull()).withColumn(text, F.coalesce("_t", text)).drop("_t")
+
+
+def next_ids(new: DataFrame, taken: DataFrame, key: str, order: str, prefix: str = "t", width: int = 4) -> DataFrame:
+    """``new`` with the next free ids behind the largest of ``taken``, dense by ``order``.
+
+    New rows of a review are few; they are numbered in one ordered pass.
+    """
+    from pyspark.sql import Window as Win
+
+    top = taken.agg(F.max(F.substring(key, len(prefix) + 1, 18).cast("long"))).first()[0] or 0
+    n = F.row_number().over(Win.orderBy(order)) + F.lit(top)
+    return new.withColumn(key, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))

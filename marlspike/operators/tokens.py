@@ -72,3 +72,36 @@ def train_flops_per_token(layers: Column, width: Column, vocab: Column) -> Colum
 def route(valid: Column, fits: Column, conf: Column, threshold: float) -> Column:
     """on_device for a valid, fitting, sure answer; else escalate. Nulls escalate."""
     return F.when(F.coalesce(valid & fits & (conf >= threshold), F.lit(False)), "on_device").otherwise("escalate")
+
+
+def sample_windows(df: DataFrame, length: str, seq: int, draws: int, seed: int) -> DataFrame:
+    """``draws`` window starts over all shards, each start equally likely; windows never span shards.
+
+    The number of starts per shard is summed once; every draw is a hash of its number and meets its shard by range.
+    """
+    starts = df.where(F.col(length) > seq).withColumn("_n", F.col(length) - seq)
+    off = running_offsets(starts, "shard", "_n")
+    total = starts.agg(F.sum("_n")).first()[0]
+    if not total:
+        raise ValueError(f"no shard holds more than {seq} tokens")
+    at = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("at"))
+    # shards are few (one per hundred million tokens); the draws meet them by range
+    return at.join(F.broadcast(off), (F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("_n"))).select("draw", "shard", (F.col("at") - F.col("offset")).alias("start"))
+
+
+def verify_tokens(docs: DataFrame, shards: DataFrame, tokens: str, eos: int, vocab: int) -> DataFrame:
+    """docs, eos, tokens_in, tokens_out, largest, ok: whether shards hold all documents, each closed by ``eos``."""
+    a = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(tokens) + 1), F.lit(0)).alias("tokens_in")).first()
+    b = shards.agg(F.coalesce(F.sum(F.size(F.filter(tokens, lambda x: x == eos))), F.lit(0)).alias("eos"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("tokens_out"), F.max(F.array_max(tokens)).alias("largest"))
+    return b.withColumns({"docs": F.lit(a["docs"]), "tokens_in": F.lit(a["tokens_in"])}).withColumn("ok", (F.col("docs") == F.col("eos")) & (F.col("tokens_in") == F.col("tokens_out")) & (F.coalesce("largest", F.lit(0)) < vocab))
+
+
+def pre_tokens(c: Column, letters_with_digits: bool = False) -> Column:
+    """Pieces of a text before merging: words with a leading blank, digits by threes, other runs, white space.
+
+    ``letters_with_digits`` keeps a digit between letters inside its word, as Arabizi writes sounds.
+    """
+    word = r" ?\p{L}[\p{L}\p{M}]*"
+    if letters_with_digits:
+        word = r" ?(?:\p{N}(?=\p{L}))?\p{L}(?:[\p{L}\p{M}]|\p{N}(?=\p{L})|[2356789](?![\p{N}]))*"
+    return F.regexp_extract_all(c, F.lit(rf"({word}|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}]+|\s+)"))

@@ -523,3 +523,48 @@ def first_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT replace(replace(reply, '|', '\\|'), chr(10), ' ') AS cell, count(*) AS n FROM {PAIRS_SQL} WHERE reply IS NOT NULL GROUP BY 1")
 def table_cells(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).where("reply is not null").groupBy(T.cell(F.col("reply")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ assembly
+
+
+@query("""WITH n AS (SELECT msg_id, md5(lower(text)) AS k, row_number() OVER (PARTITION BY md5(lower(text)) ORDER BY msg_id) AS r FROM messages WHERE split IN ('dev', 'test') AND text IS NOT NULL)
+SELECT msg_id FROM n WHERE r = 1 AND k NOT IN (SELECT md5(lower(text)) FROM messages WHERE split = 'train' AND text IS NOT NULL)""")
+def new_rows_only(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").where("text is not null").select("msg_id", "text", "split")
+    return dedup.new_only(m.where("split in ('dev', 'test')"), m.where("split = 'train'"), "text", "msg_id").select("msg_id")
+
+
+@query()
+def decontaminated_train(spark: SparkSession, d: str) -> DataFrame:
+    m = cut(table(spark, d, "messages").where("text is not null and trim(text) <> ''").select("msg_id", "split", settled(T.canonical(F.col("text"))).alias("key")).select("*", settled(dedup.lower_words(F.col("key"))).alias("_w")).select("msg_id", "split", "key", settled(dedup.shingles_of(F.col("_w"), 3)).alias("items")))
+    return dedup.decontaminate(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 4, 5).select("msg_id")
+
+
+@query("""WITH r AS (SELECT DISTINCT request_id, reply FROM predict_responses), f AS (SELECT request_id, min(message_masked) AS t FROM predict_responses WHERE message_masked IS NOT NULL GROUP BY 1),
+ v AS (SELECT request_id FROM predict_responses WHERE intent = 'small_talk' GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (v.request_id IS NOT NULL AND f.t IS NOT NULL) AS rewritten FROM r LEFT JOIN f USING (request_id) LEFT JOIN v USING (request_id)""")
+def rewritten_replies(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "predict_responses")
+    rows = r.select("request_id", "reply").distinct()
+    fixed = r.where("message_masked is not null").groupBy("request_id").agg(F.min("message_masked").alias("reply"))
+    verdicts = r.where("intent = 'small_talk'").select("request_id").distinct().withColumn("verdict", F.lit("OK"))
+    out = joins.rewrites(rows, fixed, verdicts, ["request_id"], "reply", "OK")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if("rewritten").alias("rewritten"))
+
+
+@query("SELECT name, 't' || lpad((row_number() OVER (ORDER BY name) + 42)::VARCHAR, 4, '0') AS id FROM intents")
+def numbered_intents(spark: SparkSession, d: str) -> DataFrame:
+    taken = spark.createDataFrame([("t0007",), ("t0042",)], "id string")
+    return joins.next_ids(table(spark, d, "intents").select("name"), taken, "id", "name")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, ' ?\p{L}[\p{L}\p{M}]*|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+'))::BIGINT AS pieces FROM documents WHERE text IS NOT NULL")
+def pre_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", F.size(tokens.pre_tokens(F.col("text"))).cast("bigint").alias("pieces"))
+
+
+@query()
+def sampled_windows(spark: SparkSession, d: str) -> DataFrame:
+    shards = _docs(spark, d).where("text is not null").groupBy(F.floor(F.col("doc_id") / 1000).alias("shard")).agg(F.sum(F.length("text")).alias("n"))
+    return tokens.sample_windows(shards, "n", 128, 256, 5)

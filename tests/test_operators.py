@@ -318,3 +318,37 @@ def test_stream_dedup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select lower(t) from seen").distinct().count() == spark.table("seen").count() == 2
+
+
+def test_pre_tokens(spark):
+    t = "3andi ma3a sa7 covid19 2026"
+    df = spark.createDataFrame([(t,)], "t string")
+    r = df.select(tokens.pre_tokens(F.col("t")).alias("a"), tokens.pre_tokens(F.col("t"), True).alias("b")).first()
+    assert r["a"][:3] == ["3", "andi", " ma"] and "".join(r["a"]) == t
+    assert r["b"] == ["3andi", " ma3a", " sa7", " covid", "19", " ", "202", "6"]
+
+
+def test_sample_windows(spark):
+    df = spark.createDataFrame([(0, 100), (1, 30), (2, 5)], "shard long, n long")
+    got = tokens.sample_windows(df, "n", 8, 64, 1).collect()
+    assert len(got) == 64 and {r["shard"] for r in got} == {0, 1} and all(0 <= r["start"] < (92 if r["shard"] == 0 else 22) for r in got)
+    with pytest.raises(ValueError):
+        tokens.sample_windows(df, "n", 100, 4, 1)
+
+
+def test_verify_tokens(spark):
+    docs = spark.createDataFrame([([5, 6],), ([7],)], "t array<int>")
+    good = spark.createDataFrame([([5, 6, 0],), ([7, 0],)], "t array<int>")
+    bad = spark.createDataFrame([([5, 6, 7],), ([7, 0],)], "t array<int>")
+    assert tokens.verify_tokens(docs, good, "t", 0, 8).first()["ok"] and not tokens.verify_tokens(docs, bad, "t", 0, 8).first()["ok"]
+
+
+def test_assembly(spark):
+    new = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, "c")], "i int, t string")
+    assert rows(dedup.new_only(new, spark.createDataFrame([("B",)], "t string"), "t", "i").select("i")) == [(1,), (4,)]
+    fixed = spark.createDataFrame([(1, "x"), (3, "y")], "i int, t string")
+    verdicts = spark.createDataFrame([(1, "OK"), (3, "BROKEN")], "i int, verdict string")
+    assert rows(joins.rewrites(new, fixed, verdicts, ["i"], "t", "OK").select("i", "t", "rewritten")) == [(1, "x", True), (2, "A", False), (3, "b", False), (4, "c", False)]
+    assert rows(joins.next_ids(spark.createDataFrame([("b",), ("a",)], "n string"), spark.createDataFrame([("t0009",)], "id string"), "id", "n")) == [("a", "t0010"), ("b", "t0011")]
+    df = spark.createDataFrame([("where is my order",), ("something else entirely",)], "t string")
+    assert [r[0] for r in df.select(dedup.example_copies(df, ["Where is my order?"], "t", 0.7)).collect()] == [True, False]
