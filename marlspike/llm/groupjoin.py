@@ -18,9 +18,9 @@ from marlspike.operators.components import connected_components
 from marlspike.operators.pairs import expand_pairs
 from marlspike.session import cut
 
-#: Counters of the frequency sketch that orders shingles: a fixed 2 MB, whatever the corpus holds. Any order gives
+#: Counters of the frequency sketch that orders shingles: a fixed 1 MB, whatever the corpus holds. Any order gives
 #: the same result; the sketch only puts common shingles last, so that prefixes are rare.
-SKETCH_BITS = 18
+SKETCH_BITS = 17
 #: Postings of one shingle per block of the candidate join.
 BLOCK = 2048
 
@@ -39,9 +39,9 @@ def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
             part = at[i : i + 65_536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
 
-    got = sets.select("set").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = sets.select("set").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return out
 
 

@@ -146,8 +146,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 10, doc_id: str = "
             continue
         index = cut(index_postings(docs, doc_id, doc_text, vocabulary))
         freq = np.zeros(len(vocabulary), np.int64)
-        for t, n in index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().toPandas().itertuples(index=False):
-            freq[t] = n
+        # a row per term of the block's vocabulary
+        counted = index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        freq[counted.column("t").to_numpy()] = counted.column("n").to_numpy()
         shared = spark.sparkContext.broadcast([(i, ids, anchors_of(ids, freq, run)) for i, ids in listed])
 
         def search(batches, shared=shared):  # noqa: ANN001, ANN202
