@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marlspike.llm import lexicon
+from marlspike.session import cut
 
 ORDER = ("empty", "echo", "refusal", "truncated", "wrong_language")
 
@@ -216,6 +217,8 @@ def defects(requests: DataFrame, responses: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("request_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["request_id", *ORDER, "finished", "a", "b", "c"])
 
     judged = r.join(q, "request_id").select("request_id", "_m", "_r", "_f").mapInArrow(judge, schema)
+    # pairs with a defect or an open end only; both branches below read them
+    judged = cut(judged.where("empty or echo or refusal or truncated or wrong_language or c is not null"))
     asked = judged.where("c is not null").select("request_id", "finished", F.explode(keys()).alias("k")).select("request_id", "finished", "k.level", "k.key")
     # five keys a reply: a list of bounded length
     levels = asked.join(stats, "key", "left").groupBy("request_id").agg(F.collect_list(F.when(F.col("occ").isNotNull(), F.struct("level", "ends", "occ", "common"))).alias("x"), F.bool_and("finished").alias("finished"))
