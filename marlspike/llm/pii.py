@@ -528,7 +528,7 @@ def kinds_in(text: str, offs: list[tuple[int, int]], lab: np.ndarray) -> list[tu
             ok = {
                 "EMAIL": lambda: "@" in run or re.search(r"\bat\b", run, re.I),
                 "PHONE": lambda: digits >= 7 or len(re.findall(r"[^\W\d_]+", run)) >= 6,
-                "ID": lambda: digits >= 15 or _ID_PASSPORT.search(run) or (digits == 7 and i > 0),
+                "ID": lambda: digits >= 15 or _ID_PASSPORT.search(run) or (digits == 7 and a > 0 and text[a - 1].isalpha()),
                 "ADDRESS": lambda: digits >= 1,
                 "NAME": lambda: digits == 0 and len(run) >= 4,
             }[kind]()

@@ -113,5 +113,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_masked, p4_budget, p5_found, p5_languages, p5_segments, p6_found, p6_report, p7_found, p8_ids, p9_found, p9_matches, p10_found)}
 
 
+_SETS = r"""w AS (SELECT DISTINCT msg_id, split, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM messages WHERE text IS NOT NULL),
+ s AS (SELECT msg_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2]))) AS g FROM w WHERE len(w) >= 8),
+ n AS (SELECT msg_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.msg_id AS a, b.msg_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.msg_id < b.msg_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM c JOIN n x ON x.msg_id = a JOIN n y ON y.msg_id = b WHERE c * 8 >= (x.n + y.n) * 3)"""
+_WORDS = r"regexp_extract_all(regexp_replace(strip_accents(lower(text)), '[\x{0640}\x{064B}-\x{0652}\x{0670}]', '', 'g'), '[\p{L}\p{N}]+')"
+_RUN = "list_aggregate(w[i:i + 9], 'string_agg', ' ')"
+
+SQL = {
+    "p2_found": f"""WITH RECURSIVE {_SETS}, l AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+ r(id, seen) AS (SELECT u, u FROM l UNION SELECT l.v, r.seen FROM r JOIN l ON l.u = r.id)
+SELECT id AS msg_id, min(seen) AS group_id FROM r GROUP BY 1""",
+    "p6_found": f"""WITH {_SETS} SELECT DISTINCT a AS id_a, b AS id_b FROM e JOIN w x ON x.msg_id = a JOIN w y ON y.msg_id = b
+ WHERE (x.split = 'train' AND y.split IN ('dev', 'test')) OR (y.split = 'train' AND x.split IN ('dev', 'test'))""",
+    "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+ x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: {_RUN})) AS g FROM d WHERE len(w) >= 10),
+ y AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: {_RUN})) AS g FROM i WHERE len(w) >= 10)
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

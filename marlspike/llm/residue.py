@@ -147,6 +147,8 @@ def has_field(text: str) -> bool:
     if not MAYBE_FIELD.search(text):
         return False
     for m in FIELD.finditer(text):
+        if WORD.findall(m.group().lower()) in (["at"], ["dot"], ["sic"]):
+            continue
         a = max(text.rfind(x, 0, m.start()) for x in "\n.!?")
         b = min((i for i in (text.find(x, m.end()) for x in "\n.!?") if i >= 0), default=len(text))
         if not ABOUT_FIELDS.search(text[a + 1 : b]):
