@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from marlspike.operators.ranks import range_bucket, running
+
 
 def rate(c: Column) -> Column:
     """Share of true rows; null counts as false."""
@@ -40,13 +42,13 @@ def confusions(df: DataFrame, gold: str, pred: str, k: int) -> DataFrame:
 def coverage_at(df: DataFrame, conf: str, correct: Column, target: float) -> DataFrame:
     """threshold, coverage, accuracy: the lowest confidence from which on the answers are right often enough.
 
-    Rows are first summed per distinct confidence; the running sums go over those.
+    Rows are first summed per distinct confidence; running sums go over those in two levels.
     """
     ties = df.where(F.col(conf).isNotNull()).groupBy(F.col(conf).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(correct.cast("int")).alias("ok"))
-    w = Win.orderBy(F.desc("c")).rowsBetween(Win.unboundedPreceding, 0)
-    run = ties.select("c", F.sum("n").over(w).alias("cn"), F.sum("ok").over(w).alias("cok"), F.sum("n").over(Win.partitionBy()).alias("all"))
-    best = run.where(F.col("cok") / F.col("cn") >= target).agg(F.min_by(F.struct("c", "cn", "cok", "all"), "c").alias("x"))
-    return best.select(F.col("x.c").alias("threshold"), F.coalesce(F.col("x.cn") / F.col("x.all"), F.lit(0.0)).alias("coverage"), (F.col("x.cok") / F.col("x.cn")).alias("accuracy"))
+    total = F.lit(ties.agg(F.sum("n")).first()[0])
+    run = running(ties, [], range_bucket(ties, "c", descending=True), [F.desc("c")], {"bn": F.col("n"), "bok": F.col("ok")}).select("c", (F.col("bn") + F.col("n")).alias("cn"), (F.col("bok") + F.col("ok")).alias("cok"))
+    best = run.where(F.col("cok") / F.col("cn") >= target).agg(F.min_by(F.struct("c", "cn", "cok"), "c").alias("x"))
+    return best.select(F.col("x.c").alias("threshold"), F.coalesce(F.col("x.cn") / total, F.lit(0.0)).alias("coverage"), (F.col("x.cok") / F.col("x.cn")).alias("accuracy"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

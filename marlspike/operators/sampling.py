@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from marlspike.operators.ranks import hash_bucket, ranked, running
+
 
 def order_of(seed: int, *keys: Column) -> Column:
     """Position of a row in the seeded order."""
@@ -48,9 +50,10 @@ def sample_by_group(df: DataFrame, group: str, label: str, key: str, seed: int,
 
 def hold_out(df: DataFrame, group: str, key: str, seed: int, share: float) -> DataFrame:
     """``dev``: the first round(share * n) rows of each group in seeded order, halves rounded to even."""
-    n = F.count(F.lit(1)).over(Win.partitionBy(group))
-    r = F.row_number().over(Win.partitionBy(group).orderBy(order_of(seed, F.col(key))))
-    return df.withColumn("dev", r <= F.bround(n * F.lit(share)))
+    sizes = df.groupBy(F.col(group).alias("_sg")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranked(df.withColumn("_h", order_of(seed, F.col(key))), [group], hash_bucket(F.col("_h")), [F.col("_h"), F.col(key)], "_r")
+    out = placed.join(sizes, F.col(group).eqNullSafe(F.col("_sg")))
+    return out.withColumn("dev", F.col("_r") < F.bround(F.col("_n") * F.lit(share))).drop("_sg", "_n", "_h", "_r")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, seed: int, k: int) -> DataFrame:
@@ -65,9 +68,8 @@ def shuffle_cap(df: DataFrame, key: str, seed: int, k: int) -> DataFrame:
 
 def until_target(df: DataFrame, group: str, key: str, size: Column, target: str, seed: int) -> DataFrame:
     """Rows of each group in seeded order until their sizes reach the target; the crossing row is in; 0 means all."""
-    w = Win.partitionBy(group).orderBy(order_of(seed, F.col(key)), key).rowsBetween(Win.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return df.withColumn("_b", before).where((F.col(target) == 0) | (F.col("_b") < F.col(target))).drop("_b")
+    placed = running(df.withColumn("_h", order_of(seed, F.col(key))), [group], hash_bucket(F.col("_h")), [F.col("_h"), F.col(key)], {"_before": size})
+    return placed.where((F.col(target) == 0) | (F.col("_before") < F.col(target))).drop("_before", "_h")
 
 
 def plan_requests(intents: DataFrame, varieties: list[str], repeats: int) -> DataFrame:

@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from marlspike.operators.ranks import BUCKETS, hash_bucket, range_bucket, ranked, running
 
-def running_offsets(df: DataFrame, order: str, size: str, buckets: int = 64) -> DataFrame:
-    """``offset`` of every row: the sizes of all rows before it by ``order``.
 
-    Two levels: rows are cut into ranges of ``order``; sums run within a range, range totals are added. No task
-    sorts the whole table.
-    """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    ranged = df.withColumn("_b", F.least(F.floor((F.col(order) - lo) * buckets / (hi - lo + 1)), F.lit(buckets - 1)).cast("int"))
-    totals = ranged.groupBy("_b").agg(F.sum(size).alias("_t")).withColumn("_s", F.coalesce(F.sum("_t").over(Win.orderBy("_b").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    w = Win.partitionBy("_b").orderBy(order).rowsBetween(Win.unboundedPreceding, -1)
-    inner = ranged.withColumn("_i", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    return inner.join(F.broadcast(totals), "_b").withColumn("offset", F.col("_i") + F.col("_s")).drop("_b", "_i", "_s")
+def running_offsets(df: DataFrame, order: str, size: str, buckets: int = BUCKETS) -> DataFrame:
+    """``offset`` of every row: the sizes of all rows before it by ``order``."""
+    return running(df, [], range_bucket(df, order, buckets=buckets), [F.col(order)], {"offset": F.col(size)})
 
 
 def shard_pieces(df: DataFrame, size: str, shard_size: int) -> DataFrame:
@@ -53,16 +45,19 @@ def softmax(scores: Column) -> Column:
 
 
 def length_batches(df: DataFrame, order: Column, length: str, chunk: int, batch: int, group: str) -> DataFrame:
-    """``batch`` numbers: rows of a group in seeded order are cut into chunks, sorted by length there and batched."""
-    pos = F.row_number().over(Win.partitionBy(group).orderBy(order)) - 1
-    chunked = df.withColumn("_c", F.floor(pos / (chunk * batch)))
-    r = F.row_number().over(Win.partitionBy(group, "_c").orderBy(length, order)) - 1
-    return chunked.withColumn("batch", F.col("_c") * chunk + F.floor(r / batch)).drop("_c")
+    """``batch`` numbers: rows of a group in seeded order are cut into chunks, sorted by length there and batched.
+
+    ``order`` is a hexadecimal hash. A chunk has ``chunk * batch`` rows at most.
+    """
+    placed = ranked(df.withColumn("_h", order), [group], hash_bucket(F.col("_h")), [F.col("_h")], "_p")
+    chunked = placed.withColumn("_c", F.floor(F.col("_p") / (chunk * batch)))
+    r = F.row_number().over(Win.partitionBy(group, "_c").orderBy(length, "_h")) - 1
+    return chunked.withColumn("batch", F.col("_c") * chunk + F.floor(r / batch)).drop("_c", "_h", "_p")
 
 
 def fixed_batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """``batch`` of at most ``size`` rows within a key, in order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Win.partitionBy(by).orderBy(order)) - 1) / size))
+    """``batch`` of at most ``size`` rows within a key, in the order of a number."""
+    return ranked(df, [by], range_bucket(df, order), [F.col(order)], "_p").withColumn("batch", F.floor(F.col("_p") / size)).drop("_p")
 
 
 def train_flops_per_token(layers: Column, width: Column, vocab: Column) -> Column:
