@@ -400,7 +400,10 @@ def seed_labels(text: str, offs: list[tuple[int, int]], marks: np.ndarray | None
 
 
 def train(pairs: list[tuple[str, str | None]], epochs: int = 4, seed: int = 7) -> Model:
-    """Fit the field on (message, masked message) by pseudo-likelihood with Adagrad, in numpy."""
+    """Fit the field on (message, masked message) by pseudo-likelihood with Adagrad, in numpy.
+
+    Without any text the field has no weights and finds nothing.
+    """
     docs = []
     counts: Counter = Counter()
     for message, masked in pairs:
@@ -460,6 +463,9 @@ def train(pairs: list[tuple[str, str | None]], epochs: int = 4, seed: int = 7) -
             flat.append(x)
             sizes.append(len(x))
             ys.append(lab[i])
+    if not flat:
+        none = np.zeros((K, K), np.float32)
+        return Model({}, np.zeros((0, K), np.float32), np.zeros((len(KINDS), K), np.float32), np.zeros(K, np.float32), none, none)
     y = np.array(ys)
     width = at_skip + K
     W = np.zeros((width, K))
