@@ -352,3 +352,14 @@ def test_assembly(spark):
     assert rows(joins.next_ids(spark.createDataFrame([("b",), ("a",)], "n string"), spark.createDataFrame([("t0009",)], "id string"), "id", "n")) == [("a", "t0010"), ("b", "t0011")]
     df = spark.createDataFrame([("where is my order",), ("something else entirely",)], "t string")
     assert [r[0] for r in df.select(dedup.example_copies(df, ["Where is my order?"], "t", 0.7)).collect()] == [True, False]
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("b", "x|y", 1), ("a", None, 2)], "k string, t string, n int")
+    assert readers.render_markdown(df, ["k"]).splitlines()[2:] == ["| a |  | 2 |", "| b | x\\|y | 1 |"]
+    with pytest.raises(ValueError):
+        readers.render_markdown(df, ["k"], most=1)
+    readers.write_review(df, str(tmp_path / "r"), ["k", "n"], ["k"])
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "r")).collect()] == [("a", "2"), ("b", "1")]
+    with pytest.raises(ValueError):
+        readers.intent_table(spark, [{"name": "a", "domain": "d", "description": ""}] * 2)
