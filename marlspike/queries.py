@@ -38,10 +38,13 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Requests with their responses, repeated rows once."""
-    q = table(spark, d, "predict_requests").select("request_id", "message", "channel", "lang_hint").distinct()
-    r = table(spark, d, "predict_responses").select("request_id", "intent", "reply", "confidence", "route", "valid_json", "reply_fits", "finished", "latency_ms").distinct()
+_REQUEST_COLUMNS = ("message", "channel", "lang_hint")
+
+
+def _pairs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Requests with their responses, repeated rows once; only the named columns are read."""
+    q = table(spark, d, "predict_requests").select("request_id", *[c for c in cols if c in _REQUEST_COLUMNS]).distinct()
+    r = table(spark, d, "predict_responses").select("request_id", *[c for c in cols if c not in _REQUEST_COLUMNS]).distinct()
     return q.join(r, "request_id")
 
 
@@ -113,7 +116,7 @@ def normalized_messages(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def reply_guard(spark: SparkSession, d: str) -> DataFrame:
     allowed = {"english": ["en"], "gulf_arabic": ["ar"], "arabizi": ["ar"], "mixed": ["ar", "mixed"]}
-    return _pairs(spark, d).select("request_id", T.reply_fits(F.col("message"), F.col("reply"), allowed).alias("fits"))
+    return _pairs(spark, d, "message", "reply").select("request_id", T.reply_fits(F.col("message"), F.col("reply"), allowed).alias("fits"))
 
 
 @query(r"""SELECT count(*) FILTER (regexp_matches(reply, '(?i)\b(has been|have been|is now|are now|was sent|were sent|is frozen|is blocked|emailed you|we( have|''ve)? (frozen|blocked|sent|cancelled|canceled|refunded|updated|activated|changed|reset|unblocked|credited|reversed))\b')
@@ -153,7 +156,7 @@ def joined_columns(spark: SparkSession, d: str) -> DataFrame:
   list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(reply), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS b FROM x)
 SELECT count(*) FILTER (len(list_intersect(a, b)) >= 0.5 * len(list_distinct(list_concat(a, b))) AND len(list_concat(a, b)) > 0) AS alike, count(*) AS pairs FROM y""")
 def copied_replies(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where("message is not null and reply is not null").select("request_id", "message", "reply").distinct()
+    p = _pairs(spark, d, "message", "reply").where("message is not null and reply is not null").select("request_id", "message", "reply").distinct()
     a, b = (T.plain_words(F.regexp_replace(c, T.S, " ")) for c in ("message", "reply"))
     alike = F.size(F.array_intersect(a, b)) * 2 >= F.size(F.array_union(a, b))
     return p.agg(F.count_if(alike & (F.size(F.array_union(a, b)) > 0)).alias("alike"), F.count(F.lit(1)).alias("pairs"))
@@ -340,7 +343,7 @@ def tag_confusions(spark: SparkSession, d: str) -> DataFrame:
  r AS (SELECT c, sum(n) OVER (ORDER BY c DESC) AS cn, sum(ok) OVER (ORDER BY c DESC) AS cok, sum(n) OVER () AS a FROM p)
 SELECT c AS threshold, round(cn / a, 9) AS coverage, round(cok / cn, 9) AS accuracy FROM r WHERE cok / cn >= 0.93 ORDER BY c LIMIT 1""")
 def coverage_at_target(spark: SparkSession, d: str) -> DataFrame:
-    x = metrics.coverage_at(_pairs(spark, d), "confidence", F.coalesce(F.col("reply_fits"), F.lit(False)), 0.93)
+    x = metrics.coverage_at(_pairs(spark, d, "confidence", "reply_fits"), "confidence", F.coalesce(F.col("reply_fits"), F.lit(False)), 0.93)
     return x.select("threshold", F.round("coverage", 9).alias("coverage"), F.round("accuracy", 9).alias("accuracy"))
 
 
@@ -348,7 +351,7 @@ def coverage_at_target(spark: SparkSession, d: str) -> DataFrame:
  FROM {PAIRS_SQL} GROUP BY ROLLUP (intent)""")
 def answer_rates(spark: SparkSession, d: str) -> DataFrame:
     r = lambda c: F.round(metrics.rate(F.col(c)), 9)
-    return _pairs(spark, d).rollup("intent").agg(F.grouping("intent").cast("bigint").alias("overall"), F.count(F.lit(1)).alias("n"), r("valid_json").alias("valid"), r("reply_fits").alias("fits"), r("finished").alias("finished"))
+    return _pairs(spark, d, "intent", "valid_json", "reply_fits", "finished").rollup("intent").agg(F.grouping("intent").cast("bigint").alias("overall"), F.count(F.lit(1)).alias("n"), r("valid_json").alias("valid"), r("reply_fits").alias("fits"), r("finished").alias("finished"))
 
 
 @query("SELECT variety, split, count(*) AS n FROM messages GROUP BY GROUPING SETS ((variety, split), (split))")
@@ -382,7 +385,7 @@ def distinct_bigrams(spark: SparkSession, d: str) -> DataFrame:
 SELECT intent, round(greatest(0, (k/n + 3.8416/(2*n)) / (1 + 3.8416/n) - 1.96 * sqrt((k/n)*(1-k/n)/n + 3.8416/(4*n*n)) / (1 + 3.8416/n)), 9) AS lo,
  round(least(1, (k/n + 3.8416/(2*n)) / (1 + 3.8416/n) + 1.96 * sqrt((k/n)*(1-k/n)/n + 3.8416/(4*n*n)) / (1 + 3.8416/n)), 9) AS hi FROM x""")
 def wilson_intervals(spark: SparkSession, d: str) -> DataFrame:
-    x = _pairs(spark, d).where("intent is not null").groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if("reply_fits").alias("k"))
+    x = _pairs(spark, d, "intent", "reply_fits").where("intent is not null").groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if("reply_fits").alias("k"))
     lo, hi = metrics.wilson(F.col("k"), F.col("n"))
     return x.select("intent", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
@@ -390,32 +393,32 @@ def wilson_intervals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH x AS (SELECT intent, count(*) AS n, count(*) FILTER (reply_fits) AS k FROM {PAIRS_SQL} WHERE intent IS NOT NULL GROUP BY 1), y AS (SELECT *, n / sum(n) OVER () AS share FROM x)
 SELECT round(sum(share * k / n) / sum(share), 9) AS rate FROM y""")
 def weighted_fit_rate(spark: SparkSession, d: str) -> DataFrame:
-    x = _pairs(spark, d).where("intent is not null").groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if("reply_fits").alias("k"))
+    x = _pairs(spark, d, "intent", "reply_fits").where("intent is not null").groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if("reply_fits").alias("k"))
     total = x.agg(F.sum("n")).first()[0]
     return metrics.weighted_rate(x.withColumn("share", F.col("n") / F.lit(total)), "k", "n", "share").select(F.round("rate", 9).alias("rate"))
 
 
 @query()
 def bootstrap_difference(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
+    p = _pairs(spark, d, "reply_fits", "finished")
     return metrics.paired_bootstrap(p, "request_id", F.coalesce(F.col("reply_fits"), F.lit(False)), F.coalesce(F.col("finished"), F.lit(False)))
 
 
 @query(f"SELECT route, median(latency_ms) AS median, quantile_disc(latency_ms, 0.95) AS p95 FROM {PAIRS_SQL} GROUP BY 1")
 def latency_by_route(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).groupBy("route").agg(*metrics.latency("latency_ms"))
+    return _pairs(spark, d, "route", "latency_ms").groupBy("route").agg(*metrics.latency("latency_ms"))
 
 
 @query(f"SELECT round(avg(CASE WHEN valid_json IS NOT DISTINCT FROM finished THEN 1.0 ELSE 0 END), 9) AS same_flags, round(avg(CASE WHEN message IS NOT DISTINCT FROM reply THEN 1.0 ELSE 0 END), 9) AS same_text FROM {PAIRS_SQL}")
 def agreement_rates(spark: SparkSession, d: str) -> DataFrame:
-    x = metrics.agreement(_pairs(spark, d), {"same_flags": ("valid_json", "finished"), "same_text": ("message", "reply")})
+    x = metrics.agreement(_pairs(spark, d, "valid_json", "finished", "message", "reply"), {"same_flags": ("valid_json", "finished"), "same_text": ("message", "reply")})
     return x.select(F.round("same_flags", 9).alias("same_flags"), F.round("same_text", 9).alias("same_text"))
 
 
 @query(f"SELECT count(*) FILTER (confidence >= 0.8) AS covered, count(*) FILTER (confidence >= 0.8 AND reply_fits) AS right_ones FROM {PAIRS_SQL}")
 def covered_answers(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("confidence") >= 0.8
-    return _pairs(spark, d).agg(F.count_if(c).alias("covered"), F.count_if(c & F.col("reply_fits")).alias("right_ones"))
+    return _pairs(spark, d, "confidence", "reply_fits").agg(F.count_if(c).alias("covered"), F.count_if(c & F.col("reply_fits")).alias("right_ones"))
 
 
 @query("""WITH x AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, max(d) AS spike FROM x GROUP BY 1""")
@@ -425,31 +428,31 @@ def value_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH x AS (SELECT lang_hint, avg(CASE WHEN reply_fits THEN 1.0 ELSE 0 END) AS r FROM {PAIRS_SQL} WHERE lang_hint IS NOT NULL GROUP BY 1), y AS (SELECT lower(lang_hint) AS g, avg(r) AS m FROM x GROUP BY 1) SELECT round(avg(m), 9) AS mean_of_means FROM y""")
 def mean_of_means(spark: SparkSession, d: str) -> DataFrame:
-    x = _pairs(spark, d).where("lang_hint is not null").groupBy("lang_hint").agg(metrics.rate(F.col("reply_fits")).alias("r"))
+    x = _pairs(spark, d, "lang_hint", "reply_fits").where("lang_hint is not null").groupBy("lang_hint").agg(metrics.rate(F.col("reply_fits")).alias("r"))
     return x.groupBy(F.lower("lang_hint").alias("g")).agg(F.avg("r").alias("m")).agg(F.round(F.avg("m"), 9).alias("mean_of_means"))
 
 
 @query(f"""WITH x AS (SELECT intent, avg(CASE WHEN reply_fits THEN 1.0 ELSE 0 END) AS score, median(latency_ms) AS ms FROM {PAIRS_SQL} WHERE intent IS NOT NULL GROUP BY 1)
 SELECT intent FROM x WHERE score >= (SELECT max(score) FROM x) - 0.01 ORDER BY ms, intent LIMIT 1""")
 def best_within_tie(spark: SparkSession, d: str) -> DataFrame:
-    x = _pairs(spark, d).where("intent is not null").groupBy("intent").agg(metrics.rate(F.col("reply_fits")).alias("score"), F.percentile("latency_ms", 0.5).alias("ms"))
+    x = _pairs(spark, d, "intent", "reply_fits", "latency_ms").where("intent is not null").groupBy("intent").agg(metrics.rate(F.col("reply_fits")).alias("score"), F.percentile("latency_ms", 0.5).alias("ms"))
     return metrics.select_checkpoint(x, "score", 0.01, F.col("ms"), F.col("intent")).select("intent")
 
 
 @query(f"SELECT request_id, CASE WHEN valid_json IS NULL OR reply_fits IS NULL OR finished IS NULL THEN NULL ELSE valid_json AND reply_fits AND finished END AS good FROM {PAIRS_SQL}")
 def judged_good(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("request_id", jsonio.judged_good("valid_json", "reply_fits", "finished").alias("good"))
+    return _pairs(spark, d, "valid_json", "reply_fits", "finished").select("request_id", jsonio.judged_good("valid_json", "reply_fits", "finished").alias("good"))
 
 
 @query(f"SELECT request_id, CASE WHEN coalesce(valid_json AND reply_fits AND confidence >= 0.5, false) THEN 'on_device' ELSE 'escalate' END AS route FROM {PAIRS_SQL}")
 def routing(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("request_id", tokens.route(F.col("valid_json"), F.col("reply_fits"), F.col("confidence"), 0.5).alias("route"))
+    return _pairs(spark, d, "valid_json", "reply_fits", "confidence").select("request_id", tokens.route(F.col("valid_json"), F.col("reply_fits"), F.col("confidence"), 0.5).alias("route"))
 
 
 @query()
 def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
     names = [r["name"] for r in table(spark, d, "intents").select("name").collect()]
-    rows = _pairs(spark, d).where("reply is not null").select("request_id", jsonio.target(F.coalesce("intent", F.lit("")), F.col("reply")).alias("answer"))
+    rows = _pairs(spark, d, "intent", "reply").where("reply is not null").select("request_id", jsonio.target(F.coalesce("intent", F.lit("")), F.col("reply")).alias("answer"))
     return rows.select("request_id", jsonio.parse_answer(F.col("answer"), names).alias("x")).select("request_id", "x.parsed", "x.valid", "x.intent")
 
 
@@ -522,7 +525,7 @@ def first_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT replace(replace(reply, '|', '\\|'), chr(10), ' ') AS cell, count(*) AS n FROM {PAIRS_SQL} WHERE reply IS NOT NULL GROUP BY 1")
 def table_cells(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where("reply is not null").groupBy(T.cell(F.col("reply")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return _pairs(spark, d, "reply").where("reply is not null").groupBy(T.cell(F.col("reply")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ assembly
