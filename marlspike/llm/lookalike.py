@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marlspike.operators.pairs import expand_pairs
+from marlspike.session import cut
 
 # Letters of other alphabets and the Latin letters they can't be told from, then hyphens,
 # invisible characters and spaces.
@@ -161,7 +162,8 @@ def equal_looking_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).where("id is not null and _t is not null")
     rows = canonical_column(base, "_t", "_c").select("id", F.md5("_c").alias("form"), F.md5("_t").alias("cls"))
     several = rows.groupBy("form").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("form")
-    kept = rows.join(several, "form", "left_semi").distinct()
+    # the few rows whose form has several spellings; everything below reads them again
+    kept = cut(rows.join(several, "form", "left_semi").distinct())
     spelt = kept.select("form", "cls").distinct()
     pairs = spelt.select("form", F.col("cls").alias("ca")).join(spelt.select("form", F.col("cls").alias("cb")), "form").where("ca < cb").select("ca", "cb")
     both = expand_pairs(pairs, kept.select("cls", "id"), F.col("id_a") != F.col("id_b"))
