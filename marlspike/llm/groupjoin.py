@@ -123,9 +123,10 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     group; repeated rows count once; an empty table gives no rows.
     """
     sets = cut(shingle_sets(df, id_col, text_col, k, min_words))
-    classes = sets.groupBy("cls").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
-    one = cut(sets.join(classes.select(F.col("cls"), F.col("rep").alias("id")), ["cls", "id"], "left_semi").dropDuplicates(["cls"]).select(F.col("id").alias("rep"), "n", "set"))
+    # one row per class with the set of its smallest id; copies shrink before the shuffle
+    one = cut(sets.groupBy("cls").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("copied"), F.min("n").alias("n"), F.min_by("set", "id").alias("set")))
+    classes = one.select("cls", "rep", "copied")
     links = near_duplicate_links(one, num, den)
     labels = connected_components(links.select(F.col("ra").alias("u"), F.col("rb").alias("v")))
-    grouped = classes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").where("label is not null or copies > 1").select("cls", F.coalesce("label", "rep").alias("group_id"))
+    grouped = classes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").where("label is not null or copied").select("cls", F.coalesce("label", "rep").alias("group_id"))
     return sets.select("id", "cls").join(grouped, "cls").groupBy("id").agg(F.min("group_id").alias("group_id"))
