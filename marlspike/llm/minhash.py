@@ -54,8 +54,7 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str,
     use = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), side.alias("side"), *[F.col(c).alias(f"k_{c}") for c in keep]).where("side is not null")
     kept = tuple(f"k_{c}" for c in keep)
     sets = cut(shingle_sets(use, "_id", "_text", k, min_words, keep=("side", *kept)))
-    classes = sets.groupBy("cls").agg(F.min("id").alias("rep"), F.max(F.col("side") == "t").alias("in_t"), F.max(F.col("side") == "h").alias("in_h"))
-    one = cut(sets.join(classes.withColumnRenamed("rep", "id"), ["cls", "id"]).dropDuplicates(["cls"]).select("cls", "n", "set", "in_t", "in_h"))
+    one = cut(sets.groupBy("cls").agg(F.max(F.col("side") == "t").alias("in_t"), F.max(F.col("side") == "h").alias("in_h"), F.min("n").alias("n"), F.min_by("set", "id").alias("set")))
 
     def hashed(batches):  # noqa: ANN001, ANN202
         for b in batches:
@@ -83,7 +82,7 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str,
     a = one.select(F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("set").alias("sa"))
     b = one.select(F.col("cls").alias("cb"), F.col("n").alias("n_b"), F.col("set").alias("sb"))
     alike = cand.join(a, "ca").join(b, "cb").where(F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.col("na") + F.col("n_b")) * num).select("ca", "cb")
-    same = classes.where("in_t and in_h").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
+    same = one.where("in_t and in_h").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
     got = expand_pairs(alike.unionByName(same), sets.select("cls", "id", "side", *kept), (F.col("side_a") == "t") & (F.col("side_b") == "h") & (F.col("id_a") != F.col("id_b")))
     return got.select(F.col("id_a").alias("id_t"), F.col("id_b").alias("id_h"), *[F.col(f"k_{c}_a").alias(f"{c}_t") for c in keep], *[F.col(f"k_{c}_b").alias(f"{c}_h") for c in keep]).distinct()
 
