@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from marlspike.session import cut, settled
 
+#: Counters per set in the bound of ``close_classes``, and sets and items that one broadcast block of the fixed side
+#: holds about. All give the same result.
+FOLD = 2048
+FIXED_BLOCK = 4096
+FIXED_ITEMS = FIXED_BLOCK * 512
+
 
 def text_key(c: Column) -> Column:
     """Key of case-insensitive equality: only 32 hex digits travel in the shuffle."""
@@ -99,14 +107,87 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> Data
     return ids.select("id").distinct().join(out, "id", "left").select("id", F.col("_d").isNull().alias("keep"))
 
 
+def hashed_sets(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """(``id``, ``h``, ``n``, ``cls``) of the non-empty sets: sorted hashes, their number, a key of the whole set."""
+    hashed = sets.select(F.col(key).alias("id"), settled(F.array_sort(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))))).alias("h"))
+    return hashed.withColumn("n", F.size("h")).where("n > 0").withColumn("cls", F.md5(F.array_join(F.col("h").cast("array<string>"), " ")))
+
+
+def set_classes(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """(``cls``, ``rep``, ``n``, ``h``): one row per distinct non-empty set, with its smallest ``key``."""
+    hashed = hashed_sets(sets, key, items)
+    return hashed.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("h").alias("h"))
+
+
+def close_classes(new: DataFrame, fixed: DataFrame, num: int, den: int) -> DataFrame:
+    """(``cls``) of ``new`` with a Jaccard similarity of ``num/den`` or more to a row of ``fixed``; exact.
+
+    Both: ``cls``, ``n``, ``h``; materialised. Short character sequences are too common for prefixes to leave pairs out,
+    so all pairs are bounded instead: items fold into ``FOLD`` counters, and the product of two rows of counters is never less than
+    their overlap. What passes is counted exactly. ``fixed`` is read in blocks of about ``FIXED_BLOCK`` sets and
+    ``FIXED_ITEMS`` items.
+    """
+    spark = new.sparkSession
+    sets, total = fixed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-sets // FIXED_BLOCK), -(-total // FIXED_ITEMS))
+    out = new.select("cls").limit(0)
+    for i in range(blocks if sets else 0):
+        got = fixed.where(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == i).select("h").toArrow().column("h").combine_chunks()
+        block = spark.sparkContext.broadcast((got.flatten().to_numpy(), np.diff(got.offsets.to_numpy())))
+        out = out.unionByName(cut(new.select("cls", "h").mapInArrow(_close_to(block, num, den), "cls string")))
+        block.destroy()
+    return out.distinct()
+
+
+def _close_to(block, num: int, den: int):  # noqa: ANN001, ANN202
+    def close(batches):  # noqa: ANN001, ANN202
+        flat, sizes = block.value
+        vocab, at, df = np.unique(flat, return_inverse=True, return_counts=True)
+        # the most common items get counters of their own
+        place = np.empty(len(vocab), np.int64)
+        place[np.argsort(-df, kind="stable")] = np.arange(len(vocab)) % FOLD
+        ends = np.cumsum(sizes)
+        own = np.split(at, ends[:-1])
+        known = np.zeros((len(sizes), FOLD), np.float32)
+        np.add.at(known, (np.repeat(np.arange(len(sizes)), sizes), place[at]), 1)
+        for b in batches:
+            lists = b.column("h")
+            flat_b, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            offs = offs - offs[0]
+            hit = np.zeros(b.num_rows, bool)
+            for lo in range(0, b.num_rows, 256):
+                hi = min(lo + 256, b.num_rows)
+                items = flat_b[offs[lo] : offs[hi]]
+                rows = np.repeat(np.arange(hi - lo), np.diff(offs[lo : hi + 1]))
+                pos = np.minimum(np.searchsorted(vocab, items), len(vocab) - 1)
+                there = vocab[pos] == items
+                mine, rows = pos[there], rows[there]
+                counts = np.bincount(rows * FOLD + place[mine], minlength=(hi - lo) * FOLD).astype(np.float32).reshape(hi - lo, FOLD)
+                bound = counts @ known.T
+                n = np.diff(offs[lo : hi + 1])
+                need = (n[:, None] + sizes[None, :]) * num
+                maybe = bound * (num + den) >= need
+                cut_ = np.searchsorted(rows, np.arange(hi - lo + 1))
+                for r in np.flatnonzero(maybe.any(1)):
+                    a = mine[cut_[r] : cut_[r + 1]]
+                    has = np.zeros(len(vocab), bool)
+                    has[a] = True
+                    for j in np.flatnonzero(maybe[r]):
+                        if has[own[j]].sum() * (num + den) >= need[r, j]:
+                            hit[lo + r] = True
+                            break
+            yield pa.RecordBatch.from_arrays([b.column("cls").filter(pa.array(hit))], names=["cls"])
+
+    return close
+
+
 def near_copies(new: DataFrame, fixed: DataFrame, key: str, exact: str, items: str, num: int, den: int) -> DataFrame:
     """(``key``, ``kind``) of the rows of ``new`` that repeat ``fixed``: exact by ``exact``, else near by ``items``."""
     same = new.join(fixed.select(exact).distinct(), exact, "left_semi").select(key, F.lit("exact").alias("kind"))
-    rest = new.join(same.select(key), key, "left_anti")
-    tagged = rest.select(F.concat(F.lit("n:"), F.col(key).cast("string")).alias("id"), items).unionByName(fixed.select(F.concat(F.lit("f:"), F.col(key).cast("string")).alias("id"), items))
-    pairs = similar_pairs(tagged, "id", items, num, den)
-    hit = pairs.where(F.col("a").startswith("f:") & F.col("b").startswith("n:")).select(F.substring("b", 3, 64).alias("k")).distinct()
-    near = rest.join(hit, rest[key].cast("string") == hit["k"], "left_semi").select(key, F.lit("near").alias("kind"))
+    rest = cut(hashed_sets(new.join(same.select(key), key, "left_anti"), key, items))
+    classes = cut(rest.groupBy("cls").agg(F.first("h").alias("h")))
+    close = close_classes(classes, cut(set_classes(fixed, key, items)), num, den)
+    near = rest.join(close, "cls", "left_semi").select(F.col("id").alias(key), F.lit("near").alias("kind"))
     return same.unionByName(near)
 
 

@@ -265,11 +265,16 @@ def test_messages_in_train(spark: SparkSession, d: str) -> DataFrame:
     return m.where("split = 'test'").join(m.where("split = 'train'").select("key").distinct(), "key", "left_semi").select("msg_id")
 
 
+def _overlap_items(spark: SparkSession, d: str) -> DataFrame:
+    """Messages in canonical form with its character 3-grams, as the overlap check compares them."""
+    m = spread(table(spark, d, "messages").where("text is not null and trim(text) <> ''").select("msg_id", "split", "text")).select("msg_id", "split", settled(T.canonical(F.col("text"))).alias("key"))
+    return cut(m).withColumn("items", dedup.char_grams(F.col("key"), 3))
+
+
 @query()
 def copies_of_held_out(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages").where("text is not null and trim(text) <> ''").select("msg_id", "split", settled(T.canonical(F.col("text"))).alias("key")).select("*", settled(dedup.lower_words(F.col("key"))).alias("_w")).select("msg_id", "split", "key", settled(dedup.shingles_of(F.col("_w"), 3)).alias("items"))
-    m = cut(m)
-    return dedup.near_copies(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 4, 5)
+    m = _overlap_items(spark, d)
+    return dedup.near_copies(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 3, 5)
 
 
 # ------------------------------------------------------------------ joins
@@ -540,8 +545,8 @@ def new_rows_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def decontaminated_train(spark: SparkSession, d: str) -> DataFrame:
-    m = cut(table(spark, d, "messages").where("text is not null and trim(text) <> ''").select("msg_id", "split", settled(T.canonical(F.col("text"))).alias("key")).select("*", settled(dedup.lower_words(F.col("key"))).alias("_w")).select("msg_id", "split", "key", settled(dedup.shingles_of(F.col("_w"), 3)).alias("items")))
-    return dedup.decontaminate(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 4, 5).select("msg_id")
+    m = _overlap_items(spark, d)
+    return dedup.decontaminate(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 3, 5).select("msg_id")
 
 
 @query("""WITH r AS (SELECT DISTINCT request_id, reply FROM predict_responses), f AS (SELECT request_id, min(message_masked) AS t FROM predict_responses WHERE message_masked IS NOT NULL GROUP BY 1),
