@@ -25,12 +25,12 @@ class PipelineConfig:
     shingle_words: int
     val_frac: float
     seed: int
-    strip_diacritics: bool = True
-    unify_alef: bool = True
+    strip_diacritics: bool
+    unify_alef: bool
 
 
-PRETRAIN = PipelineConfig(20, 200_000, 0.5, 20, 0.2, None, 3, 0.005, 42)
-SMOKE = PipelineConfig(10, 4000, 0.5, 6, 0.3, (4, 5), 3, 0.2, 42)
+PRETRAIN = PipelineConfig(10, 1_000_000, 0.5, 6, 0.1, None, 3, 0.005, 42, strip_diacritics=True, unify_alef=False)
+SMOKE = PipelineConfig(10, 4000, 0.5, 6, 0.3, (4, 5), 3, 0.2, 42, strip_diacritics=True, unify_alef=True)
 
 
 def run_pipeline(docs: DataFrame, order: str, cfg: PipelineConfig) -> DataFrame:

@@ -36,3 +36,14 @@ def test_near_copies_against_all_pairs_in_blocks(spark, monkeypatch):
     want = [(i, "near") for i, s in new.items() if any(s and len(s & f) * 5 >= 3 * len(s | f) for f in fixed.values())]
     frame = lambda x, k: spark.createDataFrame([(i, f"{k}{i}", [str(v) for v in sorted(s)]) for i, s in x.items()], "i int, k string, s array<string>")
     assert rows(dedup.near_copies(frame(new, "n"), frame(fixed, "f"), "i", "k", "s", 3, 5)) == want
+
+
+def test_pretraining_keeps_long_short_and_repetitive_documents(spark, tmp_path):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(26_000))
+    assert 200_000 < len(long) < 1_000_000
+    data = [(1, "a quite long one " + long, "s"), (2, "short text", "s"), (3, " ".join(["one two three"] * 8), "s"), (4, "أنا ذاهب إلى البيت", "s"), (5, "انا ذاهب الي البيت", "s")]
+    d = written(spark, tmp_path, "documents", data, "doc_id long, text string, source string")
+    got = Q.corpus_clean(spark, d)
+    assert rows(got.select("doc_id", "status")) == [(i, "kept") for i in range(1, 6)]
+    assert got.where("doc_id = 4").first()["text"] == "أنا ذاهب إلى البيت"
+    assert sum(r["docs"] for r in Q.corpus_clean_report(spark, d).where("status = 'kept'").collect()) == 5
