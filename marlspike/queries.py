@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -79,7 +80,7 @@ def corpus_clean_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def corpus_clean_near_dup(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.pipeline_stats(corpus_clean(spark, d, pipeline.SMOKE))
+    return pipeline.pipeline_stats(corpus_clean(spark, d, replace(pipeline.PRETRAIN, near_dup=(4, 5))))
 
 
 @query(f"""SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS utf8_bytes,

@@ -47,3 +47,11 @@ def test_pretraining_keeps_long_short_and_repetitive_documents(spark, tmp_path):
     assert rows(got.select("doc_id", "status")) == [(i, "kept") for i in range(1, 6)]
     assert got.where("doc_id = 4").first()["text"] == "أنا ذاهب إلى البيت"
     assert sum(r["docs"] for r in Q.corpus_clean_report(spark, d).where("status = 'kept'").collect()) == 5
+
+
+def test_near_duplicate_stage_compares_long_documents(spark, tmp_path):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    assert len(long) > 4000
+    d = written(spark, tmp_path, "documents", [(1, long, "s"), (2, long + " end", "s")], "doc_id long, text string, source string")
+    got = Q.corpus_clean_near_dup(spark, d).groupBy("status").sum("docs")
+    assert rows(got) == [("drop_near_dup", 1), ("kept", 1)]
