@@ -209,7 +209,7 @@ def shuffled_cap(spark: SparkSession, d: str) -> DataFrame:
  y AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY md5('17:' || row_id), row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x)
 SELECT row_id, s AS source FROM y WHERE target = 0 OR b < target""")
 def until_target_chars(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "hub_sources").select(F.col("name").alias("source"), F.floor(F.col("target_chars") / 100).alias("target"))
+    h = table(spark, d, "hub_sources").select(F.col("name").alias("source"), F.col("target_chars").alias("target"))
     rows = table(spark, d, "hub_rows").where("text is not null").select("row_id", F.lower(F.trim("source")).alias("source"), F.length("text").alias("n")).distinct().join(h, "source")
     return sampling.until_target(rows, "source", "row_id", F.col("n"), "target", 17).select("row_id", "source")
 

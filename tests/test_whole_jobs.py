@@ -55,3 +55,10 @@ def test_near_duplicate_stage_compares_long_documents(spark, tmp_path):
     d = written(spark, tmp_path, "documents", [(1, long, "s"), (2, long + " end", "s")], "doc_id long, text string, source string")
     got = Q.corpus_clean_near_dup(spark, d).groupBy("status").sum("docs")
     assert rows(got) == [("drop_near_dup", 1), ("kept", 1)]
+
+
+def test_sources_fill_up_to_their_own_target(spark, tmp_path):
+    written(spark, tmp_path, "hub_sources", [("a", 100), ("b", 1000), ("c", 0)], "name string, target_chars long")
+    d = written(spark, tmp_path, "hub_rows", [(f"{s}{i}", s, "x" * 30) for s in "abc" for i in range(10)], "row_id string, source string, text string")
+    # the row that crosses 100 is in; b has less than its target, c has none
+    assert rows(Q.until_target_chars(spark, d).groupBy("source").count()) == [("a", 4), ("b", 10), ("c", 10)]
