@@ -166,6 +166,7 @@ def verdict(text: str | None, boilerplate: frozenset[str] | set[str] = frozenset
     content, first = 0, True
     inner = _inner_possible(text.lower())
     left = len(WORD.findall(text))
+    wordless = None
     for line in text.split("\n"):
         if not line.strip() or (boilerplate and form_of(line) in boilerplate):
             continue
@@ -180,7 +181,11 @@ def verdict(text: str | None, boilerplate: frozenset[str] | set[str] = frozenset
             elif n > 3:
                 content += n
                 if content > CONTENT_SHARE * (left - content + 4):
-                    return None
+                    if wordless is None:  # evidence without words counts as one
+                        wordless = sum(not WORD.search(p) for x in text.split("\n") for p in SPLIT.split(x.strip()) if p)
+                        left += wordless
+                    if content > CONTENT_SHARE * (left - content + 4):
+                        return None
     total = sum(found.values())
     if not total or content > CONTENT_SHARE * total:
         return None
