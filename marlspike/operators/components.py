@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marlspike.session import cut
+from marlspike.session import cut, merged, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,11 +26,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u is hung below the smallest of u's closed neighbourhood
         near = both(e)
         low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = merged(near.where("v > u")).join(merged(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are hung below the smallest of them
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v")))
-        e = cut(hung.where("u <> v").distinct())
+        hung = merged(large).join(merged(small_low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v")))
+        last, e = e, cut(hung.where("u <> v").distinct())
+        release(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
             break

@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the folder named in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, notebooks on one machine) gets a folder of its own.
+    Only a session on one machine that names none (tests, notebooks) gets a folder of its own; on a cluster a
+    folder of the driver would not be the executors', so a missing setting is refused there.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlspike-checkpoint-"))
 
 
@@ -35,6 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoint files of ``frames`` from ``cut``, once everything that reads them is materialised."""
+    for df in frames:
+        rdd = df._jdf.queryExecution().analyzed().rdd()
+        at = rdd.getCheckpointFile()
+        if at.isDefined():
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of sort-merge joins only.
+
+    The planner counts an array as one element and an exploded row as one row, so behind generators, Python
+    stages and checkpoints its size estimate can be far too small to choose a broadcast by.
+    """
+    return df.hint("merge")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, at least the cores it can use."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
