@@ -13,16 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marlspike.llm.shingles import shingle_sets
+from marlspike.llm.shingles import alike, shingle_sets, with_sets
 from marlspike.operators.components import connected_components
-from marlspike.operators.pairs import expand_pairs
-from marlspike.session import cut
+from marlspike.operators.pairs import expand_pairs, key_pairs
+from marlspike.session import cut, merged, release
 
 #: Counters of the frequency sketch that orders shingles: a fixed 1 MB, whatever the corpus holds. Any order gives
 #: the same result; the sketch only puts common shingles last, so that prefixes are rare.
 SKETCH_BITS = 17
-#: Postings of one shingle per block of the candidate join.
-BLOCK = 2048
 
 
 def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -50,70 +48,77 @@ def _ceil(a: Column, num: int, den: int) -> Column:
     return F.floor((a * num + (den - 1)) / den).cast("int")
 
 
-def _posting_pairs(post: DataFrame, where: Column) -> DataFrame:
-    """Pairs (``ca`` < ``cb``) of posting owners under one key, filtered by ``where`` over the columns na, pa, nb, pb.
+def prefix_ends(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end of the prefix, end of the suffix) of sets of ``n`` hashes.
 
-    ``post``: ``key``, ``g``, ``n``, ``pos``. Keys of a single owner leave before the join; those of many are cut
-    into blocks, one side scattered, the other repeated per block.
+    A set shares one of its prefix with any partner; two sets of equal size and prefix share one of what follows it.
     """
-    counted = post.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("nb_"))
-    kept = post.join(counted, "key")
-    left = kept.select("key", F.pmod(F.xxhash64("g"), F.col("nb_")).cast("int").alias("blk"), F.col("g").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = kept.select("key", F.explode(F.sequence(F.lit(0), F.col("nb_") - 1)).alias("blk"), F.col("g").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    return left.join(right, ["key", "blk"]).where((F.col("ca") < F.col("cb")) & where).select("ca", "cb").distinct()
+    need = -(-n * num // den)  # overlap that the smaller partner of any pair must reach
+    p = n - need + 1
+    both = -(-2 * n * num // (num + den))  # overlap of two sets of this size
+    return p, np.minimum(p + (n - p) - (both - p) + 1, n)
 
 
 def near_duplicate_links(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
-    """Links (``ra`` < ``rb``) between classes whose sets have a Jaccard similarity of ``num/den`` or more.
+    """Links (``ca`` < ``cb``) between classes whose sets have a Jaccard similarity of ``num/den`` or more.
 
-    ``sets``: ``rep`` (id of the class), ``n``, ``set``; materialised, as it is read several times. No candidate is
+    ``sets``: ``cls`` (id of the class), ``n``, ``set``; materialised, as it is read several times. No candidate is
     capped: the prefix, length and position filters lose no pair.
     """
-    spark = sets.sparkSession
-    freq = spark.sparkContext.broadcast(frequency_sketch(sets))
+    freq = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets))
     mask = (1 << SKETCH_BITS) - 1
 
-    def prefixes(batches):  # noqa: ANN001, ANN202
+    def ordered(b):  # noqa: ANN001, ANN202
+        """(sets from rare to common, their sizes) of a batch."""
         order = freq.value
+        ns = b.column("n").to_numpy()
+        flat = b.column("set").flatten().to_numpy(zero_copy_only=False)
+        flat = flat[np.lexsort((flat, order[flat & mask], np.repeat(np.arange(len(ns)), ns)))]
+        return flat, ns.astype(np.int64)
+
+    def grouped(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            reps, ns, groups, pre, suf, prel, sufl = b.column("rep"), b.column("n").to_numpy(), [], [], [], [], []
-            flat = b.column("set").flatten().to_numpy(zero_copy_only=False)
-            offs = np.concatenate([[0], np.cumsum(ns)])
-            for i, n in enumerate(ns):
-                s = flat[offs[i] : offs[i + 1]]
-                s = s[np.lexsort((s, order[s & mask]))]
-                need = -(-n * num // den)  # overlap that the smaller partner of any pair must reach
-                p = int(n - need + 1)
-                both = -(-2 * n * num // (num + den))  # overlap of two sets of this size
-                q = int((n - p) - (both - p) + 1)
-                groups.append(hashlib.blake2b(s[:p].tobytes() + int(n).to_bytes(4, "little"), digest_size=8).digest())
-                pre.append(s[:p])
-                suf.append(s[p : p + q])
-                prel.append(p)
-                sufl.append(len(suf[-1]))
-            g = np.frombuffer(b"".join(groups), np.int64) if groups else np.empty(0, np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32)), pa.array(np.concatenate(y) if y else np.empty(0, np.int64))) for x, y in ((prel, pre), (sufl, suf))]
-            yield pa.RecordBatch.from_arrays([reps, b.column("n"), pa.array(g), *lists], names=["rep", "n", "grp", "prefix", "suffix"])
-
-    pre = cut(sets.select("rep", "n", "set").mapInArrow(prefixes, "rep long, n int, grp long, prefix array<long>, suffix array<long>"))
-    members = pre.select(F.col("grp").alias("cls"), F.col("rep").alias("id"))
-    groups = pre.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first"))
+            flat, ns = ordered(b)
+            at = np.cumsum(ns) - ns
+            ends = at + prefix_ends(ns, num, den)[0]
+            key = [hashlib.blake2b(flat[i:j].tobytes() + int(n).to_bytes(4, "little"), digest_size=16).digest() for i, j, n in zip(at, ends, ns, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("n"), pa.array(key, pa.binary())], names=["cls", "n", "grp"])
+
+    def posted(suffix: bool):  # noqa: ANN202
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                flat, ns = ordered(b)
+                begin = np.cumsum(ns) - ns
+                lo, hi = np.zeros_like(ns), prefix_ends(ns, num, den)[0]
+                if suffix:
+                    lo, hi = prefix_ends(ns, num, den)
+                sizes = hi - lo
+                p = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)
+                at = pa.array(np.repeat(np.arange(len(ns)), sizes))
+                keys = flat[np.repeat(begin, sizes) + p]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in ("g", "n")), pa.array(p.astype(np.int32)), b.column("grp").take(at)], names=["key", "g", "n", "p", "grp"])
+
+        return run
+
+    classes = cut(sets.select("cls", "n", "set").mapInArrow(grouped, "cls long, n int, grp binary"))
+    groups = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first"))
+    chosen = lambda d: merged(sets.select("cls", "n", "set")).join(merged(d), "cls")
     # one row of postings per group: those of its first class
-    firsts = pre.join(groups.select(F.col("first").alias("rep")), "rep", "left_semi")
-    post = firsts.select(F.col("grp").alias("g"), "n", F.posexplode("prefix").alias("pos", "key"))
+    firsts = chosen(groups.select(F.col("first").alias("cls"), "grp")).select(F.col("grp").alias("g"), "n", "set", F.lit(b"").alias("grp"))
+    post = firsts.mapInArrow(posted(False), "key long, g binary, n int, p int, grp binary").drop("grp")
     na, nb, pa_, pb = (F.col(c) for c in ("na", "nb", "pa", "pb"))
     sizes = (na * num <= nb * den) & (nb * num <= na * den)
-    reach = F.lit(1) + F.least(na - pa_, nb - pb) - 1
-    across = _posting_pairs(post, sizes & (reach >= _ceil(na + nb, num, num + den)))
-    expanded = expand_pairs(across, members).select(F.least("id_a", "id_b").alias("ra"), F.greatest("id_a", "id_b").alias("rb"))
+    reach = F.least(na - pa_, nb - pb)
+    across = key_pairs(post, None, sizes & (reach >= _ceil(na + nb, num, num + den)))
+    expanded = expand_pairs(across, classes.select(F.col("grp").alias("cls"), F.col("cls").alias("id"))).select(F.least("id_a", "id_b").alias("ca"), F.greatest("id_a", "id_b").alias("cb"))
     # within a group all sizes are equal and the prefix is common: what is missing must come from the suffix
-    inner = pre.join(groups.where("size > 1").select("grp"), "grp", "left_semi").select(F.col("rep").alias("g"), "n", F.lit(0).alias("pos"), F.explode("suffix").alias("t"), "grp")
-    within = _posting_pairs(inner.select("g", "n", "pos", F.xxhash64("grp", "t").alias("key")), F.lit(True)).select(F.col("ca").alias("ra"), F.col("cb").alias("rb"))
-    cand = expanded.unionByName(within).distinct()
-    a = sets.select(F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    b = sets.select(F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return cand.join(a, "ra").join(b, "rb").where(common * (num + den) >= (F.col("na") + F.col("nb")) * num).select("ra", "rb")
+    crowded = merged(classes).join(merged(groups.where("size > 1").select("grp")), "grp").select("cls", "grp")
+    inner = chosen(crowded).select(F.col("cls").alias("g"), "n", "set", "grp").mapInArrow(posted(True), "key long, g long, n int, p int, grp binary")
+    within = key_pairs(inner.select("g", F.xxhash64("grp", "key").alias("key")), None)
+    cand = cut(expanded.unionByName(within).distinct())
+    links = cut(alike(cand, sets, "cls", num, den))
+    release(classes, cand)
+    return links
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 3, min_words: int = 8, num: int = 3, den: int = 5) -> DataFrame:
@@ -122,11 +127,13 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     ``group_id`` is the smallest id of the group. Copies count as alike. Null, empty and short texts belong to no
     group; repeated rows count once; an empty table gives no rows.
     """
-    sets = cut(shingle_sets(df, id_col, text_col, k, min_words))
-    # one row per class with the set of its smallest id; copies shrink before the shuffle
-    one = cut(sets.groupBy("cls").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("copied"), F.min("n").alias("n"), F.min_by("set", "id").alias("set")))
-    classes = one.select("cls", "rep", "copied")
-    links = near_duplicate_links(one, num, den)
-    labels = connected_components(links.select(F.col("ra").alias("u"), F.col("rb").alias("v")))
-    grouped = classes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").where("label is not null or copied").select("cls", F.coalesce("label", "rep").alias("group_id"))
-    return sets.select("id", "cls").join(grouped, "cls").groupBy("id").agg(F.min("group_id").alias("group_id"))
+    records = cut(shingle_sets(df, id_col, text_col, k, min_words))
+    # one row per class with the text of its smallest id; copies shrink before the shuffle
+    classes = records.groupBy("cls").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("copied"), F.min("n").alias("n"), F.min_by("text", "id").alias("text"))
+    one = cut(with_sets(classes, k))
+    links = near_duplicate_links(one.select(F.col("rep").alias("cls"), "n", "set"), num, den)
+    known = cut(one.select("cls", "rep", "copied"))
+    release(one)
+    labels = connected_components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    grouped = merged(known).join(merged(labels.select(F.col("v").alias("rep"), "label")), "rep", "left").where("label is not null or copied").select("cls", F.coalesce("label", "rep").alias("group_id"))
+    return merged(records.select("id", "cls")).join(merged(grouped), "cls").groupBy("id").agg(F.min("group_id").alias("group_id"))

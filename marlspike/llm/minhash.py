@@ -1,7 +1,8 @@
 """Problem 6: records of evaluation splits that recur in the training split.
 
 Minwise hashes of the shingle sets are banded into buckets; only bucket mates from different sides are candidates,
-and each is verified by the exact Jaccard similarity.
+and each is verified by the exact Jaccard similarity. The bucket keys of the held-out records form a Bloom filter,
+so that training records without a mate leave before any shuffle.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marlspike.llm.shingles import shingle_sets
-from marlspike.operators.pairs import expand_pairs
-from marlspike.session import cut
+from marlspike.llm.shingles import alike, sets_of, shingle_sets, with_sets
+from marlspike.operators.pairs import expand_pairs, key_pairs
+from marlspike.session import cut, merged, release
 
 #: Rows per band and bands: a pair at 0.6 stays unseen with (1 - 0.6**4)**80, about 1.5 in 100,000; at 0.2 an
 #: unlike pair is verified in 12 of 100 cases, at 0.1 in 1.
 ROWS, BANDS = 4, 80
-BLOCK = 2048
+#: Bits of the Bloom filter: a fixed 4 MB. It may pass keys that no held-out record has, more of them as it fills, and
+#: never holds one back, so its size affects speed only. Above ``FULL`` of its bits it is not worth its reading.
+BLOOM_BITS, FULL = 25, 0.9
 
 
 def _coefficients(count: int, seed: int = 20_240_601) -> tuple[np.ndarray, np.ndarray]:
@@ -31,59 +34,91 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, rows: int, bands: int) -> n
     x = flat.view(np.uint64)
     out = np.empty((len(offsets) - 1, bands), np.int64)
     starts = offsets[:-1]
+    h = np.empty_like(x)
     with np.errstate(over="ignore"):
         for j in range(bands):
             key = np.full(len(starts), np.uint64(j) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
             for i in range(j * rows, (j + 1) * rows):
-                h = x * a[i] + b[i]
-                h ^= h >> np.uint64(32)
+                # the high bits decide the minimum, and they depend on all bits of the hash
+                np.multiply(x, a[i], out=h)
+                np.add(h, b[i], out=h)
                 key = (key ^ np.minimum.reduceat(h, starts)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 key ^= key >> np.uint64(31)
             out[:, j] = key.view(np.int64)
     return out
 
 
+def _bloom_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit numbers per key."""
+    x = keys.view(np.uint64)
+    mask = np.uint64((1 << BLOOM_BITS) - 1)
+    return (x & mask).astype(np.int64), ((x >> np.uint64(BLOOM_BITS)) & mask).astype(np.int64)
+
+
+def bloom_filter(texts: DataFrame, k: int, rows: int, bands: int) -> np.ndarray:
+    """The bits set by the bucket keys of ``texts``, as bytes of eight; each task sums its own before the shuffle."""
+    size = 1 << BLOOM_BITS
+
+    def fill(batches):  # noqa: ANN001, ANN202
+        bits = np.zeros(size, bool)
+        for b in batches:
+            if b.num_rows:
+                for at in _bloom_bits(band_keys(*sets_of(b.column("text"), k), rows, bands).ravel()):
+                    bits[at] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        for i in range(0, len(at), 65_536):
+            part = at[i : i + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], names=["at", "w"])
+
+    got = texts.select("text").mapInArrow(fill, "at int, w long").groupBy("at").agg(F.bit_or("w").alias("w")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[got.column("at").to_numpy()] = got.column("w").to_numpy()
+    return out.view(np.uint8)
+
+
 def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", held: tuple[str, ...] = ("dev", "test"), k: int = 3, min_words: int = 8, num: int = 3, den: int = 5, rows: int = ROWS, bands: int = BANDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Alike pairs with one record in ``train`` and one in ``held``: ``id_t``, ``id_h`` and ``keep`` suffixed.
 
-    Equal sets form one class per side and are hashed once; class pairs that verify are expanded in blocks. Rows
-    with a null id, text or split, and texts under ``min_words`` words, pair with nothing; repeated rows count
-    once; empty tables give no rows.
+    Equal sets form one class and are hashed once; class pairs that verify are expanded in blocks. Rows with a null
+    id, text or split, and texts under ``min_words`` words, pair with nothing; repeated rows count once; empty
+    tables give no rows.
     """
+    spark = df.sparkSession
     side = F.when(F.col(split_col) == train, F.lit("t")).when(F.col(split_col).isin(*held), F.lit("h"))
     use = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), side.alias("side"), *[F.col(c).alias(f"k_{c}") for c in keep]).where("side is not null")
     kept = tuple(f"k_{c}" for c in keep)
-    sets = cut(shingle_sets(use, "_id", "_text", k, min_words, keep=("side", *kept)))
-    one = cut(sets.groupBy("cls").agg(F.max(F.col("side") == "t").alias("in_t"), F.max(F.col("side") == "h").alias("in_h"), F.min("n").alias("n"), F.min_by("set", "id").alias("set")))
+    records = cut(shingle_sets(use, "_id", "_text", k, min_words, keep=("side", *kept)))
+    one = cut(records.groupBy("cls").agg(F.max(F.col("side") == "t").alias("in_t"), F.max(F.col("side") == "h").alias("in_h"), F.min("n").alias("n"), F.min_by("text", "id").alias("text")))
+    bits = bloom_filter(one.where("in_h"), k, rows, bands)
+    filled = float(np.unpackbits(bits).mean())
+    bloom = spark.sparkContext.broadcast(bits if filled < FULL else None)
 
     def hashed(batches):  # noqa: ANN001, ANN202
+        known = bloom.value
         for b in batches:
             if not b.num_rows:
                 continue
-            ns = b.column("n").to_numpy()
-            flat = b.column("set").flatten().to_numpy(zero_copy_only=False)
-            keys = band_keys(flat, np.concatenate([[0], np.cumsum(ns)]), rows, bands)
-            at = pa.array(np.repeat(np.arange(b.num_rows), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(c).take(at) for c in ("cls", "n", "in_t", "in_h"))], names=["key", "cls", "n", "in_t", "in_h"])
-
-    buckets = one.mapInArrow(hashed, "key long, cls binary, n int, in_t boolean, in_h boolean")
-    # buckets with both sides only, cut into blocks of the training side
-    both = (
-        buckets.groupBy("key")
-        .agg(F.count_if("in_t").alias("m"), F.max("in_h").alias("h"), F.count(F.lit(1)).alias("all"))
-        .where("m > 0 and h and all > 1")
-        .select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("nb"))
-    )
-    live = buckets.join(both, "key")
-    t = live.where("in_t").select("key", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("blk"), F.col("cls").alias("ca"), F.col("n").alias("na"))
-    h = live.where("in_h").select("key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), F.col("cls").alias("cb"), F.col("n").alias("n_b"))
-    sizes = (F.col("na") * num <= F.col("n_b") * den) & (F.col("n_b") * num <= F.col("na") * den)
-    cand = t.join(h, ["key", "blk"]).where((F.col("ca") != F.col("cb")) & sizes).select("ca", "cb").distinct()
-    a = one.select(F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    b = one.select(F.col("cls").alias("cb"), F.col("n").alias("n_b"), F.col("set").alias("sb"))
-    alike = cand.join(a, "ca").join(b, "cb").where(F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.col("na") + F.col("n_b")) * num).select("ca", "cb")
+            keys = band_keys(*sets_of(b.column("text"), k), rows, bands).ravel()
+            owner = np.repeat(np.arange(b.num_rows), bands)
+            if known is not None:
+                one_, two = _bloom_bits(keys)
+                has = lambda x: (known[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
+                on = (has(one_) & has(two)).astype(bool)
+                keys, owner = keys[on], owner[on]
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in ("cls", "n"))], names=["key", "g", "n"])
+
+    buckets = lambda c: one.where(c).select("cls", "n", "text").mapInArrow(hashed, "key long, g binary, n int")
+    sizes = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den) & (F.col("ca") != F.col("cb"))
+    cand = cut(key_pairs(buckets("in_t"), buckets("in_h"), sizes))
+    met = cand.select(F.col("ca").alias("cls")).unionByName(cand.select(F.col("cb").alias("cls"))).distinct()
+    sets = with_sets(merged(one).join(merged(met), "cls", "left_semi").select("cls", "n", "text"), k)
     same = one.where("in_t and in_h").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-    got = expand_pairs(alike.unionByName(same), sets.select("cls", "id", "side", *kept), (F.col("side_a") == "t") & (F.col("side_b") == "h") & (F.col("id_a") != F.col("id_b")))
+    pairs = cut(alike(cand, sets, "cls", num, den).unionByName(same))
+    release(one, cand)
+    members = lambda s: records.where(F.col("side") == s).select("cls", "id", *kept).distinct()
+    got = expand_pairs(pairs, members("t"), members("h"), F.col("id_a") != F.col("id_b"))
     return got.select(F.col("id_a").alias("id_t"), F.col("id_b").alias("id_h"), *[F.col(f"k_{c}_a").alias(f"{c}_t") for c in keep], *[F.col(f"k_{c}_b").alias(f"{c}_h") for c in keep]).distinct()
 
 

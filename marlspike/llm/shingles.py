@@ -10,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from marlspike.session import merged
+
 #: Runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 _KNOWN: dict[str, int] = {}
@@ -46,30 +48,57 @@ def shingle_hashes(words: list[str], k: int) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(``id``, ``cls``, ``n``, ``set``, and the columns ``keep``) of the texts with ``min_words`` words or more.
+    """(``id``, ``cls``, ``n``, ``text``, and the columns ``keep``) of the texts with ``min_words`` words or more.
 
-    ``cls`` identifies equal sets. Null texts and ids and shorter texts give no row; repeated rows give one.
+    ``cls`` identifies equal sets of ``n`` shingles. The text stands for its set: it is less than half as long and
+    compresses, and ``with_sets`` builds the set again where it is needed. Null texts and ids and shorter texts
+    give no row; a repeated row gives as many.
     """
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), *keep).where("id is not null and _t is not null").distinct()
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), *keep).where("id is not null and _t is not null")
     kept = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            rows, sets, cls = [], [], []
+            rows, sizes, cls = [], [], []
             for i, t in enumerate(b.column("_t").to_pylist()):
                 words = WORD.findall(t.lower())
                 if len(words) < max(min_words, k):
                     continue
                 s = shingle_hashes(words, k)
                 rows.append(i)
-                sets.append(s)
+                sizes.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             at = pa.array(rows, pa.int64())
-            sizes = np.array([len(s) for s in sets], np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(at), pa.array(cls, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat), *[b.column(c).take(at) for c in keep]], names=["id", "cls", "n", "set", *keep]
-            )
-
-    return base.mapInArrow(run, "id long, cls binary, n int, set array<long>" + (", " + kept if kept else ""))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), b.column("_t").take(at), *[b.column(c).take(at) for c in keep]], names=["id", "cls", "n", "text", *keep])
+
+    return base.mapInArrow(run, "id long, cls binary, n int, text string" + (", " + kept if kept else ""))
+
+
+def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all sets, offsets): the sorted shingle hashes of each text."""
+    sets = [shingle_hashes(WORD.findall(t.lower()), k) for t in texts.to_pylist()]
+    return np.concatenate(sets) if sets else np.empty(0, np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+
+
+def with_sets(df: DataFrame, k: int) -> DataFrame:
+    """``df`` with its ``text`` replaced by ``set``, the sorted hashes of its shingles."""
+    rest = [c for c in df.columns if c != "text"]
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            flat, offs = sets_of(b.column("text"), k)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))], names=[*rest, "set"])
+
+    return df.mapInArrow(run, f"{kept}, set array<long>")
+
+
+def alike(cand: DataFrame, sets: DataFrame, key: str, num: int, den: int) -> DataFrame:
+    """The pairs of ``cand`` (``ca``, ``cb``) whose sets reach a Jaccard similarity of ``num/den``; exact.
+
+    ``sets``: ``key``, ``n``, ``set``. Sets are long arrays that the planner takes for single values: they only
+    ever meet in sort-merge joins.
+    """
+    side = lambda s: merged(sets.select(F.col(key).alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("set").alias(f"s{s}")))
+    both = merged(merged(cand).join(side("a"), "ca")).join(side("b"), "cb")
+    return both.where(F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.col("na") + F.col("nb")) * num).select("ca", "cb")
