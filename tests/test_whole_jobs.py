@@ -3,7 +3,6 @@
 import random
 
 from marlspike import queries as Q
-from marlspike.llm import residue
 from marlspike.operators import dedup
 
 
@@ -63,7 +62,3 @@ def test_sources_fill_up_to_their_own_target(spark, tmp_path):
     d = written(spark, tmp_path, "hub_rows", [(f"{s}{i}", s, "x" * 30) for s in "abc" for i in range(10)], "row_id string, source string, text string")
     # the row that crosses 100 is in; b has less than its target, c has none
     assert rows(Q.until_target_chars(spark, d).groupBy("source").count()) == [("a", 4), ("b", 10), ("c", 10)]
-
-
-def test_filler_lines_without_words_outweigh_a_title():
-    assert residue.verdict("one two three four five\n" + "\n".join(["....."] * 15)) == "filler"
