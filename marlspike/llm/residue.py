@@ -1,19 +1,21 @@
 """Problem 10: template residue, filler, error pages and script notices in place of content.
 
-Lines are normalised and counted by host; lines that recur there without evidence of their own (menus, footers,
-chat prefixes) are boilerplate and leave the text. What remains decides: a template field left in any line, or a
-residual that consists of error, filler or script-notice lines, excludes the document.
+Lines are normalised and counted by host. Lines that recur there and are a small part of the documents they stand in
+(menus, footers, letterheads) are boilerplate and leave the text. Only what remains is judged: the document is
+excluded if a template field is left in it, or if the words of error messages, script notices and filler outweigh its
+other content words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection, Iterable
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from marlspike.session import cut, once
+from marlspike.session import cut, merged, once
 
 # How unfilled fields are written, with F for the field's name.
 FIELD_FORMS = (
@@ -25,123 +27,51 @@ FIELD = regex.compile("|".join(f.replace("F", FIELD_NAME, 1) for f in (g.replace
 #: A sentence that explains how a field is used; the field in it is the subject, not a leftover.
 ABOUT_FIELDS = regex.compile(r"\b(?:template|placeholders?|field)s?\b.{0,80}\b(?:types?|writes?|puts?|enters?|uses?|shows?|inserts?|leaves?|marks?|stands?|means?)\b|\bwhere the \w+ goes\b|\bbefore sending\b|\bthe tool (?:fills|completes|replaces)\b|(?:قالب|القالب|نموذج الرد).{0,80}(?:يكتب|يضع|تكتب|تضع)|\bmod[eè]le de r[eé]ponse\b", regex.I)
 
-# Evidence at the start of or within a sentence, per kind.
-ERROR_START = re.compile(
-    r"(?:http |error |status )*[45]\d\d\b[\s:\-–—./]*(?:$|error|internal|bad |service|gateway|page |file |not |forbidden|unauthori|timeout|server|too many|http)|(?:http|error)\s*:?\s*[45]\d\d\b"
-    r"|(?:erreur|خطأ|error code|code erreur)\s*:?\s*\d{2,4}\b(?!.*(?:اغلق|سكر|fermez))|(?:fatal error|exception|traceback|uncaught|unhandled|stack trace|runtime error|warning)\b\s*[:(]"
-    r"|page introuvable|(?:page|file) not found|الصفحة غير موجودة|حدث خطأ|(?:عد الى الرئيسية|حاول لاحقا)\b|(?:the )?(?:link|address|page|url) /\S+ (?:was|does|is|has|could)"
-    r"|(?:sorry|oops|hmm|whoops|uh oh)[!.,…]*$|(?:please )?(?:try again|reload|retry|refresh) (?:later|in \d+)|you (?:were|have been) (?:logged|signed) out\b"
-    r"|(?:please )?(?:sign|log) in (?:again|to go on|to continue|or go back)\b|(?:access denied|forbidden|permission denied|unauthori[sz]ed)\b|you (?:do not|don't) have permission\b"
-    r"|(?:rate limit|too many requests)\b|(?:تم رفض الوصول|الوصول مرفوض|لا تملك صلاحية)|acc[eè]s refus[eé]|une erreur (?:est survenue|s'est produite)|votre session a expir|صفحہ نہیں ملا"
-    r"|hindi (?:nahanap|natagpuan|makita) ang pahina",
-    re.I,
-)
-ERROR_INNER = re.compile(
-    r"(?:الرابط|العنوان) /\S+ (?:غير|لم)|\b(?:le lien|l'adresse) /\S+|\bsomething went wrong\b|\bpage has gone missing\b|\bsession has (?:expired|ended|timed out)|\b(?:incident|ray|request) id\b"
-    r"|\b(?:could|can) ?not connect to (?:the )?(?:database|cache|server|host)\b|انتهت (?:صلاحية )?الجلسة",
-    re.I,
-)
-SCRIPT_START = re.compile(
-    r"(?:please |kindly |you (?:need to|must|have to|should) )*(?:enable|activate|turn on|allow|switch on) (?:javascript|scripts?|scripting|cookies)\b(?!.*\b(?:settings|because|portal)\b)"
-    r"|turn them on and reload|<?noscript\b|(?:update|upgrade) (?:it|now|your browser)\b.*\bto (?:see|open|view|use|continue)\b|(?:checking|verifying)\b.*\b(?:your browser|you are (?:a )?human)\b"
-    r"|one moment (?:before|while|please)\b|this takes \d+ seconds?\b|we use cookies\b|(?:please wait|loading)[.… ]*$"
-    r"|(?:يرجى|الرجاء|فضلا) (?:تفعيل|تشغيل|تمكين) (?:javascript|جافا ?سكريبت|ملفات تعريف الارتباط|الكوكيز)|veuillez (?:activer|autoriser) (?:javascript|les cookies)"
-    r"|(?:pakibuksan|paki-?on|i-?enable) (?:po )?ang (?:javascript|cookies)|براہ کرم (?:javascript|جاوا اسکرپٹ)",
-    re.I,
-)
-SCRIPT_INNER = re.compile(
-    r"\b(?:site|page|app|portal|widget|website) (?:requires?|needs?|works best with) (?:javascript|scripts?|scripting|cookies)\b(?!.*\bbecause\b)"
-    r"|^\S+ uses? cookies\b|\bbrowser (?:is (?:not supported|too old|out ?dated|unsupported)|has (?:scripting|javascript|cookies) (?:switched|turned) off)",
-    re.I,
-)
-FILLER_START = re.compile(
-    r"(?:sample|dummy|placeholder|filler|example) (?:text|words?|paragraphs?|copy|content)\b"
-    r"|(?:copy|text|content|description|headline|title|summary) (?:goes here|to (?:be added|come|follow)|coming soon|here)\b|(?:todo|tbd|xxx|fixme)\b:?"
-    r"|(?:(?:first|second|third|fourth) paragraph|paragraph (?:one|two|three|four|\d+)|headline|sub ?title|caption|button label|body text|call to action)(?: \w+)?(?: \d+)?[.…]*$"
-    r"|(?:our|your) (?:company|product|brand|shop) name\b|(?:add|insert) (?:a|an|your) (?:photo|paragraph|text|picture|slogan|title|logo) (?:here|below|above)|nothing (?:here )?yet\b"
-    r"|نص (?:تجريبي|بديل|افتراضي)|هنا يكتب|يضاف المحتوى|(?:texte? (?:d'exemple|factice|provisoire))",
-    re.I,
-)
-FILLER_INNER = re.compile(
-    r"\byour (?:text|slogan|address|photo|paragraph|name|copy) (?:goes )?here\b|\breplace before launch\b|\bedit me\b|\blorem ipsum\b",
-    re.I,
-)
-LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua urna massa odio eget nunc nibh porta quis vel ante".split())
-MASH = frozenset("asdf asdfg jkl qwer qwerty zxcv zxcvb hjkl uiop dfgh xxx xxxx blah test testing bla foo bar baz nothing yet n a".split())
-
-EVIDENCE = (("error", ERROR_START, ERROR_INNER), ("script", SCRIPT_START, SCRIPT_INNER), ("filler", FILLER_START, FILLER_INNER))
-VOCABULARY = LOREM | MASH
+# Words of notices that stand in place of content, by kind: at least one CERTAIN word of a kind makes
+# its LIKELY words count.
+CERTAIN = {
+    "error": "error errors erreur خطأ exception traceback fatal timeout gateway forbidden denied unauthorized unauthorised unavailable introuvable invalide invalid expired expirée انتهت http https 404 403 401 500 502 503 504 429 found exist exists existe موجودة صحيح متاحا missing gone wrong oops whoops permission refusé survenue crash crashed database مرفوض صلاحية نہیں nahanap natagpuan makita reached loaded logged session timed limit requests connect reload retry",
+    "script": "javascript جافاسكريبت جاوا scripts script scripting noscript cookies cookie كوكيز الكوكيز browser browsers navigateur المتصفح captcha robot loading moment human",
+    "filler": "placeholder dummy lorem ipsum sample todo tbd fixme tbc headline subtitle caption تجريبي بديل افتراضي factice provisoire goes here below hereby nothing testing test blah edit launch soon added follow يكتب يضاف slogan label paragraph untitled",
+}
+LIKELY = {
+    "error": "page pages link lien url adresse address file server internal bad not too many again try later go back home log sign in out session access network connection request id incident ray reference service went something sorry hmm contact support status code resource moved removed cache module timed cannot could view minutes seconds pause wait rate load system failed failure unexpected stack line لاحقا حاول عد الرئيسية الرابط العنوان الصفحة الخادم حدث رفض الوصول الجلسة يعد est le la votre une erreur produite ang pahina hindi صفحہ ملا existe reaching allowed key number unable process action error back administrator",
+    "script": "enable turn activate allow allowed switch switched accept needs requires require uses use works best supported unsupported old outdated upgrade update open view see continue proceed site app page portal widget website content appears disabled reload please kindly checking verifying one wait seconds takes run opening reaching leave all them on off تفعيل تشغيل تمكين يرجى الرجاء فضلا لعرض لمتابعة الصفحة ملفات تعريف الارتباط veuillez activer autoriser votre pakibuksan paki po ang براہ کرم",
+    "filler": "text texts copy content description title summary words image photo picture name company product brand shop your our first second third fourth one two three four add insert write replace coming come to be layout section footer box side button body call action number part of the address logo heading example yet empty n a نص النص المحتوى هنا للصفحة موقع texte exemple",
+}
+#: Words of the filler passage, which has no meaning in any language.
+LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum urna massa odio eget nunc nibh porta quis vel ante mauris tellus augue purus lectus vitae".split())
+#: Words that tell nothing; they count neither for nor against content.
+NEUTRAL = frozenset("the a an of to in on at is are was were be been it this that these and or for with by as from you your we our i me my no do does has have had will can then so plus while after before only now all more le la les de du des et un une l s n x y و في من على الى عن ما هذا هذه لم لا ان او هو هي ang ng sa na ay mga کا کی کے ہے میں".split())
+#: Words of sentences that speak about notices rather than give them; a quoted notice is spoken about as well.
+#: "Only when" states a condition of the notice itself.
+PROSE = frozenset("when if because whenever although lorsque quand si parce اذا عندما لان kapag kung dahil جب اگر".split())
+QUOTED = re.compile(r"[\"“«][^\"”»\n]{1,80}[\"”»]")
+_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+
+_KIND_OF: dict[str, list[tuple[str, bool]]] = {}
+for _certain, _table in ((True, CERTAIN), (False, LIKELY)):
+    for _kind, _words in _table.items():
+        for _w in dict.fromkeys(_words.split()):
+            _KIND_OF.setdefault(_w, []).append((_kind, _certain))
 
 WORD = re.compile(r"\w+")
-SPLIT = re.compile(r"\n+|(?<=[.!?؟۔…])\s+")
-SPEAKER = re.compile(r"^(?:\w{1,12}[>:]|[A-Z]:|\S{3,10}:)\s+")
-#: A navigation bar that ends where the next phrase of the same line begins.
-MENU = re.compile(r"^(?:\S+ \| )+\S+\s+|^(?:\S+  )+\S+(?: in)?\s+")
-#: Documents in which one line form must appear on a host before it counts as recurrent there, and the share of the
-#: host's documents. Both must hold.
-MIN_DOCS, MIN_SHARE = 5, 0.002
-#: Words of content that a residual may hold beside its evidence, as a share of the evidence's words.
-CONTENT_SHARE = 0.34
-NAVIGATION = re.compile(r"(?:\S+ \| )+\S+|(?:\S+  )+\S+(?: in)?")
-HEAD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-TAIL = re.compile(r"[^\W\d_]+(?=\W*$)")
-#: First words without which no start pattern matches, and literals without which no inner pattern does.
-FIRST_WORDS = frozenset(
-    "http error status erreur خطأ code fatal exception traceback uncaught unhandled stack runtime warning page file الصفحة حدث عد حاول the link address url sorry oops hmm whoops uh please try reload retry refresh you sign log access forbidden permission unauthorized unauthorised rate too تم الوصول لا accès acces une votre صفحہ hindi"
-    " kindly enable activate turn allow switch noscript update upgrade checking verifying one this we loading يرجى الرجاء فضلا veuillez pakibuksan paki pakion i براہ"
-    " sample dummy placeholder filler example copy text content description headline title summary todo tbd xxx fixme first second third fourth paragraph sub subtitle caption button body call our your add insert nothing نص هنا يضاف texte".split()
-)
-INNER_LITERALS = ("الرابط /", "العنوان /", "le lien /", "l'adresse /", "something went wrong", "page has gone missing", "session has ", "incident id", "ray id", "request id", "not connect to ", "انتهت", "javascript", "script", "cookies", "browser is ", "browser has ", "your text", "your slogan", "your address", "your photo", "your paragraph", "your name", "your copy", "replace before launch", "edit me", "lorem ipsum")
+#: Words, paths, and runs of signs that stand where words should.
+TOKEN = re.compile(r"/\w+(?:/\w+)*|\w+|([.#\-_=*~])\1{2,}")
+#: Words between bars or wide gaps: a menu, whatever line it stands in.
+MENU = re.compile(r"(?:\S+ \| )+\S+|(?:\S+  )+\S+")
+#: Documents in which a line form must appear on a host to be recurrent there, the share of the host's documents, and
+#: the share of their text that it makes up on average at most. All must hold.
+MIN_DOCS, MIN_SHARE, SMALL_PART = 5, 0.002, 0.5
+#: Weight of a likely word, weight of the evidence against that of the other content words from which a residual has
+#: no content, and weight as content of a word of ``PROSE``.
+LIKELY_PART, OUTWEIGHS, PROSE_PART = 0.5, 0.5, 6
+#: Recurrent forms that are sent to the tasks; more of them are joined by document.
+FORMS_MOST = 200_000
 #: Characters without which a text can't hold a field.
 MAYBE_FIELD = re.compile(r"[{\[<%@]|__|XX_")
 
 
-def _inner_possible(low: str) -> bool:
-    """Whether a lower-cased text holds any literal that the inner patterns need; they are skipped otherwise."""
-    return any(x in low for x in INNER_LITERALS)
-
-
-def kind_of(piece: str, inner: bool = True) -> str | None:
-    """error, script, filler or None for one sentence."""
-    p = piece.strip(" \t-–—•*>")
-    if not p:
-        return None
-    head = HEAD.match(p)
-    starts = head is None or head.group().lower() in FIRST_WORDS
-    for kind, start, within in EVIDENCE:
-        if (starts and start.match(p)) or (inner and within.search(p)):
-            return kind
-    if head is None and (len(p) >= 4 and p[0] in ".#-_=*0") and (not WORD.search(p) or ("#" in p and all(c in "#.-_ /NA" or c.isdigit() for c in p))):
-        return "filler"
-    last = TAIL.search(p)
-    if (head and head.group().lower() in VOCABULARY) or (last and last.group().lower() in VOCABULARY):
-        words = WORD.findall(p.lower())
-        letters = [w for w in words if not w.isdigit()]
-        if len(letters) >= 3 and sum(w in LOREM for w in letters) >= 0.8 * len(letters):
-            return "filler"
-        if len(words) >= 2 and letters and sum(w in MASH for w in letters) >= 0.6 * len(letters):
-            return "filler"
-    return None
-
-
-def evidence_in(piece: str, first: bool, inner: bool = True) -> str | None:
-    """``kind_of`` a sentence as it stands, or behind a speaker's mark, a menu, or (first sentence) a title."""
-    k = kind_of(piece, inner)
-    if k:
-        return k
-    for mark in (SPEAKER, MENU):
-        if (m := mark.match(piece)) and (k := kind_of(piece[m.end() :], inner)):
-            return k
-    if first and (rest := piece.split(None, 1)[1:]) and piece[0].isupper():
-        return kind_of(rest[0], inner)
-    return None
-
-
-def form_of(line: str) -> str:
-    """The normalised form by which lines are counted: lower case, numbers as 0, single spaces."""
-    return regex.sub(r"\s+", " ", regex.sub(r"\p{N}+", "0", line.lower())).strip()
-
-
 def has_field(text: str) -> bool:
     """Whether an unfilled field stands in ``text`` outside a sentence about fields."""
     if not MAYBE_FIELD.search(text):
@@ -156,92 +86,108 @@ def has_field(text: str) -> bool:
     return False
 
 
-def verdict(text: str | None, boilerplate: frozenset[str] | set[str] = frozenset()) -> str | None:
-    """field, error, script, filler, or None for a document of content (null and blank texts: None)."""
-    if text is None or not text.strip():
+def mashed(w: str) -> bool:
+    """Keys struck at random: neighbours on one row of the keyboard, or one letter again and again."""
+    return (len(w) >= 3 and any(w in row for row in _ROWS)) or (len(w) >= 3 and w.isalpha() and len(set(w)) == 1)
+
+
+def judge(lines: Iterable[str]) -> str | None:
+    """field, error, script, filler, or None for the lines of a residual with content, or with nothing in them."""
+    text = "\n".join(lines)
+    if not text.strip():
         return None
     if has_field(text):
         return "field"
-    found: dict[str, int] = {}
-    content, first = 0, True
-    inner = _inner_possible(text.lower())
-    left = len(WORD.findall(text))
-    wordless = None
-    for line in text.split("\n"):
-        if not line.strip() or (boilerplate and form_of(line) in boilerplate):
-            continue
-        for piece in SPLIT.split(line.strip()):
-            if not piece or NAVIGATION.fullmatch(piece):
-                continue
-            n = len(WORD.findall(piece))
-            k = evidence_in(piece, first, inner)
-            first = False
-            if k:
-                found[k] = found.get(k, 0) + max(n, 1)
-            elif n > 3:
-                content += n
-                if content > CONTENT_SHARE * (left - content + 4):
-                    if wordless is None:  # evidence without words counts as one
-                        wordless = sum(not WORD.search(p) for x in text.split("\n") for p in SPLIT.split(x.strip()) if p)
-                        left += wordless
-                    if content > CONTENT_SHARE * (left - content + 4):
-                        return None
-    total = sum(found.values())
-    if not total or content > CONTENT_SHARE * total:
-        return None
-    return max(sorted(found), key=lambda k: found[k])
+    return notice(text)
 
 
-def any_evidence(text: str) -> bool:
-    """Whether any sentence of ``text`` is evidence of its own."""
-    inner = _inner_possible(text.lower())
-    return any(evidence_in(p, not i, inner) for i, p in enumerate(SPLIT.split(text)) if p)
+def notice(text: str) -> str | None:
+    """error, script or filler where their words outweigh all other content of a text, else None.
+
+    Words of a kind count where the text has a certain word of that kind, likely ones in part; all other words are
+    content. Paths count for errors, runs of signs and keys struck at random for filler.
+    """
+    certain = dict.fromkeys(CERTAIN, 0)
+    listed: list[list[tuple[str, bool]]] = []
+    other = lorem = paths = runs = 0
+    for m in TOKEN.finditer(QUOTED.sub(" quoted ", MENU.sub(" ", text.lower().replace("only when ", "only ").replace("only if ", "only ")))):
+        w = m.group()
+        lorem += w in LOREM
+        other += PROSE_PART if w in PROSE else 0
+        if kinds := _KIND_OF.get(w):
+            listed.append(kinds)
+            for kind, sure in kinds:
+                certain[kind] += sure
+        elif w[0] == "/" and len(w) > 1:
+            paths += 1
+        elif m.group(1) or mashed(w) or (w.isdigit() and len(w) >= 3 and len(set(w)) == 1):
+            runs += 1
+        elif w not in NEUTRAL and w not in PROSE and not w.isdigit() and w not in LOREM:
+            other += 1
+    if lorem >= 5 and lorem >= 0.8 * (lorem + other):
+        return "filler"
+    certain["filler"] += runs
+    open_ = [k for k in sorted(certain) if certain[k]]
+    if not open_:
+        return None
+    evidence = runs + (paths if certain["error"] else 0)
+    for kinds in listed:
+        ours = [sure for kind, sure in kinds if certain[kind]]
+        if ours:
+            evidence += 1.0 if any(ours) else LIKELY_PART
+        else:
+            other += LIKELY_PART
+    # pages mix the kinds: an error page asks to reload, a notice waits; the most certain one names the mixture
+    return max(open_, key=lambda k: certain[k]) if evidence >= OUTWEIGHS * other else None
 
 
 def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(``doc_id``, ``kind``) of the documents to exclude; one row each.
 
-    Line forms travel as 64-bit hashes and are counted per host with partial sums; the host "" stands for null.
-    Forms that recur on a host are joined to the lines of the documents that hold evidence, on the pair (host,
-    form), never as a list of one host. Null, empty and blank texts and empty tables give no rows; repeated rows
-    count once.
+    The forms of all lines, as 64-bit hashes, are counted by host with partial sums, together with the part of the
+    document's text that each makes up; recurrent forms of small parts are boilerplate there, unless they hold a
+    template field, which is what is looked for. Every document is then judged by its lines that are no boilerplate
+    of its host. Up to ``FORMS_MOST`` recurrent forms are sent to the tasks; more are joined by document. The host
+    "" stands for null. Null, empty and blank texts, documents of boilerplate alone and empty tables give no rows;
+    repeated rows count once.
     """
+    spark = docs.sparkSession
     base = once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")), "doc_id").where("doc_id is not null and _t is not null and trim(_t) <> ''")
-
-    def first(batches):  # noqa: ANN001, ANN202
-        """The documents that are excluded as they stand, and with their text those that hold any evidence."""
-        for b in batches:
-            at, kinds, texts = [], [], []
-            for i, t in enumerate(b.column("_t").to_pylist()):
-                k = verdict(t)
-                if k or any_evidence(t):
-                    at.append(i)
-                    kinds.append(k)
-                    texts.append(None if k else t)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), pa.array(texts, pa.string()), b.column("host").take(rows), pa.array(kinds, pa.string())], names=["doc_id", "_t", "host", "kind"])
-
-    id_type = base.schema["doc_id"].dataType.simpleString()
-    seen = cut(base.mapInArrow(first, f"doc_id {id_type}, _t string, host string, kind string"))
     form = lambda c: F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\p{N}+", "0"), r"\s+", " ")))
-    lines = base.select("host", F.explode(F.array_distinct(F.transform(F.split("_t", "\n"), form))).alias("form"))
+    lines = F.split("_t", "\n")
+    parts = base.select("host", F.length("_t").alias("_n"), F.explode(F.array_distinct(lines)).alias("_l")).where(~F.col("_l").rlike(MAYBE_FIELD.pattern))
+    counts = parts.groupBy("host", form(F.col("_l")).alias("form")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("_l") / F.col("_n")).alias("part"))
     sizes = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    recurrent = (
-        lines.groupBy("host", "form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).join(sizes, "host").where(F.col("n") >= F.col("docs") * MIN_SHARE).select("host", "form")
+    recurrent = cut(
+        merged(counts.where((F.col("n") >= MIN_DOCS) & (F.col("part") <= SMALL_PART))).join(merged(sizes), "host").where(F.col("n") >= F.col("docs") * MIN_SHARE).select("host", "form")
     )
-    sure = seen.where("kind is not null").select("doc_id", "kind")
-    open_lines = seen.where("kind is null").select("doc_id", "host", F.posexplode(F.split("_t", "\n")).alias("pos", "line")).withColumn("form", form(F.col("line")))
-    left = open_lines.join(recurrent.withColumn("menu", F.lit(True)), ["host", "form"], "left")
-
-    @F.arrow_udf("boolean")
-    def evident(v: pa.Array) -> pa.Array:
-        return pa.array([any_evidence(x) for x in v.to_pylist()], pa.bool_())
-
-    residual = left.where(F.col("menu").isNull() | evident("line")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_r"))
-
-    @F.arrow_udf("string")
-    def again(v: pa.Array) -> pa.Array:
-        return pa.array([verdict(x) for x in v.to_pylist()], pa.string())
+    forms = base.select("doc_id", "host", "_t", F.transform(lines, form).alias("_f"))
+    few = recurrent.count() <= FORMS_MOST
+    if few:
+        got = recurrent.toArrow()
+        by_host: dict[str, set[int]] = {}
+        for h, f in zip(got.column("host").to_pylist(), got.column("form").to_pylist(), strict=True):
+            by_host.setdefault(h, set()).add(f)
+        shared = spark.sparkContext.broadcast(by_host)
+        forms = forms.withColumn("_b", F.lit(None).cast("array<long>"))
+    else:
+        shared = spark.sparkContext.broadcast({})
+        held = merged(base.select("doc_id", "host", F.explode(F.array_distinct(F.transform(lines, form))).alias("form"))).join(merged(recurrent), ["host", "form"])
+        # the recurrent forms of one document: no more than it has lines
+        forms = merged(forms).join(merged(held.groupBy("doc_id").agg(F.collect_set("form").alias("_b"))), "doc_id", "left")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        known = shared.value
+        none: Collection[int] = ()
+        for b in batches:
+            at, kinds = [], []
+            for i, (t, h, fs, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_t", "host", "_f", "_b")), strict=True)):
+                drop = known.get(h, none) if own is None else set(own)
+                k = judge([x for x, f in zip(t.split("\n"), fs, strict=True) if f not in drop] if drop else [t])
+                if k:
+                    at.append(i)
+                    kinds.append(k)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(kinds, pa.string())], names=["doc_id", "kind"])
 
-    late = residual.select("doc_id", again("_r").alias("kind")).where("kind is not null")
-    return sure.unionByName(late).groupBy("doc_id").agg(F.min("kind").alias("kind"))
+    found = forms.select("doc_id", "host", "_t", "_f", "_b").mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, kind string")
+    return found.groupBy("doc_id").agg(F.min("kind").alias("kind"))
