@@ -1,9 +1,10 @@
 """Problem 7: one form for text that looks the same.
 
-A transducer over grapheme clusters is compiled once per worker from rules (width, ligatures and contextual
-forms, white space, invisible characters, composed marks, hyphens, letters of other alphabets). It matches the
-longest known sequence at each place and writes its image, in one pass. Compilation checks that the mapping has
-no conflict: no sequence gets two images, and no image is changed by a second pass.
+A transducer over grapheme clusters is compiled once per worker from rules (width, ligatures and contextual forms,
+white space, invisible characters, composed marks, hyphens, letters of other alphabets). Its states hold every known
+sequence of a letter and its marks; in one pass it reads each cluster, puts its marks in order and writes the image
+of the longest known sequence, then what is left of the cluster. All mappings are computed at compilation, which also
+checks that they hold no conflict: no sequence gets two images, and no image is changed by a second pass.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marlspike.operators.pairs import expand_pairs
-from marlspike.session import cut
+from marlspike.operators.pairs import SALT, expand_pairs, key_pairs
+from marlspike.session import cut, merged
 
 # Letters of other alphabets and the Latin letters they can't be told from, then hyphens,
 # invisible characters and spaces.
@@ -48,95 +49,159 @@ def _pictograph(ch: str) -> bool:
     return 0x2600 <= ord(ch) <= 0x27BF or ord(ch) >= 0x1F000
 
 
-def rules() -> dict[str, str]:
-    """Sequence -> image, checked for conflicts."""
-    table: dict[str, str] = {}
+class Transducer:
+    """States over letters and marks, with the image of each sequence that ends in one.
 
-    def put(a: str, b: str) -> None:
-        if a != b and table.setdefault(a, b) != b:
-            raise Conflict(f"{a!r} -> {table[a]!r} and {b!r}")
+    ``parts``: character -> (what is written as it is, the letter that may take marks, its marks).
+    """
+
+    def __init__(self) -> None:
+        self.parts: dict[str, tuple[str, str, str]] = {}
+        self.rank: dict[str, int] = {}
+        self.edges: dict[tuple[int, str], int] = {}
+        self.images: list[str | None] = [None]
+
+    def put(self, sequence: str, image: str) -> None:
+        """Add a sequence; a second image for it is a conflict."""
+        state = 0
+        for c in sequence:
+            state = self.edges.setdefault((state, c), len(self.images))
+            if state == len(self.images):
+                self.images.append(None)
+        if self.images[state] not in (None, image):
+            raise Conflict(f"{sequence!r} -> {self.images[state]!r} and {image!r}")
+        self.images[state] = image
+
+    def map(self, c: str, image: str) -> None:
+        """Let ``c`` be read as ``image``: letters, then the last letter's marks in order."""
+        full = unicodedata.normalize("NFD", image)
+        k = len(full)
+        while k > 1 and _extends(full[k - 1]):
+            k -= 1
+        new = (unicodedata.normalize("NFC", full[: k - 1]), full[k - 1 : k], full[k:])
+        if self.parts.setdefault(c, new) != new:
+            raise Conflict(f"{c!r} -> {self.parts[c]!r} and {new!r}")
+
+    def longest(self, cluster: str) -> str:
+        """The image of the longest known sequence that ``cluster`` begins with, and the rest of it."""
+        state, image, end = 0, cluster[:1], 1
+        for i, c in enumerate(cluster):
+            state = self.edges.get((state, c), -1)
+            if state < 0:
+                break
+            if self.images[state] is not None:
+                image, end = self.images[state], i + 1
+        return image + cluster[end:]
+
+    def ordered(self, marks: str) -> str:
+        """Marks that don't touch each other in a fixed order; those of one place stay as they come."""
+        out: list[str] = []
+        for c in marks:
+            r = self.rank.get(c, 0)
+            i = len(out)
+            while r and i and self.rank.get(out[i - 1], 0) > r:
+                i -= 1
+            out.insert(i, c)
+        return "".join(out)
+
+    def run(self, text: str) -> str:
+        """The image of ``text``, cluster by cluster from left to right."""
+        out: list[str] = []
+        parts = self.parts
+        i, n = 0, len(text)
+        while i < n:
+            c = text[i]
+            if (0, c) in self.edges and i + 1 < n and (self.edges[0, c], text[i + 1]) in self.edges and not _extends(text[i + 1]):
+                # a sequence without marks, such as a two-character line break
+                j = i + 2
+                out.append(self.longest(text[i:j]))
+                i = j
+                continue
+            before, letter, marks = parts.get(c) or ("", c, "")
+            i += 1
+            out.append(before)
+            if not letter:
+                continue
+            joined = False
+            while i < n:
+                d = text[i]
+                if d == "\u200d" and i + 1 < n and _pictograph(c) and _pictograph(text[i + 1]):
+                    marks += text[i : i + 2]  # joined pictures are one picture
+                    joined = True
+                    i += 2
+                    continue
+                x, y, z = parts.get(d) or ("", d, "")
+                if y and not _extends(y):
+                    break
+                marks += y + z
+                i += 1
+            if not marks:
+                out.append(self.longest(letter) if (0, letter) in self.edges else letter)
+            elif joined:
+                out.append(letter + marks)
+            else:
+                out.append(self.longest(letter + (self.ordered(marks) if len(marks) > 1 else marks)))
+        return "".join(out)
+
+
+def _extends(c: str) -> bool:
+    """Whether a character belongs to the letter before it: marks, vowels and finals of conjoined syllables."""
+    return c in _EXTENDING
 
+
+_EXTENDING = frozenset(c for c in map(chr, range(0x300, 0x1F000)) if _is_mark(c) or 0x1160 <= ord(c) <= 0x11FF)
+
+
+def compile_rules(sequences: bool = True) -> Transducer:
+    """The transducer of all rules, checked for conflicts. Without ``sequences`` it knows single characters only, which
+    leaves letters and their marks apart, and is not checked."""
+    t = Transducer()
     letters = CYRILLIC | GREEK | ARMENIAN
-    for a, b in letters.items():
-        put(a, b)
-    for ch in HYPHENS:
-        put(ch, "-")
-    for ch in INVISIBLE:
-        put(ch, "")
-    for ch in SPACES:
-        put(ch, " ")
-    for s in BREAKS:
-        put(s, "\n")
-    image = lambda s: "".join(table.get(c, c) for c in s)
+    single = dict(letters)
+    single |= dict.fromkeys(HYPHENS, "-") | dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ")
+    single |= {b: "\n" for b in BREAKS if len(b) == 1}
+    image = lambda s: "".join(single.get(c, c) for c in s)
     for lo, hi in FORMS:
         for ch in map(chr, range(lo, hi + 1)):
-            if ch not in table and unicodedata.category(ch) != "Cn" and (k := unicodedata.normalize("NFKC", ch)) != ch:
+            if ch not in single and unicodedata.category(ch) != "Cn" and (k := unicodedata.normalize("NFKC", ch)) != ch:
                 # a spacing form of a mark (space + mark) is kept: the space belongs to the drawing
                 if not (len(k) > 1 and k[0] == " " and _is_mark(k[-1])):
-                    put(ch, image(k))
-    # composed and decomposed marks: a base with its marks, in canonical order, has the composed form
-    for ch in map(chr, range(0x20, 0x30000)):
-        if unicodedata.decomposition(ch) and not unicodedata.decomposition(ch).startswith("<"):
+                    single[ch] = image(k)
+    composed: dict[str, str] = {}
+    for ch in map(chr, range(0xA0, 0x30000)):
+        t.rank[ch] = unicodedata.combining(ch)
+        full = unicodedata.normalize("NFD", ch)
+        if full != ch and ch not in single:
+            # a letter of another alphabet under its marks is the look-alike under them
+            single[ch] = single.get(full[0], full[0]) + full[1:]
+    t.rank = {c: r for c, r in t.rank.items() if r}
+    for ch, img in single.items():
+        t.map(ch, img)
+    if sequences:
+        for b in BREAKS:
+            if len(b) > 1:
+                t.put(b, "\n")
+        for ch in map(chr, range(0xA0, 0x30000)):
             full = unicodedata.normalize("NFD", ch)
-            if len(full) > 1:
-                base = unicodedata.normalize("NFC", table.get(full[0], full[0]) + full[1:])
-                put(full, base)
-                put(ch, base)
-            elif ch not in table:
-                put(ch, image(full))
-    for a, b in table.items():
-        if step(b, table) != b:
-            raise Conflict(f"{a!r} -> {b!r} -> {step(b, table)!r}")
-    return table
-
-
-def step(text: str, table: dict[str, str]) -> str:
-    """The image of ``text``: clusters left to right, each rewritten once."""
-    out: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        if text[i] == "\r" and text[i : i + 2] == "\r\n":
-            out.append("\n")
-            i += 2
-            continue
-        # a cluster: a base, then marks, with invisible characters anywhere between
-        j = i + 1
-        base = table.get(text[i], text[i])
-        marks: list[str] = []
-        joined = False
-        while j < n:
-            c = text[j]
-            if c == "\u200d" and _pictograph(text[i]) and j + 1 < n and _pictograph(text[j + 1]):
-                marks += [c, text[j + 1]]  # a joined emoji is one picture
-                joined = True
-                j += 2
-            elif table.get(c) == "":
-                j += 1
-            elif base and _is_mark(c):
-                marks.append(c)
-                j += 1
-            else:
-                break
-        if marks and not joined and base:
-            whole = unicodedata.normalize("NFC", base + "".join(marks))
-            # the longest known sequence within the cluster first, then what is left of it
-            out.append("".join(table.get(c, c) for c in whole))
-        else:
-            out.append(base + "".join(marks))
-        i = j
-    return "".join(out)
+            if len(full) > 1 and unicodedata.normalize("NFC", full) == ch and full[0] not in single:
+                t.put(t.longest(full[0]) + t.ordered(full[1:]), ch)
+    for ch in single if sequences else ():
+        once = t.run(ch)
+        if t.run(once) != once:
+            raise Conflict(f"{ch!r} -> {once!r} -> {t.run(once)!r}")
+    return t
 
 
 @lru_cache(maxsize=1)
-def compiled() -> dict[str, str]:
-    return rules()
+def compiled() -> Transducer:
+    return compile_rules()
 
 
 def canonical(text: str | None) -> str | None:
     """The one form of ``text``; None stays None, empty stays empty."""
     if text is None:
         return None
-    return text if PLAIN.fullmatch(text) else step(text, compiled())
+    return text if PLAIN.fullmatch(text) else compiled().run(text)
 
 
 def canonical_column(df: DataFrame, column: str, out: str = "canon") -> DataFrame:
@@ -160,11 +225,11 @@ def equal_looking_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pair spelling by spelling and are expanded in blocks, so a text that a third of all rows share stays spread.
     """
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).where("id is not null and _t is not null")
-    rows = canonical_column(base, "_t", "_c").select("id", F.md5("_c").alias("form"), F.md5("_t").alias("cls"))
-    several = rows.groupBy("form").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("form")
-    # the few rows whose form has several spellings; everything below reads them again
-    kept = cut(rows.join(several, "form", "left_semi").distinct())
-    spelt = kept.select("form", "cls").distinct()
-    pairs = spelt.select("form", F.col("cls").alias("ca")).join(spelt.select("form", F.col("cls").alias("cb")), "form").where("ca < cb").select("ca", "cb")
-    both = expand_pairs(pairs, kept.select("cls", "id"), F.col("id_a") != F.col("id_b"))
+    rows = cut(canonical_column(base, "_t", "_c").select("id", F.unhex(F.md5("_c")).alias("form"), F.unhex(F.md5("_t")).alias("cls")))
+    several = rows.groupBy("form").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("form", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
+    # the few rows whose form has several spellings; those of a hot form are looked up in several places
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    kept = cut(merged(salted).join(merged(several), ["form", "_s"], "left_semi").select("id", "form", "cls").distinct())
+    pairs = key_pairs(kept.select(F.col("form").alias("key"), F.col("cls").alias("g")).distinct(), None)
+    both = expand_pairs(pairs, kept.select("cls", "id"), keep=F.col("id_a") != F.col("id_b"))
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

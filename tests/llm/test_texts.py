@@ -1,5 +1,6 @@
 import os
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -26,14 +27,32 @@ def test_different_looks(a, b):
     assert lookalike.canonical(a) != lookalike.canonical(b)
 
 
-def test_rules_hold_no_conflict_and_one_pass_is_enough():
-    table = lookalike.rules()
+def test_one_pass_is_enough_and_equivalent_spellings_meet():
+    t = lookalike.compiled()
     rng = random.Random(3)
-    keys = list(table) + list("abc é́‍‍ا")
-    for _ in range(500):
-        t = "".join(rng.choice(keys) for _ in range(8))
-        once = lookalike.step(t, table)
-        assert lookalike.step(once, table) == once
+    keys = list(t.parts) + list("abc ẹ́́̂̇̂̇̌‍‍اًّن각ᅡ") + ["\r\n"]
+    for _ in range(2000):
+        x = "".join(rng.choice(keys) for _ in range(8))
+        once = lookalike.canonical(x)
+        assert lookalike.canonical(once) == once
+        assert {lookalike.canonical(unicodedata.normalize(f, x)) for f in ("NFC", "NFD")} == {once}
+
+
+def test_sequences_are_what_joins_letters_and_marks():
+    without = lookalike.compile_rules(sequences=False)
+    for x, form in (("e\u0301", "é"), ("a\u0302\u0323", "ậ"), ("\u0627\u0654", "أ"), ("a\r\nb", "a\nb")):
+        assert lookalike.canonical(x) == form and without.run(x) != form
+
+
+def test_a_second_image_is_a_conflict():
+    t = lookalike.Transducer()
+    t.put("ab", "c")
+    t.put("ab", "c")
+    with pytest.raises(lookalike.Conflict):
+        t.put("ab", "d")
+    t.map("x", "y")
+    with pytest.raises(lookalike.Conflict):
+        t.map("x", "z")
 
 
 def test_pairs(spark):
