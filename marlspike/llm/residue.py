@@ -47,7 +47,8 @@ NEUTRAL = frozenset("the a an of to in on at is are was were be been it this tha
 #: "Only when" states a condition of the notice itself.
 PROSE = frozenset("when if because whenever although lorsque quand si parce اذا عندما لان kapag kung dahil جب اگر".split())
 QUOTED = re.compile(r"[\"“«][^\"”»\n]{1,80}[\"”»]")
-_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: Keys struck along a row of the keyboard, at least three.
+STRUCK = frozenset(row[i:j] for row in ("qwertyuiop", "asdfghjkl", "zxcvbnm") for i in range(len(row)) for j in range(i + 3, len(row) + 1))
 
 _KIND_OF: dict[str, list[tuple[str, bool]]] = {}
 for _certain, _table in ((True, CERTAIN), (False, LIKELY)):
@@ -55,9 +56,15 @@ for _certain, _table in ((True, CERTAIN), (False, LIKELY)):
         for _w in dict.fromkeys(_words.split()):
             _KIND_OF.setdefault(_w, []).append((_kind, _certain))
 
+#: Words with which a kind can be opened at all, and the fewest words of the passage that do.
+OPENING = frozenset(w for ws in CERTAIN.values() for w in ws.split()) | STRUCK
+LOREM_LEAST = 5
+
 WORD = re.compile(r"\w+")
 #: Words, paths, and runs of signs that stand where words should.
 TOKEN = re.compile(r"/\w+(?:/\w+)*|\w+|([.#\-_=*~])\1{2,}")
+#: One sign again and again: a run of signs, or a word of one character.
+REPEATED = re.compile(r"([.#\-_=*~])\1\1|\b(\w)\2\2+\b")
 #: Words between bars or wide gaps: a menu, whatever line it stands in.
 MENU = re.compile(r"(?:\S+ \| )+\S+|(?:\S+  )+\S+")
 #: Documents in which a line form must appear on a host to be recurrent there, the share of the host's documents, and
@@ -86,11 +93,6 @@ def has_field(text: str) -> bool:
     return False
 
 
-def mashed(w: str) -> bool:
-    """Keys struck at random: neighbours on one row of the keyboard, or one letter again and again."""
-    return (len(w) >= 3 and any(w in row for row in _ROWS)) or (len(w) >= 3 and w.isalpha() and len(set(w)) == 1)
-
-
 def judge(lines: Iterable[str]) -> str | None:
     """field, error, script, filler, or None for the lines of a residual with content, or with nothing in them."""
     text = "\n".join(lines)
@@ -107,10 +109,19 @@ def notice(text: str) -> str | None:
     Words of a kind count where the text has a certain word of that kind, likely ones in part; all other words are
     content. Paths count for errors, runs of signs and keys struck at random for filler.
     """
+    text = text.lower()
+    seen = WORD.findall(text)
+    # most texts have no word that opens a kind
+    if OPENING.isdisjoint(seen) and not REPEATED.search(text) and sum(map(LOREM.__contains__, seen)) < LOREM_LEAST:
+        return None
+    if "  " in text or "|" in text:
+        text = MENU.sub(" ", text)
+    if any(c in text for c in "\"“«"):
+        text = QUOTED.sub(" quoted ", text)
     certain = dict.fromkeys(CERTAIN, 0)
     listed: list[list[tuple[str, bool]]] = []
     other = lorem = paths = runs = 0
-    for m in TOKEN.finditer(QUOTED.sub(" quoted ", MENU.sub(" ", text.lower().replace("only when ", "only ").replace("only if ", "only ")))):
+    for m in TOKEN.finditer(text.replace("only when ", "only ").replace("only if ", "only ")):
         w = m.group()
         lorem += w in LOREM
         other += PROSE_PART if w in PROSE else 0
@@ -120,11 +131,11 @@ def notice(text: str) -> str | None:
                 certain[kind] += sure
         elif w[0] == "/" and len(w) > 1:
             paths += 1
-        elif m.group(1) or mashed(w) or (w.isdigit() and len(w) >= 3 and len(set(w)) == 1):
+        elif m.group(1) or w in STRUCK or (len(w) >= 3 and len(set(w)) == 1):
             runs += 1
         elif w not in NEUTRAL and w not in PROSE and not w.isdigit() and w not in LOREM:
             other += 1
-    if lorem >= 5 and lorem >= 0.8 * (lorem + other):
+    if lorem >= LOREM_LEAST and lorem >= 0.8 * (lorem + other):
         return "filler"
     certain["filler"] += runs
     open_ = [k for k in sorted(certain) if certain[k]]
