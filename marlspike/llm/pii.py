@@ -1,9 +1,10 @@
 """Problem 3: personal data in free text, by a skip-chain conditional random field.
 
-Every token has a label (O, EMAIL, PHONE, ID, ADDRESS, NAME). Neighbouring tokens and distant repetitions of a token
-share potentials; loopy sum-product passes messages along the chain and over the skip edges until labels of one
-document agree. Weights are fitted here on a bounded sample of messages with the service's own masks and seed
-patterns as labels.
+Every token has a label (O, EMAIL, PHONE, ID, ADDRESS, NAME). Neighbouring tokens and distant tokens that repeat or
+resemble each other share potentials; loopy sum-product passes messages along the chain and over the skip edges until
+labels of one document agree. Weights are fitted here on a bounded sample of messages with the service's own masks and
+seed patterns as labels. A message and its masked copy teach the skip edges as one document: what the mask left
+readable stands in both, and its label in the one is predicted by a first chain and handed to the other.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ K = len(LABELS)
 SAMPLE_ROWS = 6000
 #: Probability from which a token counts as found, and sweeps of the loopy inference.
 SURE, SWEEPS = 0.4, 3
-#: Log odds below which a token, with all that its edges can add, is taken for O without inference.
-MARGIN = 1.0
+#: Masked copies of the sample that teach skip edges.
+SAMPLE_COPIES = 1200
+#: Letters of a word that its likes share, and of a number's digits.
+STEM, STEM_DIGITS = 5, 8
 
 # Letters of other alphabets that stand for Latin ones, one for one.
 _LOOKS = dict(zip("асԁеһіјорԛѕԝухАВСЕНІЈКМОРЅТХοναΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "acdehijopqswyxABCEHIJKMOPSTXovaABEZHIKMNOPTYX", strict=True))
@@ -82,7 +85,7 @@ ADDRESS = re.compile(
 )
 _TWO = r"([^\W\d_]{2,}) ((?:بن )?[^\W\d_]{2,}(?:[\-'][^\W\d_]+)?)"
 NAME_LEFT = re.compile(
-    rf"(?:\b(?:this is|my name is|name is|i am|i'm|account holder:?|holder is|is under|under the name(?: of)?|ask for|contact person:?|regards,?|thanks,|best,|sincerely,?|cheers,|mr\.?|mrs\.?|ms\.?|miss|dr\.?|esmi|ismi|ma3akum|besm|je m'appelle|cordialement,?|ako (?:po )?si)|(?<![؀-ۿ])(?:انا|اسمي|باسم|معكم|السيدة?|الاستاذة?|تحياتي|میرا نام))[\s:،,]+{_TWO}",
+    rf"(?:\b(?:this is|my name is|name is|i am|i'm|account holder:?|holder is|is under|under the name(?: of)?|ask for|contact person:?|regards,?|thanks,|best,|sincerely,?|cheers,|mr\.?|mrs\.?|ms\.?|miss|dr\.?|esmi|ismi|ma3akum|besm|je m'appelle|cordialement,?|ako (?:po )?si)|(?<![؀-ۿ])(?:انا|اسمي|باسم|معكم|معاكم|السيدة?|الاستاذة?|تحياتي|مع الشكر|میرا نام))[\s:،,]+{_TWO}",
     re.I,
 )
 NAME_RIGHT = re.compile(rf"(?:^|[\s\-.,!?،؟]){_TWO} (?:speaking|here|signed it|opened it|يتكلم|معكم)\b", re.I)
@@ -92,6 +95,7 @@ KINDS = (("EMAIL", EMAIL), ("PHONE", PHONE), ("ID", ID), ("PASSPORT", PASSPORT),
 _ADDRESS_HINTS = ("villa", "house", "flat ", "apartment", " apt ", "unit ", "room ", "bldg", "building", " road", " street", " avenue", " lane", "box", "share3", "sha2a", "postale", " rue ", "boulevard", "فيل", "شقة", "بيت", "منزل", "بناية", "عمارة", "ص.ب", "ص. ب", "ص ب", "صندوق", "نمبر")
 _EMAIL_HINTS = ("@", " dot ", "(dot", "[dot", "(at)", "[at]", "{at}")
 _WORD_DIGITS = ("zero", " oh ", "double", "صفر")
+_SEVEN = re.compile(r"(?<!\d)\d{7}(?!\d)")
 _MAYBE_PHONE = re.compile(r"[+0]\d?[ .\-()]{0,2}\d[\d .\-()]{5}|971[ .\-]?5")
 
 
@@ -104,7 +108,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         any(h in low for h in _EMAIL_HINTS),
         (digits and _MAYBE_PHONE.search(text)) or any(h in low for h in _WORD_DIGITS),
         digits and "784" in low,
-        digits,
+        digits and _SEVEN.search(text),
         digits and any(h in low for h in _ADDRESS_HINTS),
     )
     for i, (go, (_, pattern)) in enumerate(zip(use, KINDS, strict=True)):
@@ -177,8 +181,12 @@ class Model:
     def __init__(self, index: dict[str, int], weights: np.ndarray, span: np.ndarray, start: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.vocabulary = Vocabulary(index)
         self.weights, self.span, self.start, self.chain, self.skip = weights, span, start, chain, skip
-        # the most that one more token of a label can gain from its edges, against O
-        self.reach = float((chain[1:, 1:] - chain[0, 0]).max() + max(0.0, float((skip[1:, 1:] - skip[0, 0]).max())))
+        # the most that a message from either neighbour and along one skip edge can add to a label's log odds to O
+        self.from_chain = ((chain - chain[:, :1]).max(0) + (chain.T - chain.T[:, :1]).max(0))[1:]
+        # log odds up to which the tokens of a text send nothing but O along skip edges
+        S = np.exp(skip - skip[0, 0])
+        self.quiet = float(np.log(np.maximum((1 - S[0, 1:]) / S[1:, 1:].sum(0), 1e-30)).min())
+        self.from_skip = max(0.0, float((skip - skip[:, :1]).max()))
         self.known = frozenset(f[4:] for f in index if f.startswith("s:w="))
         self.endings = frozenset(f.rpartition("=")[2] for f in index if f.partition(":")[2].startswith(("s2=", "s3=", "s4=", "Ts4=")))
         self.clear()
@@ -228,6 +236,35 @@ class Model:
                 u[i, : n[i]] += m @ self.span
         return u, n
 
+    def most(self, u: np.ndarray, n: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
+        """(texts, tokens, K - 1): log odds against O that no belief can exceed.
+
+        A message is a mean of potentials weighted by a belief, so its odds are at most those of its potentials'
+        largest difference, and at most what the bound on the belief itself allows; three rounds of that. Where no
+        token reaches ``SURE`` within the bound, the text is O throughout and needs no inference.
+        """
+        A, S = np.exp(self.chain - self.chain[0, 0]), np.exp(self.skip - self.skip[0, 0])
+        T = u.shape[1]
+        at = np.arange(T)
+        behind = (at[None, :] + 1 < n[:, None])[:, :, None]
+        base = u[:, :, 1:] - u[:, :, :1]
+        x = base + self.from_chain
+        if edges:
+            row, i, j = np.array(edges).T
+            np.add.at(x, (row, i), self.from_skip)
+            np.add.at(x, (row, j), self.from_skip)
+        for _ in range(3):
+            odds = np.exp(np.minimum(x, 30))
+            new = base.copy()
+            new[:, 1:] += np.log(A[0, 1:] + odds[:, :-1] @ A[1:, 1:])
+            new[:, :-1] += np.where(behind[:, :-1], np.log(A[1:, 0] + odds[:, 1:] @ A[1:, 1:].T), 0)
+            if edges:
+                # messages start at no preference and move half the way
+                np.add.at(new, (row, j), np.maximum(np.log(S[0, 1:] + odds[row, i] @ S[1:, 1:]), 0))
+                np.add.at(new, (row, i), np.maximum(np.log(S[0, 1:] + odds[row, j] @ S[1:, 1:]), 0))
+            x = np.minimum(x, new)
+        return x
+
     def marginals(self, u: np.ndarray, n: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
         """Label probabilities per token; ``edges``: (text, token, token) of the skip edges."""
         inside = np.arange(u.shape[1])[None, :] < n[:, None]
@@ -275,13 +312,20 @@ class Model:
             block = order[a : a + max(1, min(512, 200_000 // max(longest, 1)))]
             a += len(block)
             u, n = self.unary([parts[i][0] for i in block], [parts[i][1] for i in block])
-            # a run of a label can't pay for itself where no token comes near: such texts are O throughout
-            gain = (u[:, :, 1:] - u[:, :, :1]).max(2) + self.reach
-            open_ = np.flatnonzero(((gain > -MARGIN) & (np.arange(u.shape[1]) < n[:, None])).any(1))
+            inside = lambda: np.arange(u.shape[1]) < n[:, None]
+            # texts whose tokens can't move each other along skip edges need none of them
+            open_ = np.flatnonzero(((self.most(u, n, []).max(2) > min(np.log(SURE / (1 - SURE)), self.quiet)) & inside()).any(1))
             if not len(open_):
                 continue
+            block = [block[i] for i in open_]
             u, n = u[open_, : n[open_].max()], n[open_]
-            edges = [(x, p, q) for x, i in enumerate(open_) for p, q in skip_edges(parts[block[i]][0])]
+            edges = [(x, p, q) for x, i in enumerate(block) for p, q in skip_edges(parts[i][0])]
+            open_ = np.flatnonzero(((self.most(u, n, edges).max(2) > np.log(SURE / (1 - SURE))) & inside()).any(1))
+            if not len(open_):
+                continue
+            u, n = u[open_, : n[open_].max()], n[open_]
+            at = {int(i): x for x, i in enumerate(open_)}
+            edges = [(at[x], p, q) for x, p, q in edges if x in at]
             best = self.marginals(u, n, edges)
             lab = best[:, :, 1:].argmax(2) + 1
             lab[np.take_along_axis(best, lab[:, :, None], 2)[:, :, 0] < SURE] = 0
@@ -339,19 +383,58 @@ def tokens_of(text: str) -> tuple[list[str], np.ndarray | None]:
 
 
 def skip_edges(toks: list[str]) -> list[tuple[int, int]]:
-    """Pairs of distant tokens that are the same word or number: each with its last occurrence before it."""
-    last: dict[str, int] = {}
-    out = []
-    for i, w in enumerate(toks):
-        if len(w) >= 4 and w[0].isalnum():
-            k = w.lower()
-            j = last.get(k)
-            if j is not None and i - j > 1:
-                out.append((j, i))
-            last[k] = i
+    """Pairs of distant tokens of a text that are the same or alike (see ``links``)."""
+    return [(i, j) for _, i, _, j in links([toks])]
+
+
+def links(parts: list[list[str]]) -> list[tuple[int, int, int, int]]:
+    """(text, token, text, token): each token of a document's texts with the last one like it that is not its neighbour.
+
+    Alike are the same words in any case, words of ``STEM`` common letters at their start, and numbers of the same
+    digits however they are cut.
+    """
+    last: dict[str, tuple[int, int]] = {}
+    out: list[tuple[int, int, int, int]] = []
+
+    def link(key: str, x: int, i: int) -> bool:
+        there = last.get(key)
+        last[key] = (x, i)
+        if there is None or (there[0] == x and i - there[1] < 2):
+            return False
+        out.append((*there, x, i))
+        return True
+
+    for x, toks in enumerate(parts):
+        begin, digits = -1, ""
+        for i, w in enumerate(toks):
+            keys = _keys(w)
+            if keys is None:
+                if not digits:
+                    begin = i
+                digits += w
+            elif digits and not (w in "-. /" and i + 1 < len(toks) and toks[i + 1].isdigit()):
+                if len(digits) >= 7:
+                    link("#" + digits[-STEM_DIGITS:], x, begin)
+                digits = ""
+            for key in keys or ():
+                if link(key, x, i):
+                    break
+        if len(digits) >= 7:
+            link("#" + digits[-STEM_DIGITS:], x, begin)
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _keys(w: str) -> tuple[str, ...] | None:
+    """What a token is linked by: itself, then its stem; None for digits, which are linked as numbers."""
+    if w.isdigit():
+        return None
+    if len(w) < 4 or not w[0].isalnum():
+        return ()
+    low = w.lower()
+    return (low, low[:STEM] + "*") if len(low) > STEM else (low,)
+
+
 # ---------------------------------------------------------------- training
 
 _ALIGN = {"<EMAIL>": 1, "<PHONE>": 2, "<EID>": 3, "<ID>": 3, "<ADDRESS>": 4, "<NAME>": 5}
@@ -402,21 +485,27 @@ def seed_labels(text: str, offs: list[tuple[int, int]], marks: np.ndarray | None
 def train(pairs: list[tuple[str, str | None]], epochs: int = 4, seed: int = 7) -> Model:
     """Fit the field on (message, masked message) by pseudo-likelihood with Adagrad, in numpy.
 
-    Without any text the field has no weights and finds nothing.
+    A first round fits the chain. Its predictions then stand for the labels of distant tokens: a token of a document
+    that is linked to a found one and no common word gets the found label, and a second round fits the skip edges
+    with the predicted labels of their far ends. Without any text the field has no weights and finds nothing.
     """
     docs = []
+    copies = 0
     counts: Counter = Counter()
-    for message, masked in pairs:
-        text = plain(message)
-        toks, marks = tokens_of(text)
-        if not toks:
-            continue
-        offs = offsets_of(text)
-        docs.append((text, toks, offs, marks, aligned(message, masked) if masked else []))
-        counts.update({w.lower() for w in toks})
-    common = frozenset(w for w, c in counts.items() if c >= max(12, len(docs) // 250))
+    for number, (message, masked) in enumerate(pairs):
+        copy = masked and masked != message and copies < SAMPLE_COPIES
+        copies += bool(copy)
+        for given in (message, masked) if copy else (message,):
+            text = plain(given)
+            toks, marks = tokens_of(text)
+            if not toks:
+                continue
+            docs.append((number, text, toks, offsets_of(text), marks, aligned(message, masked) if masked and given is message else []))
+            if given is message:
+                counts.update({w.lower() for w in toks})
+    common = frozenset(w for w, c in counts.items() if c >= max(12, len(pairs) // 250))
     names: Counter = Counter()
-    for _, toks, *_ in docs:
+    for _, _, toks, *_ in docs:
         for w in toks:
             for f in word_features(w):
                 names["s:" + f] += 1
@@ -434,18 +523,16 @@ def train(pairs: list[tuple[str, str | None]], epochs: int = 4, seed: int = 7) -
     F0 = len(index)
     # columns behind the words: span marks, bias, previous and next label, label across a skip edge
     at_span, at_bias, at_prev, at_next, at_skip = F0, F0 + len(KINDS), F0 + len(KINDS) + 1, F0 + len(KINDS) + 1 + K, F0 + len(KINDS) + 1 + 2 * K
-    flat, sizes, ys = [], [], []
+    width = at_skip + K
+    flat, ys, words, firsts = [], [], [], []
     cache: dict[str, tuple[list[int], ...]] = {}
-    for text, toks, offs, marks, masks in docs:
+    for _, text, toks, offs, marks, masks in docs:
         lab = seed_labels(text, offs, marks, common, masks)
-        partner = {}
-        for i, j in skip_edges(toks):
-            partner.setdefault(i, []).append(j)
-            partner.setdefault(j, []).append(i)
+        firsts.append(len(ys))
         per = [cache.get(w) or cache.setdefault(w, voc.of(w)) for w in toks]
         n = len(toks)
         for i in range(n):
-            x = list(per[i][0])
+            x = [*per[i][0], at_bias]
             if i:
                 x += per[i - 1][1]
                 x.append(at_prev + lab[i - 1])
@@ -458,43 +545,65 @@ def train(pairs: list[tuple[str, str | None]], epochs: int = 4, seed: int = 7) -
                 x += per[i + 2][4]
             if marks is not None:
                 x += [at_span + int(k) for k in np.flatnonzero(marks[i])]
-            x += [at_skip + lab[j] for j in partner.get(i, ())]
-            x.append(at_bias)
             flat.append(x)
-            sizes.append(len(x))
             ys.append(lab[i])
+            words.append(toks[i])
     if not flat:
         none = np.zeros((K, K), np.float32)
         return Model({}, np.zeros((0, K), np.float32), np.zeros((len(KINDS), K), np.float32), np.zeros(K, np.float32), none, none)
     y = np.array(ys)
-    width = at_skip + K
-    W = np.zeros((width, K))
-    G = np.full((width, K), 1e-2)
     rng = np.random.default_rng(seed)
-    # keep every labelled token and its surroundings, and a share of the plain ones
+    W, G = np.zeros((width, K)), np.full((width, K), 1e-2)
+    _fit(W, G, flat, y, epochs // 2, rng)
+    # what the chain finds, or the labels say, is handed along the edges of each document
+    z = np.array([W[x].sum(0) for x in flat])
+    said = np.where(y > 0, y, z.argmax(1))
+    partners: dict[int, list[int]] = {}
+    a = 0
+    while a < len(docs):
+        b = a
+        while b < len(docs) and docs[b][0] == docs[a][0]:
+            b += 1
+        for p, i, q, j in links([d[2] for d in docs[a:b]]):
+            i, j = firsts[a + p] + i, firsts[a + q] + j
+            partners.setdefault(i, []).append(j)
+            partners.setdefault(j, []).append(i)
+        a = b
+    for i, near in partners.items():
+        found = {int(said[j]) for j in near if words[j].lower() == words[i].lower()} - {0}
+        if not y[i] and len(found) == 1 and words[i].lower() not in common:
+            y[i] = found.pop()
+    for i, near in partners.items():
+        flat[i] = flat[i] + [at_skip + int(said[j]) for j in near]
+    _fit(W, G, flat, y, epochs - epochs // 2, rng)
+    prev, nxt = W[at_prev : at_prev + K], W[at_next : at_next + K]
+    skip = W[at_skip : at_skip + K]
+    # one potential per edge: pseudo-likelihood weights of both directions, shared
+    return Model(index, W[:F0].astype(np.float32), W[at_span:at_bias].astype(np.float32), W[at_bias].astype(np.float32), ((prev + nxt.T) / 2).astype(np.float32), ((skip + skip.T) / 2).astype(np.float32))
+
+
+def _fit(W: np.ndarray, G: np.ndarray, flat: list[list[int]], y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """``epochs`` of Adagrad on tokens given as feature numbers; every labelled token and its surroundings, and a share of the plain ones."""
     near = np.convolve((y > 0).astype(int), np.ones(7, int), "same") > 0
     use = np.flatnonzero(near | (rng.random(len(y)) < 0.35))
+    sizes = np.array([len(x) for x in flat])
     for _ in range(epochs):
         rng.shuffle(use)
         for a in range(0, len(use), 2048):
             rows = use[a : a + 2048]
             ids = np.concatenate([flat[r] for r in rows])
-            off = np.concatenate([[0], np.cumsum([sizes[r] for r in rows])[:-1]])
+            off = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
             z = np.add.reduceat(W[ids], off, axis=0)
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            rep = np.repeat(np.arange(len(rows)), [sizes[r] for r in rows])
+            rep = np.repeat(np.arange(len(rows)), sizes[rows])
             g = np.zeros_like(W)
             for k in range(K):
-                g[:, k] = np.bincount(ids, weights=p[rep, k], minlength=width)
+                g[:, k] = np.bincount(ids, weights=p[rep, k], minlength=len(W))
             g += 2e-3 * W * (g != 0)
             G += g * g
             W -= 0.35 * g / np.sqrt(G)
-    prev, nxt = W[at_prev : at_prev + K], W[at_next : at_next + K]
-    skip = W[at_skip : at_skip + K]
-    # one potential per edge: pseudo-likelihood weights of both directions, shared
-    return Model(index, W[:F0].astype(np.float32), W[at_span:at_bias].astype(np.float32), W[at_bias].astype(np.float32), ((prev + nxt.T) / 2).astype(np.float32), np.clip((skip + skip.T) / 4, -1.5, 1.5).astype(np.float32))
 
 
 # ---------------------------------------------------------------- Spark

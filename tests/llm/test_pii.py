@@ -50,6 +50,49 @@ def test_frame(spark, model):
 
 def test_skip_edges_join_distant_repetitions():
     assert pii.skip_edges(["Janim", "went", "home", "said", "janim", "Janim"]) == [(0, 4)]
+    # the same stem, and the same digits in another cut
+    assert pii.skip_edges(["Roskovan", "paid", "for", "roskova"]) == [(0, 3)]
+    assert pii.skip_edges(["call", "0551656679", "or", "055", "-", "165", "-", "6679"]) == [(1, 3)]
+    assert pii.links([["Vadia", "called"], ["then", "Vadia"]]) == [(0, 0, 1, 1)]
+
+
+def test_an_unmarked_second_mention_takes_the_label_of_the_first():
+    import numpy as np
+
+    cues = [("my name is {}", "my name is <NAME>"), ("this is {} here", "this is <NAME> here"), ("{} speaking", "<NAME> speaking")]
+    pairs = []
+    for i in range(900):
+        name = f"{FIRST[i % 10]}{'lmnrst'[i % 6]}{'aeiou'[i // 7 % 5]} {LAST[(i * 7) % 8][:-3]}{'aeiou'[i % 5]}{'lmnrstkv'[i // 3 % 8]}en"
+        cue, masked = cues[i % 3]
+        pairs.append((f"{PLAIN[i % 5]}. {cue.format(name)}. {PLAIN[(i + 2) % 5]}", f"{PLAIN[i % 5]}. {masked}. {PLAIN[(i + 2) % 5]}" if i % 2 else f"{PLAIN[i % 5]}. {cue.format(name)}. {PLAIN[(i + 2) % 5]}!"))
+    m = pii.train(pairs)
+    assert m.skip[5, 5] > m.skip[5, 0]
+    text = "my name is Vadiala Drullaren. the clerk told vadiala drullaren to wait"
+    at = text.index("vadiala")
+
+    def second():
+        [(offs, lab)] = m.label([text])
+        return [int(k) for (a, _), k in zip(offs, lab, strict=True) if a >= at][:2]
+
+    both = second()
+    m.skip, m.from_skip, m.quiet = np.zeros_like(m.skip), 0.0, 99.0
+    m.clear()
+    assert both == [5, 5] and second() != [5, 5]
+
+
+def test_no_belief_exceeds_the_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        u, c, s = (rng.normal(size=x).astype(np.float32) for x in ((3, 7, pii.K), (pii.K, pii.K), (pii.K, pii.K)))
+        n = np.array([7, 4, 1])
+        edges = [(0, 0, 3), (0, 1, 5), (0, 3, 6), (1, 0, 2)]
+        m = pii.Model({}, np.zeros((1, pii.K), np.float32), np.zeros((5, pii.K), np.float32), np.zeros(pii.K, np.float32), c, s + s.T)
+        b = m.marginals(u, n, edges)
+        odds = np.log(b[:, :, 1:] / b[:, :, :1])
+        most = m.most(u, n, edges)
+        assert all((odds[i, : n[i]] <= most[i, : n[i]] + 1e-3).all() for i in range(3))
 
 
 def test_inference_is_exact_on_chains():
