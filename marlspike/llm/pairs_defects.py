@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marlspike.llm import lexicon
-from marlspike.session import cut
+from marlspike.operators.pairs import SALT
+from marlspike.session import cut, merged
 
 ORDER = ("empty", "echo", "refusal", "truncated", "wrong_language")
 
@@ -219,9 +220,15 @@ def defects(requests: DataFrame, responses: DataFrame) -> DataFrame:
     judged = r.join(q, "request_id").select("request_id", "_m", "_r", "_f").mapInArrow(judge, schema)
     # pairs with a defect or an open end only; both branches below read them
     judged = cut(judged.where("empty or echo or refusal or truncated or wrong_language or c is not null"))
-    asked = judged.where("c is not null").select("request_id", "finished", F.explode(keys()).alias("k")).select("request_id", "finished", "k.level", "k.key")
-    # five keys a reply: a list of bounded length
-    levels = asked.join(stats, "key", "left").groupBy("request_id").agg(F.collect_list(F.when(F.col("occ").isNotNull(), F.struct("level", "ends", "occ", "common"))).alias("x"), F.bool_and("finished").alias("finished"))
+    open_ends = judged.where("c is not null").select("request_id", "finished", "a", "b", "c")
+    # every context is judged once; one that many replies share, or a part that many contexts share, is looked up in
+    # several places
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s")
+    asked = cut(open_ends.select("a", "b", "c").distinct()).select("a", "b", "c", F.explode(keys()).alias("k")).select("a", "b", "c", "k.level", "k.key")
+    known = merged(stats).join(merged(asked.select("key").distinct()), "key").select("*", salts)
+    met = merged(asked.withColumn("_s", F.pmod(F.xxhash64("a", "b", "c"), F.lit(SALT)).cast("int"))).join(merged(known), ["key", "_s"], "left")
+    # five keys a context: a list of bounded length
+    levels = met.groupBy("a", "b", "c").agg(F.collect_list(F.when(F.col("occ").isNotNull(), F.struct("level", "ends", "occ", "common"))).alias("x"))
 
     @F.arrow_udf("boolean")
     def abrupt(v: pa.Array) -> pa.Array:
@@ -229,7 +236,9 @@ def defects(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
     marks = F.array(*[F.when(F.col(d), F.struct(F.lit(i).alias("rank"), F.lit(d).alias("defect"))) for i, d in enumerate(ORDER)])
     plain = judged.select("request_id", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select("request_id", "x.defect", "x.rank")
-    late = levels.where(F.coalesce(abrupt("x"), ~F.col("finished"))).select("request_id", F.lit("truncated").alias("defect"), F.lit(ORDER.index("truncated")).alias("rank"))
+    verdicts = levels.select("a", "b", "c", abrupt("x").alias("v")).select("*", salts)
+    ends = merged(open_ends.withColumn("_s", F.pmod(F.xxhash64("request_id"), F.lit(SALT)).cast("int"))).join(merged(verdicts), ["a", "b", "c", "_s"])
+    late = ends.where(F.coalesce("v", ~F.col("finished"))).select("request_id", F.lit("truncated").alias("defect"), F.lit(ORDER.index("truncated")).alias("rank"))
     return plain.unionByName(late).distinct()
 
 
