@@ -18,14 +18,18 @@ from marlspike.llm import lexicon, pii
 LANGS = ("en", "ar", "arabizi", "fr", "ur", "tl")
 #: Window and stride in bytes; embedding size, filters per width, widths.
 WINDOW, STRIDE, EMBED, FILTERS, WIDTHS = 32, 8, 8, 16, (2, 3, 4)
-#: Labelled texts per language and column that the network is trained on: the bound on the sample.
-SAMPLE_TEXTS = 500
-#: Windows of random function words per language of the lexicon.
-LEXICON_WINDOWS = 500
+#: Labelled texts per language and column that the network is trained on, and as many of those under ``BRIEF``
+#: characters: the bound on the sample.
+SAMPLE_TEXTS, BRIEF = 500, 24
+#: Rows of one text from which its labels outvote each other, and the share of them that settles its label.
+VOTES, MAJORITY = 5, 0.6
+#: Windows of random function words per language of the lexicon, with which training starts, and windows of a few
+#: words of each text.
+LEXICON_WINDOWS, SHORT_WINDOWS = 500, 2
 #: Words that a clause needs to count as a language of the text, and the cost of a change of language in nats.
 CLAUSE_WORDS, SWITCH = 4, 4.0
-#: Confidence that a second language of a text needs, and words up to which a text is short.
-SECOND, SHORT = 0.62, 6
+#: Confidence that a second language of a text needs.
+SECOND = 0.62
 
 # Spellings of labels.
 _SPELLINGS = {
@@ -108,14 +112,16 @@ class Network:
         self.c = np.zeros(len(LANGS), np.float32)
         self.tables: list[np.ndarray] = []
 
-    def fit(self, windows: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam on the cross entropy with label smoothing; ``windows`` (n, WINDOW) bytes."""
+    def fit(self, windows: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 5) -> None:
+        """Adam on the cross entropy with label smoothing, at a fifth of the rate in the last epoch; ``windows`` (n, WINDOW) bytes."""
         rng = np.random.default_rng(seed)
         params = [self.E, self.V, self.c, *self.W, *self.b]
         m1 = [np.zeros_like(p) for p in params]
         m2 = [np.zeros_like(p) for p in params]
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            if epoch and epoch == epochs - 1:
+                rate /= 5
             order = rng.permutation(len(y))
             for a in range(0, len(order), batch):
                 rows = order[a : a + batch]
@@ -188,17 +194,12 @@ class Network:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def trusted(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The labelled texts whose function words and script speak for their label and for no other language."""
-    return [(k, t) for k, t in texts if set(lexicon.languages(t, least=2)) == {k}]
-
-
 def training_windows(texts: list[tuple[str, str]], seed: int = 9, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` windows per (label, text), at random places of its clauses."""
     rng = np.random.default_rng(seed)
     out, y = [], []
     for label, text in texts:
-        parts = [d for c in clauses_of(text) if len(d := " ".join(c.split()).encode()) >= 6]
+        parts = [d for c in clauses_of(text) if len(d := " ".join(c.split()).encode()) >= 2]
         if not parts:
             continue
         k = LANGS.index(label)
@@ -208,7 +209,13 @@ def training_windows(texts: list[tuple[str, str]], seed: int = 9, most: int = 8)
             part = data[a : a + WINDOW]
             out.append(np.frombuffer(part + bytes(WINDOW - len(part)), np.uint8))
             y.append(k)
-    # short messages are rare among distinct texts: function words alone teach them
+        # short messages are rare among distinct texts: a few words of longer ones teach them
+        for _ in range(SHORT_WINDOWS):
+            ws = parts[int(rng.integers(len(parts)))].split()
+            i, n = int(rng.integers(len(ws))), int(rng.integers(1, 5))
+            part = b" ".join(ws[i : i + n])[:WINDOW]
+            out.append(np.frombuffer(part + bytes(WINDOW - len(part)), np.uint8))
+            y.append(k)
     for label, words in lexicon.WORDS.items():
         own = sorted(set(words) - lexicon.SHARED)
         for _ in range(LEXICON_WINDOWS):
@@ -218,39 +225,55 @@ def training_windows(texts: list[tuple[str, str]], seed: int = 9, most: int = 8)
     return np.array(out), np.array(y)
 
 
-def train(texts: list[tuple[str, str]]) -> Network:
-    """A network from (label, text) pairs; labels are noisy, so only trusted pairs teach."""
+def train(texts: list[tuple[str, str, bool]]) -> Network:
+    """A network from (label, text, whether the label is settled) with noisy labels.
+
+    Each half of the texts fits a network, which judges the labels of the other half; a text teaches the final
+    network where its label is settled, or the one language that the other half's network finds in it.
+    """
+    order = np.random.default_rng(13).permutation(len(texts))
+    halves = [[texts[i] for i in order[h::2]] for h in (0, 1)]
+    kept: list[tuple[str, str]] = []
+    for one, other in (halves, halves[::-1]):
+        net = Network()
+        net.fit(*training_windows([(k, t) for k, t, _ in one]), epochs=2)
+        given = [t for _, t, _ in other]
+        mask, _ = document_languages(analyse(net, given))
+        want = np.array([LANGS.index(k) for k, _, _ in other], int)
+        right = (mask.sum(1) == 1) & (mask.argmax(1) == want) if len(other) else []
+        for (k, t, sure), ok in zip(other, right, strict=True):
+            kept += [(k, t)] * (VOTES if sure else int(ok))
     net = Network()
-    x, y = training_windows(trusted(texts))
-    net.fit(x, y)
+    net.fit(*training_windows(kept))
     return net
 
 
-def labelled_sample(df: DataFrame, text_col: str, label_col: str, per: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """At most ``per`` texts of each language, by the hash of the text over the whole table.
+def labelled_sample(df: DataFrame, text_col: str, label_col: str, per: int = SAMPLE_TEXTS) -> list[tuple[str, str, bool]]:
+    """(label, text, settled): at most ``per`` texts of each language, and as many brief ones, by the hash of the text
+    over the whole table.
 
-    Every task keeps its own smallest hashes per language, so no group of one language meets in a task.
+    An estimate of the number of distinct texts bounds the hash values from which they are taken. A text has the label
+    that most of its rows give it; it is settled where ``VOTES`` rows or more agree well enough.
     """
-    base = df.select(label_column(label_col).alias("l"), F.col(text_col).alias("t")).where(F.col("l").isin(*LANGS) & (F.length("t") >= 8)).withColumn("h", F.xxhash64("t"))
-
-    def smallest(batches):  # noqa: ANN001, ANN202
-        best: dict[str, list[tuple[int, str]]] = {k: [] for k in LANGS}
-        for b in batches:
-            for k, t, h in zip(*(b.column(c).to_pylist() for c in ("l", "t", "h")), strict=True):
-                best[k].append((h, t))
-            for k in LANGS:
-                if len(best[k]) > 4 * per:
-                    best[k] = sorted(set(best[k]))[:per]
-        rows = [(k, t, h) for k in LANGS for h, t in sorted(set(best[k]))[:per]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["l", "t", "h"])
-
-    kept = base.mapInArrow(smallest, "l string, t string, h long")
-    # what the tasks kept is at most tasks x languages x per rows; merge it in a few wider tasks, then on the driver
-    merged = kept.repartition(4, "l").mapInArrow(smallest, "l string, t string, h long")
-    best: dict[str, list[tuple[int, str]]] = {k: [] for k in LANGS}
-    for r in merged.collect():
-        best[r["l"]].append((r["h"], r["t"]))
-    return [(k, t) for k in LANGS for _, t in sorted(set(best[k]))[:per]]
+    base = df.select(label_column(label_col).alias("l"), F.col(text_col).alias("t")).where(F.col("l").isin(*LANGS) & (F.length("t") >= 2))
+    base = base.withColumn("h", F.xxhash64("t")).withColumn("s", F.length("t") < BRIEF)
+    sizes = {(r["s"], r["l"]): r["n"] for r in base.groupBy("s", "l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    # twice the share of the hash values that is expected to hold the wanted number: a bounded number of rows, whatever
+    # the table. Brief texts, whose labels are counted, are taken by one share for all languages.
+    share = lambda n: min(1.0, 2 * per / max(n, 1))
+    brief = share(max((n for (s, _), n in sizes.items() if s), default=0))
+    longer = [F.when(F.col("l") == k, share(n)) for (s, k), n in sizes.items() if not s]
+    most = F.when(F.col("s"), brief).otherwise(F.coalesce(*longer, F.lit(0.0)))
+    few = base.where(F.col("h") / F.lit(2.0**64) + F.lit(0.5) <= most).groupBy("s", "h", "t", "l").agg(F.count(F.lit(1)).alias("n"))
+    votes: dict[tuple[bool, int, str], dict[str, int]] = {}
+    for r in few.collect():
+        votes.setdefault((r["s"], r["h"], r["t"]), {})[r["l"]] = r["n"]
+    by: dict[tuple[bool, str], list[tuple[str, bool]]] = {}
+    for s, h, t in sorted(votes):
+        of = votes[s, h, t]
+        top = max(sorted(of), key=lambda k: of[k])
+        by.setdefault((s, top), []).append((t, sum(of.values()) >= VOTES and of[top] >= MAJORITY * sum(of.values())))
+    return [(k, t, sure) for k in LANGS for s in (False, True) for t, sure in by.get((s, k), [])[:per]]
 
 
 class Found:
@@ -364,11 +387,10 @@ def _viterbi(z: np.ndarray, owner: np.ndarray, clause: np.ndarray) -> np.ndarray
     return out
 
 
-def document_languages(found: Found, texts: list[str | None], clause: int = CLAUSE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def document_languages(found: Found, clause: int = CLAUSE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(texts, languages) masks and confidences: the languages with a clause of enough words, else the strongest.
 
-    A second language needs a confidence of ``SECOND``. In texts of a few words the function words of the lexicon
-    add to what the network says.
+    A second language needs a confidence of ``SECOND``.
     """
     t = found.table()
     L = len(LANGS)
@@ -382,13 +404,6 @@ def document_languages(found: Found, texts: list[str | None], clause: int = CLAU
     weight = weight.reshape(-1, L)
     np.logical_or.at(mask.ravel(), key[t[:, 3] >= clause], True)
     total = words.reshape(-1, L).sum(1)
-    for i in np.flatnonzero((total > 0) & (total <= SHORT)):
-        said = lexicon.evidence(texts[i])
-        if len(said) == 1 and (k := LANGS.index(next(iter(said)))) != weight[i].argmax() and said[LANGS[k]] * 2 >= total[i]:
-            mask[i] = False
-            mask[i, k] = True
-            conf[i, k] = max(conf[i, k], said[LANGS[k]] / total[i])
-            weight[i, k] = weight[i].max() + 1
     best = weight.argmax(1)
     mask &= (conf >= SECOND) | (np.arange(L)[None, :] == best[:, None])
     none = ~mask.any(1) & (total > 0)
@@ -408,7 +423,7 @@ def detect(df: DataFrame, net: Network, keys: tuple[str, ...], text_col: str = "
     def run(batches):  # noqa: ANN001, ANN202
         names = pa.array(LANGS)
         for b in batches:
-            mask, conf = document_languages(analyse(shared.value, texts := b.column("_t").to_pylist()), texts)
+            mask, conf = document_languages(analyse(shared.value, b.column("_t").to_pylist()))
             row, lang = np.nonzero(mask)
             offs = pa.array(np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32))
             flat = pa.StructArray.from_arrays([names.take(pa.array(lang)), pa.array(conf[row, lang])], names=["lang", "confidence"])

@@ -240,7 +240,7 @@ def net():
 
 
 def langs(net, text):
-    mask, conf = langid.document_languages(langid.analyse(net, [text]), [text])
+    mask, conf = langid.document_languages(langid.analyse(net, [text]))
     assert ((conf >= 0) & (conf <= 1)).all()
     return {langid.LANGS[k] for k in np.flatnonzero(mask[0])}
 
@@ -277,3 +277,20 @@ def test_sample_is_bounded_and_repeatable(spark):
     df = spark.range(300).select(F.concat(F.lit("some english text "), F.col("id")).alias("t"), F.lit("EN").alias("l"))
     a = langid.labelled_sample(df, "t", "l", per=20)
     assert len(a) == 20 and a == langid.labelled_sample(df.repartition(7), "t", "l", per=20)
+
+
+def test_wrong_labels_do_not_teach():
+    rng = random.Random(2)
+    given = []
+    for k, t in SAYS.items():
+        w = t.split()
+        # a fifth of the labels are wrong
+        given += [(rng.choice(langid.LANGS) if i % 5 == 0 else k, " ".join(rng.choice(w) for _ in range(14)), False) for i in range(160)]
+    n = langid.train(given)
+    assert all(langs(n, SAYS[k]) == {k} for k in SAYS)
+    assert langid.train([]) is not None
+
+
+def test_rows_of_a_brief_text_vote_on_its_label(spark):
+    df = spark.createDataFrame([("hala", "ar-Latn")] * 6 + [("hala", "tl")] * 2 + [("hi", "en")] * 2 + [("hi", None)], "t string, l string")
+    assert langid.labelled_sample(df, "t", "l") == [("en", "hi", False), ("arabizi", "hala", True)]
