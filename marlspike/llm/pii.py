@@ -610,11 +610,21 @@ def _fit(W: np.ndarray, G: np.ndarray, flat: list[list[int]], y: np.ndarray, epo
 
 
 def training_sample(requests: DataFrame, responses: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str | None]]:
-    """At most ``rows`` pairs, two thirds of them with a mask, chosen by the hash of the id over the whole table."""
-    pick = responses.select("request_id", "message_masked").where("request_id is not null and message_masked is not null")
-    has = F.col("message_masked").rlike("<(EMAIL|PHONE|EID|NAME|ADDRESS)>")
+    """At most ``rows`` pairs, two thirds of them with a mask, chosen by the hash of the id over the whole table.
+
+    A count of both sorts bounds the hashes from which they are taken, so that a bounded number of rows is ordered
+    whatever the table holds.
+    """
     order = F.xxhash64("request_id", F.lit(11))
-    some = pick.where(has).orderBy(order, "message_masked").limit(rows * 2 // 3).unionByName(pick.where(~has).orderBy(order, "message_masked").limit(rows // 3))
+    pick = responses.select("request_id", "message_masked", order.alias("_o"), F.col("message_masked").rlike("<(EMAIL|PHONE|EID|NAME|ADDRESS)>").alias("_m")).where("request_id is not null and message_masked is not null")
+    sizes = {r["_m"]: r["count"] for r in pick.groupBy("_m").count().collect()}
+
+    def few(mask: bool, k: int) -> DataFrame:
+        share = min(1.0, 2 * k / max(sizes.get(mask, 0), 1))
+        return pick.where((F.col("_m") == mask) & (F.col("_o") / F.lit(2.0**64) + F.lit(0.5) <= share)).orderBy("_o", "message_masked").limit(k).drop("_o", "_m")
+
+    some = few(True, rows * 2 // 3).unionByName(few(False, rows // 3))
+    # the sample is bounded by ``rows``
     return [(r[0], r[1]) for r in requests.select("request_id", "message").where("message is not null").join(F.broadcast(some), "request_id").select("request_id", "message", "message_masked").distinct().orderBy("request_id", "message").select("message", "message_masked").limit(rows).collect()]
 
 
