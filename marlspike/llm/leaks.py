@@ -7,6 +7,7 @@ lists of the other terms are intersected along the same diagonal.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from functools import lru_cache
@@ -80,9 +81,12 @@ def index_postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict
 
 
 def anchors_of(terms: np.ndarray, freq: np.ndarray, run: int) -> list[int]:
-    """Offsets such that every window of ``run`` words has its rarest term among them."""
+    """Offsets that no match can do without: the rarest term of every window of ``run`` words, and so many of the
+    rarest terms of the item that no diagonal with ``NEAR_SHARE`` of its words can miss them all."""
     rare = freq[terms]
-    return sorted({w + int(np.argmin(rare[w : w + run])) for w in range(len(terms) - run + 1)})
+    windows = {w + int(np.argmin(rare[w : w + run])) for w in range(len(terms) - run + 1)}
+    least = math.ceil(NEAR_SHARE * len(terms) - 1e-9)
+    return sorted(windows | set(np.argsort(rare, kind="stable")[: len(terms) - least + 1].tolist()))
 
 
 def match_batch(doc_no: np.ndarray, term: np.ndarray, pos: np.ndarray, items: list[tuple[int, np.ndarray, list[int]]], run: int) -> list[tuple[int, int, int, float]]:

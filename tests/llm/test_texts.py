@@ -92,6 +92,28 @@ def test_leaks_against_a_loop(spark):
     assert leaks.find_leaks(df.limit(0), it).count() == 0 and leaks.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_proximity_against_a_loop(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, [rng.choice(words) for _ in range(rng.randrange(10, 22))]) for i in range(12)]
+    docs = []
+    for i in range(80):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, 8)):
+            # changed words are new to the corpus, so that they are the rarest of all
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}" if rng.random() < 0.7 else rng.choice(words)
+        docs.append((i, [rng.choice(words) for _ in range(rng.randrange(0, 9))] + w))
+
+    def share(d, w):
+        return max((sum(0 <= s + j < len(d) and d[s + j] == x for j, x in enumerate(w)) for s in range(-len(w), len(d))), default=0) / len(w)
+
+    want = {(d, i) for d, dw in docs for i, w in items if share(dw, w) >= leaks.NEAR_SHARE}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = leaks.find_leaks(df, it).where(F.col("share") >= leaks.NEAR_SHARE)
+    assert {tuple(r) for r in got.select("doc_id", "item_id").collect()} == want and len(want) > 30
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     text = "a b c d e f g h i j k l"
     it = spark.createDataFrame([(i, f"{i} {text}") for i in range(5)], "item_id long, text string")
