@@ -203,6 +203,20 @@ def sentences(c: Column) -> Column:
     return F.split(c, f"(?<=[.!?؟]){S}+")
 
 
+def sentences_between(c: Column, least: int, most: int, langs: list[str]) -> Column:
+    """The sentences of ``least`` to ``most`` characters whose tag is one of ``langs``."""
+    trimmed = F.transform(sentences(c), lambda x: squeeze(x))
+    return F.filter(trimmed, lambda x: F.length(x).between(least, most) & detect_lang(x).isin(langs))
+
+
+def without_substrings(c: Column, parts: list[str]) -> Column:
+    """Whether a text holds none of the given strings; a null text holds none."""
+    hit = F.lit(False)
+    for p in parts:
+        hit = hit | F.contains(c, F.lit(p))
+    return ~F.coalesce(hit, F.lit(False))
+
+
 def plain_words(c: Column) -> Column:
     """Distinct lower-case words without punctuation."""
     return F.array_distinct(F.filter(F.split(squeeze(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}_\\s]", " ")), " "), lambda w: w != ""))

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
-from marlspike.session import cut, settled
+from marlspike.operators.components import connected_components
+from marlspike.operators.pairs import key_pairs
+from marlspike.session import cut, merged, settled
 
 #: Counters per set in the bound of ``close_classes``, and sets and items that one broadcast block of the fixed side
 #: holds about. All give the same result.
 FOLD = 2048
 FIXED_BLOCK = 4096
 FIXED_ITEMS = FIXED_BLOCK * 512
+#: Links of one component that one task settles in memory; larger components shrink by rounds first.
+COMPONENT_LINKS = 200_000
+#: Losing rows that are sent to every task instead of being joined.
+FEW = 500_000
 
 
 def text_key(c: Column) -> Column:
@@ -23,13 +30,16 @@ def text_key(c: Column) -> Column:
 def exact_dedup(df: DataFrame, text: str, order: str, among: Column | None = None) -> DataFrame:
     """``df`` with ``first``: whether a row is the first of its text by ``order``; false outside ``among``.
 
-    The first row of every key comes from a partial minimum and is joined back on the order column, so a text that
-    a third of all rows share is not gathered in one task. A null text is no text's copy and no first.
+    Only the order column and the key of the text travel. The first row of every key comes from a partial minimum,
+    and the others are told by their order, so a text that a third of all rows share is not gathered in one task.
+    A null text is no text's copy and no first.
     """
     key = text_key(F.col(text))
     keyed = df.select(order, (key if among is None else F.when(among, key)).alias("_k"))
-    firsts = keyed.where("_k is not null").groupBy("_k").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_f"))
-    return df.join(firsts, order, "left").withColumn("first", F.coalesce("_f", F.lit(False))).drop("_f")
+    firsts = keyed.where("_k is not null").groupBy("_k").agg(F.min(order).alias(order)).select(order)
+    others = cut(merged(keyed.select(order)).join(merged(firsts), order, "left_anti").select(order, F.lit(True).alias("_o")))
+    few = others.count() <= FEW
+    return df.join(F.broadcast(others) if few else merged(others), order, "left").withColumn("first", F.col("_o").isNull()).drop("_o")
 
 
 def merge_sources(df: DataFrame, text: str, rank: str, order: str, allowed: Column) -> DataFrame:
@@ -62,49 +72,101 @@ def char_grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n))))
 
 
-def similar_pairs(sets: DataFrame, key: str, items: str, num: int, den: int) -> DataFrame:
-    """(``a``, ``b``) with ``a < b`` whose sets reach a Jaccard similarity of ``num/den``; exact.
+def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(``a``, ``b``) with ``a < b``: the representatives whose sets reach a Jaccard similarity of ``num/den``; exact.
 
-    Prefix filter: with items ordered from rare to common, two alike sets share one of their first
-    n - ceil(n * num / den) + 1 items. Items of one set leave before the join; sizes are compared in it.
+    ``classes``: ``rep``, ``n``, ``h``, one row per distinct set, materialised. Prefix filter: with items ordered from
+    rare to common, two alike sets share one of their first n - ceil(n * num / den) + 1 items. Sizes and places are
+    compared in the join, which cuts hot items into blocks.
     """
-    hashed = sets.select(F.col(key).alias("id"), settled(F.array_sort(F.transform(items, lambda x: F.xxhash64(x)))).alias("h")).withColumn("n", F.size("h")).where("n > 0")
-    one = hashed.select("id", "n", F.explode("h").alias("x"))
-    seen = one.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    ranked = one.join(seen, "x").withColumn("r", F.row_number().over(Win.partitionBy("id").orderBy("df", "x")))
+    one = classes.select(F.col("rep").alias("id"), "n", F.explode("h").alias("x"))
+    seen = one.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = merged(one).join(merged(seen), "x", "left").withColumn("r", F.row_number().over(Win.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "x")))
     need = F.floor((F.col("n") * num + (den - 1)) / den)
-    post = ranked.where((F.col("r") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("id", "n", "x", "r")
-    a, b = (post.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), "x", F.col("r").alias(f"r{s}")) for s in "ab")
-    reach = F.lit(1) + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    both = F.floor(((F.col("na") + F.col("nb")) * num + (num + den - 1)) / (num + den))
-    cand = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den) & (reach >= both)).select("a", "b").distinct()
-    ha, hb = (hashed.select(F.col("id").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
+    post = ranked.where((F.col("r") <= F.col("n") - need + 1) & F.col("df").isNotNull()).select(F.col("x").alias("key"), F.col("id").alias("g"), "n", F.col("r").alias("p"))
+    na, nb, pa_, pb = (F.col(c) for c in ("na", "nb", "pa", "pb"))
+    both = F.floor(((na + nb) * num + (num + den - 1)) / (num + den))
+    cand = key_pairs(post, None, (na * num <= nb * den) & (nb * num <= na * den) & (F.lit(1) + F.least(na - pa_, nb - pb) >= both))
+    ha, hb = (merged(classes.select(F.col("rep").alias(f"c{s}"), F.col("h").alias(f"h{s}"))) for s in "ab")
     common, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
-    return cand.join(ha, "a").join(hb, "b").where(common * (num + den) >= total * num).select("a", "b")
+    found = merged(merged(cand).join(ha, "ca")).join(hb, "cb").where(common * (num + den) >= total * num)
+    return found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def near_duplicates(sets: DataFrame, key: str, items: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs ``a`` < ``b`` of alike class representatives, members ``id``, ``rep``); both materialised.
+
+    Rows of equal sets form a class, whose representative is the smallest id. Null and empty sets form none.
+    """
+    hashed = hashed_sets(sets, key, items)
+    classes = cut(hashed.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("h").alias("h")))
+    members = cut(merged(hashed.select("id", "cls")).join(merged(classes.select("cls", "rep")), "cls").select("id", "rep"))
+    return cut(similar_pairs(classes, num, den)), members
+
+
+def near_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``id``, ``rep`` and ``links`` of every row with a copy or a link: its class and the other classes linked to it."""
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    classes = merged(sizes).join(merged(ends), "rep", "left").where("size > 1 or links is not null").select("rep", F.coalesce("links", F.lit(0)).alias("links"))
+    return merged(members).join(merged(classes), "rep").select("id", "rep", "links")
+
+
+def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id``, ``keep``: a row is dropped if and only if an earlier kept row is alike to it.
 
-    ``pairs``: ``a < b``. Every round settles the rows without an open or kept smaller neighbour; the open pairs
-    shrink and are cut to the shared folder. A dropped row never drops another.
+    ``pairs``: ``a < b``. A dropped row never drops another. Links fall apart into components, which don't touch each
+    other: each of up to ``COMPONENT_LINKS`` links is settled in order by one task. Of larger ones a round settles the
+    rows without an open smaller neighbour, and what is left is split again; rounds go on until no link is open.
     """
     open_ = cut(pairs.select("a", "b").distinct())
-    dropped = None
-    for _ in range(max_rounds):
-        # kept now: rows that are no one's larger neighbour among the open pairs
-        larger = open_.select(F.col("b").alias("v")).distinct()
-        kept = open_.select(F.col("a").alias("v")).distinct().join(larger, "v", "left_anti")
-        lost = cut(open_.join(kept.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct())
-        dropped = lost if dropped is None else cut(dropped.unionByName(lost))
-        gone = lost.unionByName(kept)
-        open_ = cut(open_.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(lost.withColumnRenamed("v", "b"), "b", "left_anti"))
-        if open_.isEmpty():
+    kind = open_.schema["a"].dataType.simpleString()
+    lost: list[DataFrame] = []
+    while not open_.isEmpty():
+        labels = cut(connected_components(open_.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        tagged = merged(open_).join(merged(labels.select(F.col("v").alias("a"), "label")), "a")
+        sizes = tagged.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        small = sizes.where(F.col("_n") <= COMPONENT_LINKS).select("label")
+        lost.append(cut(merged(tagged).join(merged(small), "label", "left_semi").groupBy("label").applyInPandas(_dropped, f"v {kind}")))
+        rest = cut(merged(tagged).join(merged(small), "label", "left_anti").select("a", "b"))
+        if rest.isEmpty():
             break
-    else:
-        raise RuntimeError(f"near-duplicate removal did not settle within {max_rounds} rounds")
-    out = dropped.distinct().select(F.col("v").alias("id"), F.lit(True).alias("_d"))
-    return ids.select("id").distinct().join(out, "id", "left").select("id", F.col("_d").isNull().alias("keep"))
+        larger = rest.select(F.col("b").alias("v")).distinct()
+        kept = rest.select(F.col("a").alias("v")).distinct().join(larger, "v", "left_anti")
+        gone = cut(merged(rest).join(merged(kept.withColumnRenamed("v", "a")), "a", "left_semi").select(F.col("b").alias("v")).distinct())
+        lost.append(gone)
+        settled_ = gone.unionByName(kept)
+        open_ = cut(merged(merged(rest).join(merged(settled_.withColumnRenamed("v", "a")), "a", "left_anti")).join(merged(gone.withColumnRenamed("v", "b")), "b", "left_anti"))
+    all_ids = ids.select("id").distinct()
+    if not lost:
+        return all_ids.withColumn("keep", F.lit(True))
+    out = lost[0]
+    for x in lost[1:]:
+        out = out.unionByName(x)
+    return merged(all_ids).join(merged(out.distinct().select(F.col("v").alias("id"), F.lit(True).alias("_d"))), "id", "left").select("id", F.col("_d").isNull().alias("keep"))
+
+
+def _dropped(links: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one component that an earlier kept row drops."""
+    earlier: dict = {}
+    for a, b in zip(links["a"], links["b"], strict=True):
+        earlier.setdefault(b, []).append(a)
+    out: set = set()
+    for b in sorted(earlier):
+        if any(a not in out for a in earlier[b]):
+            out.add(b)
+    return pd.DataFrame({"v": sorted(out)})
+
+
+def near_duplicates_kept(sets: DataFrame, key: str, items: str, num: int, den: int) -> DataFrame:
+    """``id``, ``keep`` of every row of ``sets``: greedy removal over classes; of a class no more than its first stays.
+
+    A copy of a kept row is dropped by it, one of a dropped row by what dropped that; rows without a set stay.
+    """
+    pairs, members = near_duplicates(sets, key, items, num, den)
+    reps = greedy_keep(members.select(F.col("rep").alias("id")), pairs).select(F.col("id").alias("rep"), F.col("keep").alias("_keep"))
+    known = merged(members).join(merged(reps), "rep").select("id", ((F.col("id") == F.col("rep")) & F.col("_keep")).alias("_k"))
+    return merged(sets.select(F.col(key).alias("id")).distinct()).join(merged(known), "id", "left").select("id", F.coalesce("_k", F.lit(True)).alias("keep"))
 
 
 def hashed_sets(sets: DataFrame, key: str, items: str) -> DataFrame:
@@ -205,6 +267,35 @@ def decontaminate(train: DataFrame, held: DataFrame, key: str, exact: str, items
     return train.join(hit, key, "left_anti")
 
 
+def overlaps(test: DataFrame, train: DataFrame, cap: int, num: int, den: int, most: int = 3) -> DataFrame:
+    """(``id``, ``kind``, ``path``): test rows that stand in ``train``, exactly or, if not, nearly.
+
+    Both: ``id``, ``text`` (raw), ``key`` (canonical), ``items``; ``train`` also ``path`` and ``near`` (whether its
+    near copies count). Training texts longer than ``cap`` times the longest test text can't be copies and are left
+    out. ``path`` is the first path of an exact copy, null for a near one.
+    """
+    longest = test.agg(F.coalesce(F.max(F.length("text")), F.lit(0))).first()[0]
+    use = train.where(F.length("text") <= cap * longest)
+    firsts = use.groupBy("key").agg(F.min("path").alias("path"))
+    exact = test.select("id", "key").join(firsts, "key").select("id", F.lit("exact").alias("kind"), "path")
+    rest = test.join(exact.select("id"), "id", "left_anti")
+    near = near_copies(rest, use.where("near"), "id", "key", "items", num, den).where("kind = 'near'")
+    return exact.unionByName(near.select("id", "kind", F.lit(None).cast("string").alias("path")))
+
+
+def fetch_plan(df: DataFrame, text: str, rank: str, order: str) -> DataFrame:
+    """The rows that sampling starts from: of equal texts the one of the first source, before any source is sampled."""
+    firsts = df.where(F.col(text).isNotNull()).groupBy(text_key(F.col(text)).alias("_k")).agg(F.min(F.struct(rank, order)).alias("_f"))
+    chosen = firsts.select(F.col("_f")[rank].alias(rank), F.col("_f")[order].alias(order))
+    return df.join(chosen, [rank, order], "left_semi")
+
+
+def example_reasons(rows: DataFrame, text: str, order: str, allowed: Column, examples: list[str], max_jaccard: float) -> DataFrame:
+    """``reason`` per row: duplicate, then wrong_lang, then example_copy, else kept."""
+    firsts = exact_dedup(rows, text, order)
+    return firsts.withColumn("reason", F.when(~F.col("first"), "duplicate").when(~F.coalesce(allowed, F.lit(False)), "wrong_lang").when(example_copies(rows, examples, text, max_jaccard), "example_copy").otherwise("kept")).drop("first")
+
+
 def example_copies(rows: DataFrame, examples: list[str], text: str, max_jaccard: float) -> Column:
     """Whether a text shares more than ``max_jaccard`` of its words with one of the given prompt examples."""
     from marlspike.functions.text import jaccard, plain_words

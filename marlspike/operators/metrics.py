@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from marlspike.operators.ranks import range_bucket, running
@@ -96,20 +98,89 @@ def select_checkpoint(df: DataFrame, score: str, tie: float, *order: Column) ->
     return df.where(F.col(score) >= F.lit(top) - tie).orderBy(*order).limit(1)
 
 
-def paired_bootstrap(df: DataFrame, key: str, a: Column, b: Column, rounds: int = 200, seed: int = 1) -> DataFrame:
-    """diff, lo, hi: the difference of two rates over paired rows and its 95 % interval.
+def coverage_by(df: DataFrame, by: str, conf: str, correct: Column, target: float) -> DataFrame:
+    """``by``, threshold, coverage, accuracy: ``coverage_at`` within every group; null and 0 where none is enough.
+
+    Null values of ``by`` form a group. Running sums go over distinct confidences in two levels.
+    """
+    ties = df.where(F.col(conf).isNotNull()).groupBy(by, F.col(conf).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(correct.cast("int")).alias("ok"))
+    run = running(ties, [by], range_bucket(ties, "c", descending=True), [F.desc("c")], {"bn": F.col("n"), "bok": F.col("ok")})
+    done = run.select(by, "c", (F.col("bn") + F.col("n")).alias("cn"), (F.col("bok") + F.col("ok")).alias("cok"))
+    met = F.when(F.col("cok") / F.col("cn") >= target, F.col("c"))
+    best = done.groupBy(by).agg(F.max("cn").alias("all"), F.min_by(F.struct("c", "cn", "cok"), met).alias("x"), F.count(met).alias("k"))
+    x = F.when(F.col("k") > 0, F.col("x"))
+    return best.select(by, x["c"].alias("threshold"), F.coalesce(x["cn"] / F.col("all"), F.lit(0.0)).alias("coverage"), (x["cok"] / x["cn"]).alias("accuracy"))
+
+
+def summary(df: DataFrame, by: str, rates: dict[str, str]) -> DataFrame:
+    """Rows and rates over all of ``df`` (``overall`` 1) and per value of ``by``."""
+    return df.groupingSets([[by], []], by).agg(F.grouping(by).cast("bigint").alias("overall"), F.count(F.lit(1)).alias("n"), *[rate(F.col(c)).alias(k) for k, c in rates.items()])
+
+
+def before_and_after(df: DataFrame, by: str, guard: Column, right: Column) -> DataFrame:
+    """``n`` and ``rate`` of right rows before and after a guard takes rows out, per value of ``by``."""
+    g, r = F.coalesce(guard, F.lit(False)), F.coalesce(right, F.lit(False)).cast("int")
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_before"), F.avg(r).alias("rate_before"), F.count_if(g).alias("n_after"), F.avg(F.when(g, r)).alias("rate_after"))
+
+
+def usable(df: DataFrame, kept: Column, agreed: Column, flagged: Column, checked: Column, seconds: str) -> DataFrame:
+    """usable_rate (of all rows), agreement (of kept ones), flagged_rate (of checked ones), seconds_per_usable."""
+    k, a, f, c = (F.coalesce(x, F.lit(False)) for x in (kept, agreed, flagged, checked))
+    good = F.count_if(k & a)
+    return df.agg(
+        (good / F.count(F.lit(1))).alias("usable_rate"), (good / F.greatest(F.count_if(k), F.lit(1))).alias("agreement"), F.when(F.count_if(c) > 0, F.count_if(f & c) / F.count_if(c)).alias("flagged_rate"), (F.sum(seconds) / F.greatest(good, F.lit(1))).alias("seconds_per_usable")
+    )
+
+
+def shares(df: DataFrame, by: str, value: Column) -> DataFrame:
+    """``by``, ``total`` (1 for the row of all), ``amount`` and its ``share``: ratios from one scan, with the total row."""
+    per = df.groupingSets([[by], []], by).agg(F.grouping(by).cast("bigint").alias("total"), F.sum(value).alias("amount"))
+    # one row per group: the window sees no data
+    return per.withColumn("share", F.col("amount") / F.max(F.when(F.col("total") == 1, F.col("amount"))).over(Win.partitionBy(F.lit(0))))
+
+
+def totals_by_name(df: DataFrame, counts: str) -> DataFrame:
+    """``name``, ``total``: the sums of a column of maps by key."""
+    return df.select(F.explode(counts).alias("name", "v")).groupBy("name").agg(F.sum("v").alias("total"))
+
+
+# Distribution function of Poisson(1).
+POISSON = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
+
+Metric = Callable[[DataFrame, str, str], DataFrame]
+
+
+def weighted_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """``_i``, ``value``: the weighted share of right predictions per round; a null prediction is wrong."""
+    right = F.coalesce(F.col(gold) == F.col(pred), F.lit(False)).cast("int")
+    return df.groupBy("_i").agg((F.sum(right * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("value"))
+
+
+def weighted_macro_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """``_i``, ``value``: the mean F1 over the round's gold classes."""
+    cells = df.where("_w > 0").groupBy("_i", F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.sum("_w").alias("w"))
+    hit = F.col("g").eqNullSafe(F.col("p"))
+    own = cells.select("_i", F.col("g").alias("c"), F.when(hit, F.col("w")).otherwise(0).alias("tp"), F.when(hit, 0).otherwise(F.col("w")).alias("fn"), F.lit(0).alias("fp"))
+    false = cells.where("p is not null and not p <=> g").select("_i", F.col("p").alias("c"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), F.col("w").alias("fp"))
+    per = own.unionByName(false).groupBy("_i", "c").agg(*[F.sum(x).alias(x) for x in ("tp", "fn", "fp")]).where("tp + fn > 0")
+    f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    return per.groupBy("_i").agg(F.avg(f1).alias("value"))
+
+
+def paired_bootstrap(df: DataFrame, key: str, gold: str, a: str, b: str, metric: Metric = weighted_accuracy, rounds: int = 200, seed: int = 1) -> DataFrame:
+    """diff, lo, hi: the metric of system ``a`` less that of ``b`` over the same rows, and its 95 % interval.
 
-    Every row draws a Poisson(1) weight per round from a hash, which resamples rows without an index or a join;
-    the rounds are summed per task before they are shuffled.
+    Every row draws a Poisson(1) weight per round from the md5 of seed, round and key, which resamples rows without
+    an index or a join; the rounds are summed per task before they are shuffled. ``metric`` maps rows with ``_i`` (the
+    round) and ``_w`` (the weight) to one value per round.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("_i"), F.col("_k")), F.lit(1 << 32)) / float(1 << 32)
-    # distribution function of Poisson(1)
-    weight = sum((u >= s).cast("int") for s in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941))
-    d = df.select(F.col(key).alias("_k"), (a.cast("int") - b.cast("int")).alias("_d"))
-    reps = d.select("_k", "_d", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_i")).select("_i", "_d", weight.alias("_w")).groupBy("_i").agg((F.sum(F.col("_d") * F.col("_w")) / F.sum("_w")).alias("r"))
+    d = df.select(F.col(key).alias("_k"), F.col(gold).alias("_g"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_i").cast("string"), F.col("_k").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = sum((u >= s).cast("int") for s in POISSON)
+    # round -1 is the table itself
+    reps = d.select("*", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))).alias("_i")).withColumn("_w", F.when(F.col("_i") < 0, 1).otherwise(weight))
+    both = metric(reps, "_g", "_a").withColumnRenamed("value", "x").join(metric(reps, "_g", "_b").withColumnRenamed("value", "y"), "_i").select("_i", (F.col("x") - F.col("y")).alias("r"))
     # a fixed number of rounds: a list of bounded length
-    grid = reps.agg(F.array_sort(F.collect_list("r")).alias("g"))
-    at = lambda i: F.element_at("g", i + 1)
-    lo, hi = int(0.025 * rounds), int(0.975 * rounds) - 1
-    got = grid.select(at(lo).alias("lo"), at(hi).alias("hi")).first()
-    return d.agg(F.avg("_d").alias("diff")).select("diff", F.lit(got["lo"]).alias("lo"), F.lit(got["hi"]).alias("hi"))
+    grid = both.agg(F.array_sort(F.collect_list(F.when(F.col("_i") >= 0, F.col("r")))).alias("g"), F.max(F.when(F.col("_i") < 0, F.col("r"))).alias("diff"))
+    at = lambda i: F.get("g", F.lit(i))
+    return grid.select("diff", at(int(0.025 * rounds)).alias("lo"), at(int(0.975 * rounds) - 1).alias("hi"))

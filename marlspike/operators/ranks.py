@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 #: Buckets per group: the most rows that the window over totals sees for one group.
 BUCKETS = 4096
+#: Quantiles that the buckets of numbers follow.
+QUANTILES = 64
 
 
 def hash_bucket(order: Column) -> Column:
@@ -18,12 +20,27 @@ def hash_bucket(order: Column) -> Column:
 
 
 def range_bucket(df: DataFrame, c: str, descending: bool = False, buckets: int = BUCKETS) -> Column:
-    """Bucket of a number between the smallest and the largest of the table."""
-    lo, hi = df.agg(F.min(c), F.max(c)).first()
-    if lo is None or lo == hi:
+    """Bucket of a number: between which of ``QUANTILES`` approximate quantiles of the table it stands, and where there.
+
+    One outlying number stretches one of the quantiles' ranges and no other.
+    """
+    bounds = df.agg(F.percentile_approx(c, [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()["q"]
+    if not bounds:
         return F.lit(0)
-    b = F.least(F.floor((F.col(c) - F.lit(lo)) * F.lit(buckets) / F.lit(hi - lo)), F.lit(buckets - 1)).cast("int")
-    return F.lit(buckets - 1) - b if descending else b
+    edges = sorted(set(bounds))
+    parts = max(1, buckets // QUANTILES)
+
+    def find(lo: int, hi: int) -> Column:
+        """The bucket of a number between two edges, by halving."""
+        if hi - lo <= 1:
+            a, b = edges[lo], edges[min(hi, len(edges) - 1)]
+            inside = F.floor((F.col(c) - F.lit(a)) * F.lit(parts) / F.lit(b - a)) if b > a else F.lit(0)
+            return (F.lit(lo * parts) + F.greatest(F.lit(0), F.least(inside, F.lit(parts - 1)))).cast("int")
+        mid = (lo + hi) // 2
+        return F.when(F.col(c) < F.lit(edges[mid]), find(lo, mid)).otherwise(find(mid, hi))
+
+    b = find(0, len(edges))
+    return F.lit(len(edges) * parts) - b if descending else b
 
 
 def running(df: DataFrame, by: list[str], bucket: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:

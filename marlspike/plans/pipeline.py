@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from marlspike.functions import text as T
-from marlspike.operators.dedup import exact_dedup, greedy_keep, shingled, similar_pairs
+from marlspike.operators.dedup import exact_dedup, near_duplicates_kept, shingled
 from marlspike.operators.sampling import in_val
-from marlspike.session import cut, settled
+from marlspike.session import cut, merged, settled
 
 
 @dataclass(frozen=True)
@@ -40,15 +40,15 @@ def run_pipeline(docs: DataFrame, order: str, cfg: PipelineConfig) -> DataFrame:
     """
     norm = docs.select(order, settled(T.normalize(F.col("text"), cfg.strip_diacritics, cfg.unify_alef)).alias("text"), "source")
     reason = T.quality_reason(F.col("text"), cfg.min_chars, cfg.max_chars, cfg.min_letter_ratio, cfg.repetitive_min_words, cfg.min_unique_word_ratio)
-    judged = norm.withColumn("_q", reason)
+    # written once: the rules, the masks and NFKC run a single time, whatever reads the result
+    judged = cut(norm.withColumn("_q", reason))
     ok = F.col("_q") == "ok"
-    # one pass over the texts decides; rows that fail a rule have no key and meet no other row
+    # rows that fail a rule have no key and meet no other row
     good = exact_dedup(judged, "text", order, ok).withColumn("status", F.when(~ok, F.concat(F.lit("drop_"), "_q")).when(F.col("first"), "kept").otherwise("drop_exact_dup")).drop("first", "_q")
     if cfg.near_dup:
-        good = cut(good)
         kept = cut(shingled(good.where("status = 'kept'"), order, F.col("text"), cfg.shingle_words))
-        keep = greedy_keep(kept, similar_pairs(kept, "id", "s", *cfg.near_dup))
-        good = good.join(keep.withColumnRenamed("id", order), order, "left").withColumn("status", F.when(F.col("keep") == F.lit(False), "drop_near_dup").otherwise(F.col("status"))).drop("keep")
+        near = near_duplicates_kept(kept, "id", "s", *cfg.near_dup).where("not keep").select(F.col("id").alias(order), F.lit(True).alias("_n"))
+        good = merged(good).join(merged(near), order, "left").withColumn("status", F.when(F.col("_n"), "drop_near_dup").otherwise(F.col("status"))).drop("_n")
     alive = F.col("status") == "kept"
     return good.withColumn("lang", F.when(alive, T.detect_lang(F.col("text")))).withColumn("split", F.when(alive, F.when(in_val(F.col("text"), cfg.seed, cfg.val_frac), "val").otherwise("train")))
 

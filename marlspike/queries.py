@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marlspike import sqltext
 from marlspike.functions import jsonio, text as T
 from marlspike.operators import dedup, joins, metrics, sampling, tokens
 from marlspike.plans import pipeline
@@ -73,12 +74,40 @@ def corpus_clean(spark: SparkSession, d: str, cfg: pipeline.PipelineConfig = pip
     return pipeline.run_pipeline(spread(_docs(spark, d).select("doc_id", "text", "source")), "doc_id", cfg)
 
 
-@query()
+_CLEAN_SQL = f"""n AS {sqltext.normalized('SELECT doc_id, text FROM documents', 'doc_id', 'text', alef=False)},
+ x AS (SELECT doc_id, text, length(text) AS n, {WORDS_SQL.format(c='text')} AS ws, {LETTERS_SQL.format(c='text')} AS letters FROM n),
+ q AS (SELECT d.doc_id, x.text, CASE WHEN x.text IS NULL OR n < 10 THEN 'too_short' WHEN n > 1000000 THEN 'too_long' WHEN letters < 0.5 * n THEN 'low_letter_ratio'
+  WHEN len(ws) >= 6 AND len(list_distinct(ws)) < 0.1 * len(ws) THEN 'repetitive' ELSE 'ok' END AS r FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id),
+ e AS (SELECT doc_id, text, CASE WHEN r <> 'ok' THEN 'drop_' || r WHEN row_number() OVER (PARTITION BY r = 'ok', md5(lower(text)) ORDER BY doc_id) = 1 THEN 'kept' ELSE 'drop_exact_dup' END AS status FROM q)"""
+
+
+def _clean_report_sql(final: str) -> str:
+    """Counts and characters per status, split and tag of the rows of ``final``."""
+    bare = f"(SELECT doc_id, text, status, regexp_replace(text, '<(URL|EMAIL|EID|IBAN|CARD|PHONE|NUM)>', ' ', 'g') AS bare FROM {final})"
+    tagged = _lang_sql("doc_id", "bare", bare, ", text, status")
+    return f"""SELECT status, CASE WHEN status = 'kept' THEN CASE WHEN substring(sha256('42:' || text), 1, 16) < '{sampling.threshold(0.005)}' THEN 'val' ELSE 'train' END END AS split,
+ CASE WHEN status = 'kept' THEN {TAG_SQL} END AS lang, count(*) AS docs, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM (SELECT * FROM {tagged} UNION ALL SELECT doc_id, NULL, 0, 0, [], text, status FROM {final} WHERE text IS NULL) GROUP BY 1, 2, 3"""
+
+
+_NEAR_SQL = """w AS (SELECT {k} AS id, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM {f}),
+ s AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: list_aggregate(w[i:i + 2], 'string_agg', ' ')))) AS g FROM w WHERE len(w) > 0),
+ c AS (SELECT id, count(*) AS n, md5(string_agg(g, chr(0) ORDER BY g)) AS cls FROM s GROUP BY 1),
+ m AS (SELECT id, n, min(id) OVER (PARTITION BY cls) AS rep FROM c),
+ p AS (SELECT a.id AS a, b.id AS b FROM (SELECT s.* FROM s JOIN m ON m.id = s.id AND m.rep = m.id) a JOIN (SELECT s.* FROM s JOIN m ON m.id = s.id AND m.rep = m.id) b ON a.g = b.g AND a.id < b.id
+  JOIN m x ON x.id = a.id JOIN m y ON y.id = b.id GROUP BY a.id, b.id, x.n, y.n HAVING count(*) * 9 >= (x.n + y.n) * 4)"""
+# rows settle in their order: kept if no kept smaller row is linked
+_GREEDY_SQL = """v AS (SELECT DISTINCT x AS id FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p)), o AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM v),
+ near AS (SELECT o.k, list(oa.k) AS before FROM p JOIN o ON o.id = p.b JOIN o oa ON oa.id = p.a GROUP BY 1),
+ g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.k + 1, CASE WHEN list_has_any(kept, coalesce(n.before, []::BIGINT[])) THEN kept ELSE list_append(kept, g.k + 1) END FROM g LEFT JOIN near n ON n.k = g.k + 1 WHERE g.k < (SELECT count(*) FROM o)),
+ lost AS (SELECT id FROM o WHERE NOT list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), o.k))"""
+
+
+@query(f"WITH {_CLEAN_SQL} {_clean_report_sql('e')}")
 def corpus_clean_report(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.pipeline_stats(corpus_clean(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CLEAN_SQL}, {_NEAR_SQL.format(k='doc_id', f="e WHERE status = 'kept'")}, {_GREEDY_SQL}, f AS (SELECT doc_id, text, CASE WHEN doc_id IN (SELECT id FROM lost) OR doc_id IN (SELECT id FROM m WHERE id <> rep) THEN 'drop_near_dup' ELSE status END AS status FROM e) {_clean_report_sql('f')}")
 def corpus_clean_near_dup(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.pipeline_stats(corpus_clean(spark, d, replace(pipeline.PRETRAIN, near_dup=(4, 5))))
 
@@ -101,7 +130,7 @@ def script_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").where("text is not null").select("msg_id", T.detect_lang(F.col("text")).alias("tag"))
 
 
-@query()
+@query(f"""SELECT mark, sum(len(regexp_extract_all(m, '<' || mark || '>')))::BIGINT AS n FROM (SELECT {sqltext.masked('message')} AS m FROM (SELECT DISTINCT request_id, message FROM predict_requests)), (VALUES ('URL'), ('EMAIL'), ('EID'), ('IBAN'), ('CARD'), ('PHONE'), ('NUM')) v(mark) GROUP BY 1""")
 def masked_numbers(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("m")
     marks = ["URL", "EMAIL", "EID", "IBAN", "CARD", "PHONE", "NUM"]
@@ -109,12 +138,18 @@ def masked_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(settled(T.mask_pii(F.col("message"))).alias("m")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("mark"), F.regexp_count(m, F.lit(f"<{k}>")).alias("n")) for k in marks])).alias("x")).groupBy("x.mark").agg(F.sum("x.n").alias("n"))
 
 
-@query()
+@query(sqltext.normalized("SELECT msg_id, text FROM messages", "msg_id", "text")[1:-1])
 def normalized_messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_id", T.normalize(F.col("text")).alias("text"))
 
 
-@query()
+_FITS_SQL = f"""WITH p AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT request_id, message, reply FROM {PAIRS_SQL})),
+ a AS (SELECT k, {TAG_SQL} AS tag FROM {_lang_sql('k', 'message', 'p')}), b AS (SELECT k, {TAG_SQL} AS tag FROM {_lang_sql('k', 'reply', 'p')})
+SELECT request_id, CASE WHEN a.tag = 'en' AND regexp_matches(reply, '{AR_SQL}') THEN false WHEN a.tag = 'en' THEN b.tag = 'en' WHEN a.tag IN ('ar', 'arabizi') THEN b.tag = 'ar' WHEN a.tag = 'mixed' THEN b.tag IN ('ar', 'mixed') ELSE true END AS fits
+ FROM p LEFT JOIN a USING (k) LEFT JOIN b USING (k)"""
+
+
+@query(_FITS_SQL)
 def reply_guard(spark: SparkSession, d: str) -> DataFrame:
     allowed = {"english": ["en"], "gulf_arabic": ["ar"], "arabizi": ["ar"], "mixed": ["ar", "mixed"]}
     return _pairs(spark, d, "message", "reply").select("request_id", T.reply_fits(F.col("message"), F.col("reply"), allowed).alias("fits"))
@@ -205,7 +240,7 @@ def shuffled_cap(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shuffle_cap(table(spark, d, "messages").select("msg_id"), "msg_id", 13, 100)
 
 
-@query("""WITH x AS (SELECT DISTINCT r.row_id, lower(trim(r.source)) AS s, length(r.text) AS n, h.target_chars // 100 AS target FROM hub_rows r JOIN hub_sources h ON lower(trim(r.source)) = h.name WHERE r.text IS NOT NULL),
+@query("""WITH x AS (SELECT DISTINCT r.row_id, lower(trim(r.source)) AS s, length(r.text) AS n, h.target_chars AS target FROM hub_rows r JOIN hub_sources h ON lower(trim(r.source)) = h.name WHERE r.text IS NOT NULL),
  y AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY md5('17:' || row_id), row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x)
 SELECT row_id, s AS source FROM y WHERE target = 0 OR b < target""")
 def until_target_chars(spark: SparkSession, d: str) -> DataFrame:
@@ -235,10 +270,7 @@ def merged_sources(spark: SparkSession, d: str) -> DataFrame:
     return dedup.merge_sources(rows, "text", "source", "msg_id", F.col("variety") != "mixed").select("msg_id", "reason")
 
 
-_SHINGLES_SQL = """w AS (SELECT msg_id, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM messages WHERE text IS NOT NULL AND trim(text) <> ''),
- s AS (SELECT msg_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: list_aggregate(w[i:i + 2], 'string_agg', ' ')))) AS g FROM w WHERE len(w) > 0),
- n AS (SELECT msg_id, count(*) AS n FROM s GROUP BY 1),
- c AS (SELECT a.msg_id AS a, b.msg_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.msg_id < b.msg_id GROUP BY 1, 2)"""
+_MESSAGES_NEAR_SQL = _NEAR_SQL.format(k="msg_id", f="messages WHERE text IS NOT NULL AND trim(text) <> ''")
 
 
 def _shingled(spark: SparkSession, d: str) -> DataFrame:
@@ -246,18 +278,23 @@ def _shingled(spark: SparkSession, d: str) -> DataFrame:
     return dedup.shingled(rows, "msg_id", F.col("text"), 3)
 
 
-@query(f"WITH {_SHINGLES_SQL} SELECT a, b FROM c JOIN n x ON x.msg_id = a JOIN n y ON y.msg_id = b WHERE c * 9 >= (x.n + y.n) * 4")
+@query(f"WITH {_MESSAGES_NEAR_SQL} SELECT a, b FROM p")
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.similar_pairs(_shingled(spark, d), "id", "s", 4, 5)
+    return dedup.near_duplicates(_shingled(spark, d), "id", "s", 4, 5)[0]
+
 
+@query(f"""WITH {_MESSAGES_NEAR_SQL}, l AS (SELECT x AS rep, count(*) AS links FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+SELECT id, m.rep, coalesce(links, 0) AS links FROM m LEFT JOIN l ON l.rep = m.rep WHERE links IS NOT NULL OR m.rep IN (SELECT rep FROM m GROUP BY rep HAVING count(*) > 1)""")
+def near_duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_members(*dedup.near_duplicates(_shingled(spark, d), "id", "s", 4, 5))
 
-@query()
+
+@query(f"WITH RECURSIVE {_MESSAGES_NEAR_SQL}, {_GREEDY_SQL} SELECT id, id = rep AND id NOT IN (SELECT id FROM lost) AS keep FROM m")
 def near_duplicates_kept(spark: SparkSession, d: str) -> DataFrame:
-    rows = _shingled(spark, d)
-    return dedup.greedy_keep(rows, dedup.similar_pairs(rows, "id", "s", 4, 5))
+    return dedup.near_duplicates_kept(_shingled(spark, d), "id", "s", 4, 5)
 
 
-_FOLD_SQL = r"trim(regexp_replace(regexp_replace(translate(lower(text), 'ةىأإآٱ', 'هياااا'), '[^\p{L}\p{N}_<>\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_FOLD_SQL = sqltext.folded("text")
 
 
 @query(f"SELECT msg_id FROM messages WHERE split = 'test' AND text IS NOT NULL AND {_FOLD_SQL} IN (SELECT {_FOLD_SQL} FROM messages WHERE split = 'train' AND text IS NOT NULL)")
@@ -272,7 +309,13 @@ def _overlap_items(spark: SparkSession, d: str) -> DataFrame:
     return cut(m).withColumn("items", dedup.char_grams(F.col("key"), 3))
 
 
-@query()
+_OVERLAP_SQL = f"""k AS (SELECT msg_id, split, {_FOLD_SQL} AS key FROM {sqltext.normalized("SELECT msg_id, text FROM messages WHERE text IS NOT NULL AND trim(text) <> ''", 'msg_id', 'text')} JOIN (SELECT msg_id, split FROM messages) USING (msg_id)),
+ t AS (SELECT msg_id, split, key, ' ' || lower(key) || ' ' AS t FROM k), i AS (SELECT msg_id, split, unnest(list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda j: t[j:j + 2]))) AS g FROM t WHERE split IN ('train', 'test')),
+ n AS (SELECT msg_id, count(*) AS n FROM i GROUP BY 1), same AS (SELECT msg_id FROM k WHERE split = 'train' AND key IN (SELECT key FROM k WHERE split = 'test')),
+ near AS (SELECT a.msg_id FROM i a JOIN i b ON a.g = b.g JOIN n x ON x.msg_id = a.msg_id JOIN n y ON y.msg_id = b.msg_id WHERE a.split = 'train' AND b.split = 'test' AND a.msg_id NOT IN (SELECT msg_id FROM same) GROUP BY a.msg_id, b.msg_id, x.n, y.n HAVING count(*) * 8 >= (x.n + y.n) * 3)"""
+
+
+@query(f"WITH {_OVERLAP_SQL} SELECT msg_id, 'exact' AS kind FROM same UNION SELECT msg_id, 'near' FROM near")
 def copies_of_held_out(spark: SparkSession, d: str) -> DataFrame:
     m = _overlap_items(spark, d)
     return dedup.near_copies(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 3, 5)
@@ -372,13 +415,6 @@ def smallest_cells(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("variety", "intent").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "variety", "intent").limit(10)
 
 
-@query("SELECT source, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / sum(sum(length(text))) OVER (), 9) AS share FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def source_shares(spark: SparkSession, d: str) -> DataFrame:
-    per = _docs(spark, d).where("text is not null").groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
-    total = per.agg(F.sum("chars")).first()[0]
-    return per.withColumn("share", F.round(F.col("chars") / F.lit(total), 9))
-
-
 @query(r"""WITH w AS (SELECT variety, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM messages WHERE text IS NOT NULL),
  g AS (SELECT variety, unnest(list_transform(range(1, len(w)), lambda i: w[i] || chr(0) || w[i + 1])) AS g FROM w)
 SELECT v.variety, coalesce(x.pairs, 0) AS pairs, coalesce(x.distinct2, 0.0) AS distinct2 FROM (SELECT DISTINCT variety FROM w) v LEFT JOIN (SELECT variety, count(*) AS pairs, round(count(DISTINCT g) / count(*), 9) AS distinct2 FROM g GROUP BY 1) x ON v.variety IS NOT DISTINCT FROM x.variety""")
@@ -404,12 +440,6 @@ def weighted_fit_rate(spark: SparkSession, d: str) -> DataFrame:
     return metrics.weighted_rate(x.withColumn("share", F.col("n") / F.lit(total)), "k", "n", "share").select(F.round("rate", 9).alias("rate"))
 
 
-@query()
-def bootstrap_difference(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d, "reply_fits", "finished")
-    return metrics.paired_bootstrap(p, "request_id", F.coalesce(F.col("reply_fits"), F.lit(False)), F.coalesce(F.col("finished"), F.lit(False)))
-
-
 @query(f"SELECT route, median(latency_ms) AS median, quantile_disc(latency_ms, 0.95) AS p95 FROM {PAIRS_SQL} GROUP BY 1")
 def latency_by_route(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, "route", "latency_ms").groupBy("route").agg(*metrics.latency("latency_ms"))
@@ -455,13 +485,6 @@ def routing(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, "valid_json", "reply_fits", "confidence").select("request_id", tokens.route(F.col("valid_json"), F.col("reply_fits"), F.col("confidence"), 0.5).alias("route"))
 
 
-@query()
-def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
-    names = [r["name"] for r in table(spark, d, "intents").select("name").collect()]
-    rows = _pairs(spark, d, "intent", "reply").where("reply is not null").select("request_id", jsonio.target(F.coalesce("intent", F.lit("")), F.col("reply")).alias("answer"))
-    return rows.select("request_id", jsonio.parse_answer(F.col("answer"), names).alias("x")).select("request_id", "x.parsed", "x.valid", "x.intent")
-
-
 # ------------------------------------------------------------------ tokens
 
 
@@ -544,7 +567,7 @@ def new_rows_only(spark: SparkSession, d: str) -> DataFrame:
     return dedup.new_only(m.where("split in ('dev', 'test')"), m.where("split = 'train'"), "text", "msg_id").select("msg_id")
 
 
-@query()
+@query(f"WITH {_OVERLAP_SQL} SELECT msg_id FROM k WHERE split = 'train' AND msg_id NOT IN (SELECT msg_id FROM same) AND msg_id NOT IN (SELECT msg_id FROM near)")
 def decontaminated_train(spark: SparkSession, d: str) -> DataFrame:
     m = _overlap_items(spark, d)
     return dedup.decontaminate(m.where("split = 'train'"), m.where("split = 'test'"), "msg_id", "key", "items", 3, 5).select("msg_id")
@@ -573,7 +596,4 @@ def pre_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(tokens.pre_tokens(F.col("text"))).cast("bigint").alias("pieces"))
 
 
-@query()
-def sampled_windows(spark: SparkSession, d: str) -> DataFrame:
-    shards = _docs(spark, d).where("text is not null").groupBy(F.floor(F.col("doc_id") / 1000).alias("shard")).agg(F.sum(F.length("text")).alias("n"))
-    return tokens.sample_windows(shards, "n", 128, 256, 5)
+from marlspike import assembly_queries  # noqa: E402, F401  registers its queries here
