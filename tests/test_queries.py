@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas
 import pytest
 
 from marlspike import queries as Q
@@ -20,7 +21,7 @@ def db():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pandas.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     v = v.item() if hasattr(v, "item") else v
     return round(v, 8) if isinstance(v, float) else v
