@@ -1,11 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlspike.llm.groupjoin import near_duplicate_groups
-from marlspike.llm.minhash import cross_split_pairs, overlap_report
-from marlspike.llm.shingles import WORD
+from marlspike.llm.minhash import _bloom_bits, band_keys, bloom_filter, cross_split_pairs, overlap_report
+from marlspike.llm.shingles import WORD, alike, sets_of
 
 SCHEMA = "msg_id long, text string, split string, source string, id string, n int, set string, cls string"
 
@@ -86,3 +87,20 @@ def test_a_hot_class_stays_whole(spark):
     got = near_duplicate_groups(frame(spark, rows), "msg_id", "text")
     assert got.count() == 401 and got.select("group_id").distinct().count() == 1
     assert cross_split_pairs(frame(spark, rows), "msg_id", "text", "split").count() == 200 * 201
+
+
+def test_sets_never_meet_in_a_broadcast_join(spark):
+    # small by the planner's count, which takes an array for one value
+    sets = spark.range(50).select("id", F.lit(3).alias("n"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("set")).checkpoint()
+    cand = spark.range(49).select(F.col("id").alias("ca"), (F.col("id") + 1).alias("cb"))
+    found = alike(cand, sets, "id", 1, 2)
+    assert found.count() == 49
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_filter_of_held_out_buckets_passes_every_one_of_them(spark):
+    texts = [" ".join(f"w{i * 3 + j}" for j in range(12)) for i in range(40)]
+    bits = bloom_filter(spark.createDataFrame([(t,) for t in texts], "text string"), 3, 4, 20)
+    keys = band_keys(*sets_of(pa.array(texts), 3), 4, 20).ravel()
+    for at in _bloom_bits(keys):
+        assert ((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).all()
