@@ -96,28 +96,29 @@ def near_duplicate_links(sets: DataFrame, num: int = 3, den: int = 5) -> DataFra
                 p = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)
                 at = pa.array(np.repeat(np.arange(len(ns)), sizes))
                 keys = flat[np.repeat(begin, sizes) + p]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in ("g", "n")), pa.array(p.astype(np.int32)), b.column("grp").take(at)], names=["key", "g", "n", "p", "grp"])
+                rest = ("grp",) if suffix else ()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in ("g", "n")), pa.array(p.astype(np.int32)), *(b.column(c).take(at) for c in rest)], names=["key", "g", "n", "p", *rest])
 
         return run
 
-    classes = cut(sets.select("cls", "n", "set").mapInArrow(grouped, "cls long, n int, grp binary"))
-    groups = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first"))
-    chosen = lambda d: merged(sets.select("cls", "n", "set")).join(merged(d), "cls")
-    # one row of postings per group: those of its first class
-    firsts = chosen(groups.select(F.col("first").alias("cls"), "grp")).select(F.col("grp").alias("g"), "n", "set", F.lit(b"").alias("grp"))
-    post = firsts.mapInArrow(posted(False), "key long, g binary, n int, p int, grp binary").drop("grp")
+    keyed = cut(sets.select("cls", "n", "set").mapInArrow(grouped, "cls long, n int, grp binary"))
+    groups = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first"))
+    # a group is named by its first class, which posts for all of it
+    classes = cut(merged(keyed).join(merged(groups), "grp").select("cls", F.col("first").alias("grp"), "size"))
+    needed = classes.where("cls = grp or size > 1")
+    rows = merged(sets.select("cls", "n", "set")).join(merged(needed), "cls")
+    post = rows.where("cls = grp").select(F.col("cls").alias("g"), "n", "set").mapInArrow(posted(False), "key long, g long, n int, p int")
     na, nb, pa_, pb = (F.col(c) for c in ("na", "nb", "pa", "pb"))
     sizes = (na * num <= nb * den) & (nb * num <= na * den)
     reach = F.least(na - pa_, nb - pb)
     across = key_pairs(post, None, sizes & (reach >= _ceil(na + nb, num, num + den)))
     expanded = expand_pairs(across, classes.select(F.col("grp").alias("cls"), F.col("cls").alias("id"))).select(F.least("id_a", "id_b").alias("ca"), F.greatest("id_a", "id_b").alias("cb"))
     # within a group all sizes are equal and the prefix is common: what is missing must come from the suffix
-    crowded = merged(classes).join(merged(groups.where("size > 1").select("grp")), "grp").select("cls", "grp")
-    inner = chosen(crowded).select(F.col("cls").alias("g"), "n", "set", "grp").mapInArrow(posted(True), "key long, g long, n int, p int, grp binary")
+    inner = rows.where("size > 1").select(F.col("cls").alias("g"), "n", "set", "grp").mapInArrow(posted(True), "key long, g long, n int, p int, grp long")
     within = key_pairs(inner.select("g", F.xxhash64("grp", "key").alias("key")), None)
     cand = cut(expanded.unionByName(within).distinct())
     links = cut(alike(cand, sets, "cls", num, den))
-    release(classes, cand)
+    release(keyed, classes, cand)
     return links
 
 
