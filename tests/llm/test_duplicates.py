@@ -4,9 +4,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from marlspike.llm import shingles
 from marlspike.llm.groupjoin import near_duplicate_groups
 from marlspike.llm.minhash import _bloom_bits, band_keys, bloom_filter, cross_split_pairs, overlap_report
-from marlspike.llm.shingles import WORD, alike, sets_of
+from marlspike.llm.shingles import WORD, sets_of
 
 SCHEMA = "msg_id long, text string, split string, source string, id string, n int, set string, cls string"
 
@@ -93,7 +94,7 @@ def test_sets_never_meet_in_a_broadcast_join(spark):
     # small by the planner's count, which takes an array for one value
     sets = spark.range(50).select("id", F.lit(3).alias("n"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("set")).checkpoint()
     cand = spark.range(49).select(F.col("id").alias("ca"), (F.col("id") + 1).alias("cb"))
-    found = alike(cand, sets, "id", 1, 2)
+    found = shingles.alike(cand, sets, "id", 1, 2)
     assert found.count() == 49
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
