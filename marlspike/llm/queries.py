@@ -127,6 +127,15 @@ SQL = {
 SELECT id AS msg_id, min(seen) AS group_id FROM r GROUP BY 1""",
     "p6_found": f"""WITH {_SETS} SELECT DISTINCT a AS id_a, b AS id_b FROM e JOIN w x ON x.msg_id = a JOIN w y ON y.msg_id = b
  WHERE (x.split = 'train' AND y.split IN ('dev', 'test')) OR (y.split = 'train' AND x.split IN ('dev', 'test'))""",
+    "p6_report": f"""WITH {_SETS}, m AS (SELECT msg_id, split, source FROM messages), o AS (SELECT a AS t, b AS h FROM e UNION ALL SELECT b, a FROM e)
+SELECT h.split, h.source, count(*) AS pairs, count(DISTINCT h.msg_id) AS held_records, count(DISTINCT t.msg_id) AS train_records FROM o JOIN m t ON t.msg_id = o.t JOIN m h ON h.msg_id = o.h WHERE t.split = 'train' AND h.split IN ('dev', 'test') GROUP BY 1, 2""",
+    "p9_matches": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+ x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d), y AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS j, len(w) AS n FROM i WHERE len(w) >= 10),
+ m AS (SELECT doc_id, item_id, p - j AS g, j, n FROM x JOIN y USING (t)), c AS (SELECT doc_id, item_id, g, n, count(*) AS k FROM m GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10 OR count(*) >= 0.7 * n),
+ r AS (SELECT doc_id, item_id, g, j - row_number() OVER (PARTITION BY doc_id, item_id, g ORDER BY j) AS s FROM m SEMI JOIN c USING (doc_id, item_id, g)),
+ l AS (SELECT doc_id, item_id, g, max(z) AS longest FROM (SELECT doc_id, item_id, g, s, count(*) AS z FROM r GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ f AS (SELECT doc_id, item_id, longest, k::DOUBLE / n AS share FROM l JOIN c USING (doc_id, item_id, g) WHERE longest >= 10 OR k::DOUBLE / n >= 0.7)
+SELECT doc_id, item_id, max(longest)::INT AS longest, max(share) AS share, CASE WHEN max(longest) >= 10 THEN 'phrase' ELSE 'proximity' END AS kind FROM f GROUP BY 1, 2""",
     "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
  x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: {_RUN})) AS g FROM d WHERE len(w) >= 10),
  y AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: {_RUN})) AS g FROM i WHERE len(w) >= 10)
