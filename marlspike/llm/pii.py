@@ -99,8 +99,9 @@ _SEVEN = re.compile(r"(?<!\d)\d{7}(?!\d)")
 _MAYBE_PHONE = re.compile(r"[+0]\d?[ .\-()]{0,2}\d[\d .\-()]{5}|971[ .\-]?5")
 
 
+@lru_cache(maxsize=16_384)
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, index into ``KINDS``) of the written forms in a plain text."""
+    """(start, end, index into ``KINDS``) of the written forms in a plain text; read again when its labels are."""
     low = text.lower()
     out = []
     digits = _DIGIT.search(low) is not None
@@ -331,7 +332,7 @@ class Model:
             lab[np.take_along_axis(best, lab[:, :, None], 2)[:, :, 0] < SURE] = 0
             for x in np.flatnonzero((lab * (np.arange(lab.shape[1]) < n[:, None])).any(1)):
                 i = block[open_[x]]
-                got = (offsets_of(plains[i]), lab[x, : n[x]])
+                got = (parts[i][2] or offsets_of(plains[i]), lab[x, : n[x]])
                 for r in rows[i]:
                     out[r] = got
         return out
@@ -364,22 +365,25 @@ def offsets_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
-def tokens_of(text: str) -> tuple[list[str], np.ndarray | None]:
-    """Tokens of a plain text and the marks of written forms (tokens, kinds), if there are any."""
-    toks = TOKEN.findall(text)
-    if not text.isascii() and _HIDDEN.search(text):
-        toks = [w for x in toks if (w := x.translate(_DROP))]
+def tokens_of(text: str) -> tuple[list[str], np.ndarray | None, list[tuple[int, int]] | None]:
+    """Tokens of a plain text and, if it holds written forms, their marks (tokens, kinds) and the tokens' offsets."""
     found = spans(text)
     if not found:
-        return toks, None
+        toks = TOKEN.findall(text)
+        if not text.isascii() and _HIDDEN.search(text):
+            toks = [w for x in toks if (w := x.translate(_DROP))]
+        return toks, None, None
     offs = offsets_of(text)
+    toks = [text[a:b] for a, b in offs]
+    if not text.isascii() and _HIDDEN.search(text):
+        toks = [x.translate(_DROP) for x in toks]
     marks = np.zeros((len(toks), len(KINDS)), np.float32)
     starts = np.array([a for a, _ in offs])
     for a, b, k in found:
         marks[np.searchsorted(starts, a) : np.searchsorted(starts, b), k] = 1
         if len(toks) and (i := int(np.searchsorted(starts, a, side="right")) - 1) >= 0 and offs[i][1] > a:
             marks[i, k] = 1
-    return toks, marks
+    return toks, marks, offs
 
 
 def skip_edges(toks: list[str]) -> list[tuple[int, int]]:
@@ -497,10 +501,10 @@ def train(pairs: list[tuple[str, str | None]], epochs: int = 4, seed: int = 7) -
         copies += bool(copy)
         for given in (message, masked) if copy else (message,):
             text = plain(given)
-            toks, marks = tokens_of(text)
+            toks, marks, offs = tokens_of(text)
             if not toks:
                 continue
-            docs.append((number, text, toks, offsets_of(text), marks, aligned(message, masked) if masked and given is message else []))
+            docs.append((number, text, toks, offs or offsets_of(text), marks, aligned(message, masked) if masked and given is message else []))
             if given is message:
                 counts.update({w.lower() for w in toks})
     common = frozenset(w for w, c in counts.items() if c >= max(12, len(pairs) // 250))
