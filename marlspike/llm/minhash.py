@@ -63,7 +63,7 @@ def bloom_filter(texts: DataFrame, k: int, rows: int, bands: int) -> np.ndarray:
         bits = np.zeros(size, bool)
         for b in batches:
             if b.num_rows:
-                for at in _bloom_bits(band_keys(*sets_of(b.column("text"), k), rows, bands).ravel()):
+                for at in _bloom_bits(band_keys(*sets_of(b.column("text").to_pylist(), k), rows, bands).ravel()):
                     bits[at] = True
         words = np.packbits(bits).view(np.int64)
         at = np.flatnonzero(words)
@@ -99,7 +99,7 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str,
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = band_keys(*sets_of(b.column("text"), k), rows, bands).ravel()
+            keys = band_keys(*sets_of(b.column("text").to_pylist(), k), rows, bands).ravel()
             owner = np.repeat(np.arange(b.num_rows), bands)
             if known is not None:
                 one_, two = _bloom_bits(keys)

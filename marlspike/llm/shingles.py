@@ -31,20 +31,36 @@ def _word_hashes(words: list[str]) -> list[int]:
     return out
 
 
-def shingle_hashes(words: list[str], k: int) -> np.ndarray:
-    """Sorted distinct hashes of the sequences of ``k`` consecutive words; empty where there are fewer words."""
-    if len(words) < k:
-        return np.empty(0, np.int64)
+def sets_of(texts: list[str], k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all sets, offsets): per text the sorted distinct hashes of its sequences of ``k`` consecutive words.
+
+    Texts with fewer than ``least`` or ``k`` words have an empty set. All texts are hashed at once.
+    """
+    words: list[str] = []
+    counts = np.empty(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        ws = WORD.findall(t.lower())
+        counts[i] = len(ws)
+        words += ws
+    sizes = np.where(counts >= max(k, least), counts - k + 1, 0)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    begin = np.cumsum(counts) - counts
+    at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
     h = np.array(_word_hashes(words), dtype=np.uint64)
-    n = len(h) - k + 1
-    x = np.zeros(n, np.uint64)
+    x = np.zeros(len(rows), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            x = (x ^ (h[j : j + n] * _MULT[j % 8])) * _MULT[(j + 3) % 8]
+            x = (x ^ (h[at + j] * _MULT[j % 8])) * _MULT[(j + 3) % 8]
             x ^= x >> np.uint64(29)
         x *= _MULT[7]
         x ^= x >> np.uint64(32)
-    return np.unique(x.view(np.int64))
+    flat = x.view(np.int64)
+    order = np.lexsort((flat, rows))
+    flat, rows = flat[order], rows[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])
+    flat, rows = flat[new], rows[new]
+    return flat, np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]).astype(np.int64)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,27 +75,15 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int, min_words: i
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            rows, sizes, cls = [], [], []
-            for i, t in enumerate(b.column("_t").to_pylist()):
-                words = WORD.findall(t.lower())
-                if len(words) < max(min_words, k):
-                    continue
-                s = shingle_hashes(words, k)
-                rows.append(i)
-                sizes.append(len(s))
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), b.column("_t").take(at), *[b.column(c).take(at) for c in keep]], names=["id", "cls", "n", "text", *keep])
+            flat, offs = sets_of(b.column("_t").to_pylist(), k, min_words)
+            rows = np.flatnonzero(np.diff(offs))
+            at = pa.array(rows)
+            cls = [hashlib.blake2b(flat[offs[i] : offs[i + 1]].tobytes(), digest_size=16).digest() for i in rows]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(cls, pa.binary()), pa.array(np.diff(offs)[rows].astype(np.int32)), b.column("_t").take(at), *[b.column(c).take(at) for c in keep]], names=["id", "cls", "n", "text", *keep])
 
     return base.mapInArrow(run, "id long, cls binary, n int, text string" + (", " + kept if kept else ""))
 
 
-def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all sets, offsets): the sorted shingle hashes of each text."""
-    sets = [shingle_hashes(WORD.findall(t.lower()), k) for t in texts.to_pylist()]
-    return np.concatenate(sets) if sets else np.empty(0, np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-
-
 def with_sets(df: DataFrame, k: int) -> DataFrame:
     """``df`` with its ``text`` replaced by ``set``, the sorted hashes of its shingles."""
     rest = [c for c in df.columns if c != "text"]
@@ -87,7 +91,7 @@ def with_sets(df: DataFrame, k: int) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            flat, offs = sets_of(b.column("text"), k)
+            flat, offs = sets_of(b.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))], names=[*rest, "set"])
 
     return df.mapInArrow(run, f"{kept}, set array<long>")

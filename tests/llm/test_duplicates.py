@@ -1,6 +1,5 @@
 import random
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +101,6 @@ def test_sets_never_meet_in_a_broadcast_join(spark):
 def test_the_filter_of_held_out_buckets_passes_every_one_of_them(spark):
     texts = [" ".join(f"w{i * 3 + j}" for j in range(12)) for i in range(40)]
     bits = bloom_filter(spark.createDataFrame([(t,) for t in texts], "text string"), 3, 4, 20)
-    keys = band_keys(*sets_of(pa.array(texts), 3), 4, 20).ravel()
+    keys = band_keys(*sets_of(texts, 3), 4, 20).ravel()
     for at in _bloom_bits(keys):
         assert ((bits[at >> 3] >> (7 - (at & 7)).astype("uint8")) & 1).all()
