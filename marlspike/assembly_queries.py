@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlspike import sqltext
-from marlspike.functions import jsonio, text as T
+from marlspike.functions import jsonio, tables, text as T
 from marlspike.operators import assembly, dedup, metrics, sampling, tokens
 from marlspike.queries import AR_SQL, PAIRS_SQL, TAG_SQL, _docs, _lang_sql, _overlap_items, _pairs, _shingled, query
 from marlspike.session import cut, ensure_checkpoint_dir, settled, spread, table
@@ -84,6 +84,14 @@ def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
     return got.where("not (n = 1 and value = 'old') and not (n = 2 and value = 'first')")
 
 
+@query(f"SELECT request_id, unnest([1, 2]) AS place, unnest([7, 9])::BIGINT AS n FROM ({_OBJECTS})")
+def answer_rows(spark: SparkSession, d: str) -> DataFrame:
+    tables.register(spark)
+    a = _object_answers(spark, d, (7, "m", F.col("route")), (9, "m", F.col("reply")))
+    rows = spark.sql("SELECT t.request_id, o.place, o.object FROM {a} t, LATERAL answer_objects(t.a) o", a=a)
+    return rows.select("request_id", "place", F.get_json_object("object", "$.n").cast("bigint").alias("n"))
+
+
 @query(f"SELECT request_id, 1::INT AS n, CASE WHEN route = 'escalate' THEN 'BROKEN' ELSE 'OK' END AS verdict, coalesce(intent, '') AS reason FROM ({_OBJECTS}) WHERE route IS NOT NULL")
 def parsed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "predict_responses").where("reply is not null and route is not null").select("request_id", "reply", "route", "intent").distinct()
@@ -237,6 +245,29 @@ def judged_by_place(spark: SparkSession, d: str) -> DataFrame:
     return got.select("msg_id", "label", F.coalesce(F.col("label") == F.col("intent"), F.lit(False)).alias("agree"))
 
 
+@query("""WITH r AS (SELECT msg_id, source, variety, row_number() OVER (PARTITION BY source ORDER BY msg_id) - 1 AS p FROM messages WHERE source IS NOT NULL)
+SELECT msg_id FROM r WHERE NOT (p % 3 = 0 AND coalesce(variety, '-') = 'mixed')""")
+def kept_by_place(spark: SparkSession, d: str) -> DataFrame:
+    """Rows but those that a verdict at their place within their source calls broken; places without one are kept."""
+    rows = assembly.positions(_messages(spark, d).where("source is not null").select("msg_id", "source", "variety"), "source", "msg_id", 1_000_000_000)
+    rows = cut(rows.drop("batch"))
+    verdicts = rows.where((F.col("n") - 1) % 3 == 0).select("source", "n", F.when(F.col("variety") == "mixed", "BROKEN").otherwise("OK").alias("verdict"))
+    got = assembly.by_position(rows, verdicts, ["source"], "verdict")
+    return got.where(~F.col("verdict").eqNullSafe("BROKEN")).select("msg_id")
+
+
+@query("""WITH r AS (SELECT msg_id, variety, text, row_number() OVER (PARTITION BY variety ORDER BY msg_id) - 1 AS p FROM messages WHERE variety IS NOT NULL)
+SELECT msg_id, CASE WHEN p % 8 < 6 AND regexp_matches(text, '[^\\s]') THEN text END AS reply, CASE WHEN p % 8 < 6 AND regexp_matches(text, '[^\\s]') THEN 'kept' ELSE 'no_reply' END AS reason FROM r""")
+def replies_by_place(spark: SparkSession, d: str) -> DataFrame:
+    """New replies, numbered within each batch of one variety: the last two of every batch are missing."""
+    rows = cut(assembly.positions(_messages(spark, d).where("variety is not null").select("msg_id", "variety", "text"), "variety", "msg_id", 8))
+    said = rows.where("n <= 6 and text is not null").select("variety", "batch", "n", F.to_json(F.struct("n", F.col("text").alias("reply"))).alias("j"))
+    answers = said.groupBy("variety", "batch").agg(F.array_join(F.array_sort(F.collect_list("j")), "\n").alias("a"))
+    replies = answers.select("variety", "batch", F.explode(jsonio.parse_numbered(F.col("a"), 8, "reply")).alias("x")).select("variety", "batch", F.col("x.n").alias("n"), F.col("x.value").alias("reply"))
+    got = assembly.by_position(rows, replies, ["variety", "batch"], "reply")
+    return got.select("msg_id", "reply", F.when(F.col("reply").isNull(), "no_reply").otherwise("kept").alias("reason"))
+
+
 @query("""WITH p AS (SELECT msg_id, md5(concat_ws(chr(10), intent, text)) AS key FROM messages WHERE text IS NOT NULL), k AS (SELECT md5(concat_ws(chr(10), intent, text)) AS key, min(variety) AS answer FROM messages WHERE split = 'train' AND text IS NOT NULL AND variety IS NOT NULL GROUP BY 1)
 SELECT msg_id, answer, k.key IS NULL AS open FROM p LEFT JOIN k USING (key)""")
 def reused_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -490,6 +521,14 @@ def source_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(x, "source", "text", "t")
 
 
+@query(r"""WITH x AS (SELECT variety, text, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS words, len(regexp_extract_all(text, ' ?\p{L}[\p{L}\p{M}]*|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+')) AS tokens FROM messages WHERE text IS NOT NULL)
+SELECT variety, round(sum(tokens) / sum(words), 9) AS tokens_per_word, round(sum(length(text)) / sum(tokens), 9) AS chars_per_token FROM x GROUP BY 1""")
+def pieces_per_word(spark: SparkSession, d: str) -> DataFrame:
+    x = _messages(spark, d).where("text is not null").select("variety", "text", tokens.pre_tokens(F.col("text")).alias("t"))
+    c = tokens.token_counts(x, "variety", "text", "t")
+    return c.select("variety", F.round(F.col("tokens") / F.col("words"), 9).alias("tokens_per_word"), F.round(F.col("chars") / F.col("tokens"), 9).alias("chars_per_token"))
+
+
 @query(f"""WITH x AS (SELECT doc_id, {_POINTS_SQL} AS t FROM documents WHERE length(text) > 128), w AS (SELECT doc_id, t, unnest(range(0, len(t) - 128, 128)) AS start FROM x)
 SELECT doc_id AS shard, start, list_sum(t[start + 1:start + 129])::BIGINT AS checksum FROM w""")
 def gathered_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -210,33 +210,40 @@ def _close_to(block, num: int, den: int):  # noqa: ANN001, ANN202
         place[np.argsort(-df, kind="stable")] = np.arange(len(vocab)) % FOLD
         ends = np.cumsum(sizes)
         own = np.split(at, ends[:-1])
+        # by size, so that rows meet only the stretch of sets whose size can be near enough
+        by_size = np.argsort(sizes, kind="stable")
+        own, ordered = [own[i] for i in by_size], sizes[by_size]
         known = np.zeros((len(sizes), FOLD), np.float32)
-        np.add.at(known, (np.repeat(np.arange(len(sizes)), sizes), place[at]), 1)
+        np.add.at(known, (np.repeat(np.argsort(by_size), sizes), place[at]), 1)
         for b in batches:
             lists = b.column("h")
             flat_b, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             offs = offs - offs[0]
             hit = np.zeros(b.num_rows, bool)
+            n_all = np.diff(offs)
+            turn = np.argsort(n_all, kind="stable")
             for lo in range(0, b.num_rows, 256):
-                hi = min(lo + 256, b.num_rows)
-                items = flat_b[offs[lo] : offs[hi]]
-                rows = np.repeat(np.arange(hi - lo), np.diff(offs[lo : hi + 1]))
+                rows_at = turn[lo : lo + 256]
+                n = n_all[rows_at]
+                first, last = np.searchsorted(ordered, -(-n[0] * num // den)), np.searchsorted(ordered, n[-1] * den // num, side="right")
+                if first >= last:
+                    continue
+                rows = np.repeat(np.arange(len(n)), n)
+                items = flat_b[np.arange(len(rows)) - np.repeat(np.cumsum(n) - n - offs[rows_at], n)]
                 pos = np.minimum(np.searchsorted(vocab, items), len(vocab) - 1)
                 there = vocab[pos] == items
                 mine, rows = pos[there], rows[there]
-                counts = np.bincount(rows * FOLD + place[mine], minlength=(hi - lo) * FOLD).astype(np.float32).reshape(hi - lo, FOLD)
-                bound = counts @ known.T
-                n = np.diff(offs[lo : hi + 1])
-                need = (n[:, None] + sizes[None, :]) * num
+                counts = np.bincount(rows * FOLD + place[mine], minlength=len(n) * FOLD).astype(np.float32).reshape(len(n), FOLD)
+                bound = counts @ known[first:last].T
+                need = (n[:, None] + ordered[None, first:last]) * num
                 maybe = bound * (num + den) >= need
-                cut_ = np.searchsorted(rows, np.arange(hi - lo + 1))
+                cut_ = np.searchsorted(rows, np.arange(len(n) + 1))
                 for r in np.flatnonzero(maybe.any(1)):
-                    a = mine[cut_[r] : cut_[r + 1]]
                     has = np.zeros(len(vocab), bool)
-                    has[a] = True
+                    has[mine[cut_[r] : cut_[r + 1]]] = True
                     for j in np.flatnonzero(maybe[r]):
-                        if has[own[j]].sum() * (num + den) >= need[r, j]:
-                            hit[lo + r] = True
+                        if has[own[first + j]].sum() * (num + den) >= need[r, j]:
+                            hit[rows_at[r]] = True
                             break
             yield pa.RecordBatch.from_arrays([b.column("cls").filter(pa.array(hit))], names=["cls"])
 
