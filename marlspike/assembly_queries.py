@@ -390,7 +390,7 @@ def coverage_by_channel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bootstrap_sql(rounds: int = 200, seed: int = 1) -> str:
-    u = f"('0x' || substring(md5('{seed}:' || i || ':' || request_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    u = f"('0x' || substring(md5('{seed}:' || (i // 4) || ':' || request_id), 8 * (i % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE"
     w = " + ".join(f"(u >= {s}::DOUBLE)::INT" for s in metrics.POISSON)
     return f"""WITH p AS (SELECT request_id, coalesce(reply_fits, false)::INT - coalesce(finished, false)::INT AS d FROM {PAIRS_SQL}), x AS (SELECT i, d, {u} AS u FROM p, range({rounds}) t(i)),
  r AS (SELECT i, sum(d * ({w})) / sum({w}) AS r FROM x GROUP BY 1), s AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k FROM r)

@@ -115,14 +115,17 @@ def near_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id``, ``keep``: a row is dropped if and only if an earlier kept row is alike to it.
 
-    ``pairs``: ``a < b``. A dropped row never drops another. Links fall apart into components, which don't touch each
-    other: each of up to ``COMPONENT_LINKS`` links is settled in order by one task. Of larger ones a round settles the
+    ``pairs``: ``a < b``. A dropped row never drops another. Up to ``COMPONENT_LINKS`` links are settled in order by one
+    task. More fall apart into components, which don't touch each other, each of up to so many is settled by a task. Of larger ones a round settles the
     rows without an open smaller neighbour, and what is left is split again; rounds go on until no link is open.
     """
     open_ = cut(pairs.select("a", "b").distinct())
     kind = open_.schema["a"].dataType.simpleString()
     lost: list[DataFrame] = []
-    while not open_.isEmpty():
+    while links := open_.count():
+        if links <= COMPONENT_LINKS:
+            lost.append(cut(open_.groupBy(F.lit("").alias("_")).applyInPandas(_dropped, f"v {kind}")))
+            break
         labels = cut(connected_components(open_.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         tagged = merged(open_).join(merged(labels.select(F.col("v").alias("a"), "label")), "a")
         sizes = tagged.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from marlspike.operators.ranks import range_bucket, running
+from marlspike.session import cut
 
 
 def rate(c: Column) -> Column:
@@ -170,15 +172,21 @@ def weighted_macro_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
 def paired_bootstrap(df: DataFrame, key: str, gold: str, a: str, b: str, metric: Metric = weighted_accuracy, rounds: int = 200, seed: int = 1) -> DataFrame:
     """diff, lo, hi: the metric of system ``a`` less that of ``b`` over the same rows, and its 95 % interval.
 
-    Every row draws a Poisson(1) weight per round from the md5 of seed, round and key, which resamples rows without
-    an index or a join; the rounds are summed per task before they are shuffled. ``metric`` maps rows with ``_i`` (the
-    round) and ``_w`` (the weight) to one value per round.
+    Every row draws a Poisson(1) weight per round from an md5 of seed, block of rounds and key, which resamples rows
+    without an index or a join; the weights are summed per task and cell (gold, both predictions) before they are
+    shuffled. ``metric`` maps rows with ``_i`` (the round) and ``_w`` (the weight) to one value per round.
     """
     d = df.select(F.col(key).alias("_k"), F.col(gold).alias("_g"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_i").cast("string"), F.col("_k").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = sum((u >= s).cast("int") for s in POISSON)
+    # one hash serves four rounds, eight digits each; digits compare as the numbers that they write
+    blocks = d.select("_k", "_g", "_a", "_b", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 4))).alias("_j"))
+    hashed = blocks.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_j").cast("string"), F.col("_k").cast("string"))))
+    drawn = lambda p: sum((F.substring("_h", 8 * p + 1, 8) >= format(math.ceil(s * 2**32), "08x")).cast("int") for s in POISSON)
+    # rows that agree in all three are one cell of every round: a small table, which both metrics read
+    per = hashed.groupBy("_j", "_g", "_a", "_b").agg(*[F.sum(drawn(p)).alias(f"_{p}") for p in range(4)])
+    cells = per.select("_g", "_a", "_b", F.explode(F.array(*[F.struct((F.col("_j") * 4 + p).alias("_i"), F.col(f"_{p}").alias("_w")) for p in range(4)])).alias("x")).select("_g", "_a", "_b", "x._i", "x._w").where(F.col("_i") < rounds)
     # round -1 is the table itself
-    reps = d.select("*", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))).alias("_i")).withColumn("_w", F.when(F.col("_i") < 0, 1).otherwise(weight))
+    whole = d.groupBy("_g", "_a", "_b").agg(F.lit(-1).alias("_i"), F.count(F.lit(1)).alias("_w"))
+    reps = cut(cells.unionByName(whole))
     both = metric(reps, "_g", "_a").withColumnRenamed("value", "x").join(metric(reps, "_g", "_b").withColumnRenamed("value", "y"), "_i").select("_i", (F.col("x") - F.col("y")).alias("r"))
     # a fixed number of rounds: a list of bounded length
     grid = both.agg(F.array_sort(F.collect_list(F.when(F.col("_i") >= 0, F.col("r")))).alias("g"), F.max(F.when(F.col("_i") < 0, F.col("r"))).alias("diff"))
