@@ -146,8 +146,7 @@ class Network:
                 g = (p - t) / B
                 gV, gc = act.T @ g, g.sum(0)
                 gh = (g @ self.V.T) * (h > 0)
-                gE = np.zeros_like(self.E)
-                gW, gb = [], []
+                gW, gb, codes, parts = [], [], [], []
                 for i, w in enumerate(WIDTHS):
                     gi = gh[:, i * FILTERS : (i + 1) * FILTERS]
                     u = cols[i][np.arange(B)[:, None], where[i]]  # (B, FILTERS, w * EMBED)
@@ -155,7 +154,10 @@ class Network:
                     gb.append(gi.sum(0))
                     back = gi[:, :, None] * self.W[i].T[None]
                     for j in range(w):
-                        np.add.at(gE, x[np.arange(B)[:, None], where[i] + j], back[:, :, j * EMBED : (j + 1) * EMBED])
+                        codes.append(x[np.arange(B)[:, None], where[i] + j].ravel())
+                        parts.append(back[:, :, j * EMBED : (j + 1) * EMBED].reshape(-1, EMBED))
+                code, part = np.concatenate(codes), np.concatenate(parts)
+                gE = np.stack([np.bincount(code, weights=part[:, k], minlength=ALPHABET) for k in range(EMBED)], 1).astype(np.float32)
                 gE[0] = 0
                 step += 1
                 for k, (q, gr) in enumerate(zip(params, [gE, gV, gc, *gW, *gb], strict=True)):
