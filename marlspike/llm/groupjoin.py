@@ -132,9 +132,11 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, k: int = 3,
     # one row per class with the text of its smallest id; copies shrink before the shuffle
     classes = records.groupBy("cls").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("copied"), F.min("n").alias("n"), F.min_by("text", "id").alias("text"))
     one = cut(with_sets(classes, k))
+    members = cut(records.select("id", "cls"))
+    release(records)
     links = near_duplicate_links(one.select(F.col("rep").alias("cls"), "n", "set"), num, den)
     known = cut(one.select("cls", "rep", "copied"))
     release(one)
     labels = connected_components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
     grouped = merged(known).join(merged(labels.select(F.col("v").alias("rep"), "label")), "rep", "left").where("label is not null or copied").select("cls", F.coalesce("label", "rep").alias("group_id"))
-    return merged(records.select("id", "cls")).join(merged(grouped), "cls").groupBy("id").agg(F.min("group_id").alias("group_id"))
+    return merged(members).join(merged(grouped), "cls").groupBy("id").agg(F.min("group_id").alias("group_id"))

@@ -90,6 +90,9 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str,
     kept = tuple(f"k_{c}" for c in keep)
     records = cut(shingle_sets(use, "_id", "_text", k, min_words, keep=("side", *kept)))
     one = cut(records.groupBy("cls").agg(F.max(F.col("side") == "t").alias("in_t"), F.max(F.col("side") == "h").alias("in_h"), F.min("n").alias("n"), F.min_by("text", "id").alias("text")))
+    # the members of classes without their texts: all that the expansion needs
+    members = cut(records.select("cls", "id", "side", *kept))
+    release(records)
     bits = bloom_filter(one.where("in_h"), k, rows, bands)
     filled = float(np.unpackbits(bits).mean())
     bloom = spark.sparkContext.broadcast(bits if filled < FULL else None)
@@ -109,16 +112,18 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str,
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in ("cls", "n"))], names=["key", "g", "n"])
 
-    buckets = lambda c: one.where(c).select("cls", "n", "text").mapInArrow(hashed, "key long, g binary, n int")
+    # few rows are left behind the filter; they are read several times
+    buckets = {c: cut(one.where(c).select("cls", "n", "text").mapInArrow(hashed, "key long, g binary, n int")) for c in ("in_t", "in_h")}
     sizes = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den) & (F.col("ca") != F.col("cb"))
-    cand = cut(key_pairs(buckets("in_t"), buckets("in_h"), sizes))
+    cand = cut(key_pairs(buckets["in_t"], buckets["in_h"], sizes))
+    release(*buckets.values())
     met = cand.select(F.col("ca").alias("cls")).unionByName(cand.select(F.col("cb").alias("cls"))).distinct()
     sets = with_sets(merged(one).join(merged(met), "cls", "left_semi").select("cls", "n", "text"), k)
     same = one.where("in_t and in_h").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
     pairs = cut(alike(cand, sets, "cls", num, den).unionByName(same))
     release(one, cand)
-    members = lambda s: records.where(F.col("side") == s).select("cls", "id", *kept).distinct()
-    got = expand_pairs(pairs, members("t"), members("h"), F.col("id_a") != F.col("id_b"))
+    on = lambda s: members.where(F.col("side") == s).select("cls", "id", *kept).distinct()
+    got = expand_pairs(pairs, on("t"), on("h"), F.col("id_a") != F.col("id_b"))
     return got.select(F.col("id_a").alias("id_t"), F.col("id_b").alias("id_h"), *[F.col(f"k_{c}_a").alias(f"{c}_t") for c in keep], *[F.col(f"k_{c}_b").alias(f"{c}_h") for c in keep]).distinct()
 
 
