@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marlspike import sqltext
 from marlspike.functions import jsonio, tables, text as T
 from marlspike.operators import assembly, dedup, metrics, sampling, tokens
+from marlspike.plans import generation
 from marlspike.queries import AR_SQL, PAIRS_SQL, TAG_SQL, _docs, _lang_sql, _overlap_items, _pairs, _shingled, query
 from marlspike.session import cut, ensure_checkpoint_dir, settled, spread, table
 from marlspike.sources import readers
@@ -341,6 +342,27 @@ def fetched_rows(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(first.where("source is not null").select("msg_id", "source"), "source", "msg_id", 2, 15)
 
 
+def _generation_sql() -> str:
+    from marlspike.queries import _GREEDY_SQL, _NEAR_SQL
+
+    bare = "(SELECT request_id, regexp_replace({c}, '<(URL|EMAIL|EID|IBAN|CARD|PHONE|NUM)>', ' ', 'g') AS {c} FROM pairs WHERE {c} IS NOT NULL)"
+    tagged = lambda c: f"(SELECT k, {TAG_SQL} AS tag FROM {_lang_sql('request_id', c, bare.replace('{c}', c))})"
+    dialect = lambda c: f"(len(list_intersect({_ARABIC_WORDS_SQL.format(c=c)}, {_DIALECT})) > 0 OR regexp_matches({c}, {_NEGATED}))"
+    seen = sqltext.quoted(sqltext.NOT_S)
+    return f"""WITH RECURSIVE pairs AS (SELECT request_id, min(message) AS message, min(reply) AS reply FROM {PAIRS_SQL} GROUP BY 1), ma AS {tagged('message')}, ra AS {tagged('reply')},
+ j AS (SELECT request_id, message, CASE WHEN NOT coalesce(regexp_matches(message, {seen}) AND regexp_matches(reply, {seen}), false) THEN 'bad_fields' WHEN ma.tag NOT IN ('en', 'ar') THEN 'message_lang_' || ma.tag
+  WHEN ra.tag NOT IN ('en', 'ar') THEN 'reply_lang_' || ra.tag WHEN {_CLAIMS_SQL.format(c='reply')} THEN 'reply_claims_action' WHEN {dialect('reply')} OR {dialect('message')} THEN 'non_gulf_dialect'
+  WHEN len(list_intersect({_ARABIC_WORDS_SQL.format(c='message')}, {T.MSA})) > 0 THEN 'msa_in_message' END AS r FROM pairs LEFT JOIN ma ON ma.k = request_id LEFT JOIN ra ON ra.k = request_id),
+ f AS (SELECT request_id, message AS text, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY r IS NULL, md5(lower(message)) ORDER BY request_id) > 1 THEN 'duplicate' ELSE r END AS r FROM j), {_NEAR_SQL.format(k='request_id', f='f WHERE r IS NULL')}, {_GREEDY_SQL}
+SELECT request_id, coalesce(r, CASE WHEN request_id IN (SELECT id FROM lost) OR request_id IN (SELECT id FROM m WHERE id <> rep) THEN 'near_duplicate' END, 'kept') AS reason FROM f"""
+
+
+@query(_generation_sql())
+def generation_filter(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d, "message", "reply").groupBy("request_id").agg(F.min("message").alias("message"), F.min("reply").alias("reply"))
+    return generation.generation_reasons(p, "request_id", "message", "reply", ["en", "ar"], ["en", "ar"], True).select("request_id", "reason")
+
+
 _EXAMPLES = ("Where is my order?", "My card was declined at the shop", "Please cancel my subscription today")
 _PLAIN_SQL = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
 

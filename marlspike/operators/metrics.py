@@ -49,10 +49,11 @@ def coverage_at(df: DataFrame, conf: str, correct: Column, target: float) -> Dat
     Rows are first summed per distinct confidence; running sums go over those in two levels.
     """
     ties = df.where(F.col(conf).isNotNull()).groupBy(F.col(conf).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(correct.cast("int")).alias("ok"))
-    total = F.lit(ties.agg(F.sum("n")).first()[0])
     run = running(ties, [], range_bucket(ties, "c", descending=True), [F.desc("c")], {"bn": F.col("n"), "bok": F.col("ok")}).select("c", (F.col("bn") + F.col("n")).alias("cn"), (F.col("bok") + F.col("ok")).alias("cok"))
-    best = run.where(F.col("cok") / F.col("cn") >= target).agg(F.min_by(F.struct("c", "cn", "cok"), "c").alias("x"))
-    return best.select(F.col("x.c").alias("threshold"), F.coalesce(F.col("x.cn") / total, F.lit(0.0)).alias("coverage"), (F.col("x.cok") / F.col("x.cn")).alias("accuracy"))
+    met = F.when(F.col("cok") / F.col("cn") >= target, F.col("c"))
+    best = run.agg(F.max("cn").alias("all"), F.min_by(F.struct("c", "cn", "cok"), met).alias("x"), F.count(met).alias("k"))
+    x = F.when(F.col("k") > 0, F.col("x"))
+    return best.select(x["c"].alias("threshold"), F.coalesce(x["cn"] / F.col("all"), F.lit(0.0)).alias("coverage"), (x["cok"] / x["cn"]).alias("accuracy"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

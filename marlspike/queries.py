@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as Win, functions as F
 
 from marlspike import sqltext
 from marlspike.functions import jsonio, text as T
@@ -436,8 +436,8 @@ def wilson_intervals(spark: SparkSession, d: str) -> DataFrame:
 SELECT round(sum(share * k / n) / sum(share), 9) AS rate FROM y""")
 def weighted_fit_rate(spark: SparkSession, d: str) -> DataFrame:
     x = _pairs(spark, d, "intent", "reply_fits").where("intent is not null").groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if("reply_fits").alias("k"))
-    total = x.agg(F.sum("n")).first()[0]
-    return metrics.weighted_rate(x.withColumn("share", F.col("n") / F.lit(total)), "k", "n", "share").select(F.round("rate", 9).alias("rate"))
+    # one row per intent: the window sees no data
+    return metrics.weighted_rate(x.withColumn("share", F.col("n") / F.sum("n").over(Win.partitionBy(F.lit(0)))), "k", "n", "share").select(F.round("rate", 9).alias("rate"))
 
 
 @query(f"SELECT route, median(latency_ms) AS median, quantile_disc(latency_ms, 0.95) AS p95 FROM {PAIRS_SQL} GROUP BY 1")
