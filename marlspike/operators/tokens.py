@@ -184,7 +184,7 @@ def verify_shards(docs: DataFrame, shards: DataFrame, order: str, text: str, tok
     checked = whole.join(numbered, "k", "left").select("_p", (~decoded(F.col("ids"), path).eqNullSafe(F.col("_text"))).alias("bad"))
     one = checked.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("_p") > 1).alias("boundary"), F.count_if("bad").alias("mismatched"))
     two = parts.agg(F.coalesce(F.sum(F.size("_ends")), F.lit(0)).alias("eos"), F.coalesce(F.sum("_n"), F.lit(0)).alias("tokens"), F.max(F.array_max("_t")).alias("largest"))
-    out = two.unionByName(one, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("eos", "tokens", "largest", "checked", "boundary", "mismatched")]).withColumn("docs", F.lit(total))
+    out = two.unionByName(one, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("eos", "tokens", "largest", "checked", "boundary", "mismatched")]).withColumn("docs", F.lit(total).cast("bigint"))
     return out.withColumn("ok", (F.col("docs") == F.col("eos")) & (F.coalesce("largest", F.lit(0)) < vocab) & (F.col("mismatched") == 0))
 
 
