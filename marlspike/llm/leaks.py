@@ -1,7 +1,7 @@
 """Problem 9: passages of evaluation items inside training documents.
 
 A positional inverted index, partitioned by document, stores for every training document the postings of the terms
-that the items use. The rarest term of each run of consecutive item words gives the candidates; the offset-adjusted
+that any item uses; it is built once, whatever the number of items. The rarest term of each run of consecutive item words gives the candidates; the offset-adjusted
 lists of the other terms are intersected along the same diagonal.
 """
 
@@ -14,12 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from marlspike.session import cut
+from marlspike.llm import bloom
+from marlspike.session import cut, merged
 
 WORD = re.compile(r"[^\W_]+")
-#: Characters of items that one pass sends to the executors; larger item sets are searched in several passes.
+#: Characters of items that one pass over the index sends to the executors; larger item sets take several passes.
 BLOCK_CHARS = 8_000_000
 #: Share of an item's words on one diagonal that counts as a proximity match.
 NEAR_SHARE = 0.7
@@ -50,34 +52,52 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def index_postings(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, int]) -> DataFrame:
-    """(``doc_id``, ``terms``, ``pos``): per document the term ids and positions of the words in ``vocabulary``.
+_KNOWN: dict[str, int] = {}
+_KNOWN_MOST = 500_000
 
-    The vocabulary is that of one block of items, so its size is bounded by ``BLOCK_CHARS``.
+
+def term_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, remembered per worker."""
+    if len(_KNOWN) > _KNOWN_MOST:
+        _KNOWN.clear()
+    get = _KNOWN.get
+    out = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        h = get(w)
+        if h is None:
+            h = _KNOWN[w] = xxhash.xxh64_intdigest(w)
+        out[i] = h
+    return out.view(np.int64)
+
+
+def index_postings(docs: DataFrame, id_col: str, text_col: str, items: np.ndarray) -> DataFrame:
+    """(``doc_id``, ``terms``, ``pos``): per document the hashes and positions of the words that may be item words.
+
+    ``items``: the filter of all item words, of a fixed size.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).where("doc_id is not null and _t is not null")
     id_type = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):  # noqa: ANN001, ANN202
-        known = shared.value.get
+        bits = shared.value
         for b in batches:
-            rows, terms, pos, sizes = [], [], [], [0]
-            for i, t in enumerate(b.column("_t").to_pylist()):
-                got = [known(w, -1) for w in words_of(t)]
-                a = np.fromiter(got, np.int32, len(got))
-                at = np.flatnonzero(a >= 0)
-                if len(at):
-                    rows.append(i)
-                    terms.append(a[at])
-                    pos.append(at.astype(np.int32))
-                    sizes.append(sizes[-1] + len(at))
-            offs = pa.array(sizes, pa.int32())
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(offs, flat(terms)), pa.ListArray.from_arrays(offs, flat(pos))], names=["doc_id", "terms", "pos"])
-
-    return base.mapInArrow(run, f"doc_id {id_type}, terms array<int>, pos array<int>")
+            words: list[str] = []
+            ends = []
+            for t in b.column("_t").to_pylist():
+                words += words_of(t)
+                ends.append(len(words))
+            h = term_hashes(words)
+            at = np.flatnonzero(bloom.passes(bits, h))
+            begin = np.concatenate([[0], ends]).astype(np.int64)
+            row = np.searchsorted(begin, at, side="right") - 1
+            sizes = np.bincount(row, minlength=b.num_rows)
+            rows = np.flatnonzero(sizes)
+            offs = pa.array(np.concatenate([[0], np.cumsum(sizes[rows])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (h[at], (at - begin[row]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), *lists], names=["doc_id", "terms", "pos"])
+
+    return base.mapInArrow(run, f"doc_id {id_type}, terms array<long>, pos array<int>")
 
 
 def anchors_of(terms: np.ndarray, freq: np.ndarray, run: int) -> list[int]:
@@ -130,8 +150,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 10, doc_id: str = "
 
     ``kind`` is ``phrase`` where ``run`` consecutive item words stand in the document, else ``proximity``. Items of
     fewer than ``run`` words can't match. Null ids and texts match nothing, repeated rows count once, empty tables
-    give no rows. The items are held-out material of checked size: they are read in blocks of ``BLOCK_CHARS``
-    characters, each searched against all documents.
+    give no rows. The corpus is read once, into postings of all item words. The items are a stated query set: they are
+    read in blocks of ``BLOCK_CHARS`` characters, each searched in all postings.
     """
     spark = docs.sparkSession
     use = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
@@ -139,28 +159,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 10, doc_id: str = "
     id_type = docs.schema[doc_id].dataType.simpleString()
     item_type = items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, longest int, share double"
+    words = bloom.filter_of(use.select("t"), lambda b: term_hashes([w for t in b.column("t").to_pylist() for w in words_of(t)]))
+    index = cut(index_postings(docs, doc_id, doc_text, words))
+    counted = cut(index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
     for block in _blocks(use):
-        vocabulary: dict[str, int] = {}
-        listed = []
-        for i, t in block:
-            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32)
-            if len(ids) >= run:
-                listed.append((i, ids))
+        listed = [(i, h) for i, t in block if len(h := term_hashes(words_of(t))) >= run]
         if not listed:
             continue
-        index = cut(index_postings(docs, doc_id, doc_text, vocabulary))
-        freq = np.zeros(len(vocabulary), np.int64)
-        # a row per term of the block's vocabulary
-        counted = index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()
-        freq[counted.column("t").to_numpy()] = counted.column("n").to_numpy()
-        shared = spark.sparkContext.broadcast([(i, ids, anchors_of(ids, freq, run)) for i, ids in listed])
+        terms = np.unique(np.concatenate([h for _, h in listed]))
+        # a row per term of the block
+        own = spark.createDataFrame(pa.table({"t": terms}))
+        met = merged(counted).join(merged(own), "t").toArrow()
+        freq = np.zeros(len(terms), np.int64)
+        freq[np.searchsorted(terms, met.column("t").to_numpy())] = met.column("n").to_numpy()
+        ids = [(i, np.searchsorted(terms, h).astype(np.int32)) for i, h in listed]
+        shared = spark.sparkContext.broadcast((terms, [(i, x, anchors_of(x, freq, run)) for i, x in ids]))
 
         def search(batches, shared=shared):  # noqa: ANN001, ANN202
             for b in batches:
+                vocabulary, of = shared.value
                 sizes = b.column("terms").value_lengths().to_numpy()
                 no = np.repeat(np.arange(b.num_rows), sizes)
                 term, pos = (b.column(c).flatten().to_numpy() for c in ("terms", "pos"))
-                got = match_batch(no, term, pos, shared.value, run)
+                local = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+                here = vocabulary[local] == term
+                got = match_batch(no[here], local[here].astype(np.int32), pos[here], of, run)
                 at = pa.array([g[0] for g in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), pa.array([g[1] for g in got], b.schema.field("doc_id").type if item_type == id_type else None), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.float64())], names=["doc_id", "item_id", "longest", "share"])
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from marlspike.llm import bloom
 from marlspike.llm.shingles import alike, sets_of, shingle_sets, with_sets
 from marlspike.operators.pairs import expand_pairs, key_pairs
 from marlspike.session import cut, merged, release
@@ -18,9 +19,8 @@ from marlspike.session import cut, merged, release
 #: Rows per band and bands: a pair at 0.6 stays unseen with (1 - 0.6**4)**80, about 1.5 in 100,000; at 0.2 an
 #: unlike pair is verified in 12 of 100 cases, at 0.1 in 1.
 ROWS, BANDS = 4, 80
-#: Bits of the Bloom filter: a fixed 4 MB. It may pass keys that no held-out record has, more of them as it fills, and
-#: never holds one back, so its size affects speed only. Above ``FULL`` of its bits it is not worth its reading.
-BLOOM_BITS, FULL = 25, 0.9
+#: Share of set bits above which the filter of held-out buckets is not worth its reading.
+FULL = 0.9
 
 
 def _coefficients(count: int, seed: int = 20_240_601) -> tuple[np.ndarray, np.ndarray]:
@@ -48,33 +48,9 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, rows: int, bands: int) -> n
     return out
 
 
-def _bloom_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit numbers per key."""
-    x = keys.view(np.uint64)
-    mask = np.uint64((1 << BLOOM_BITS) - 1)
-    return (x & mask).astype(np.int64), ((x >> np.uint64(BLOOM_BITS)) & mask).astype(np.int64)
-
-
-def bloom_filter(texts: DataFrame, k: int, rows: int, bands: int) -> np.ndarray:
-    """The bits set by the bucket keys of ``texts``, as bytes of eight; each task sums its own before the shuffle."""
-    size = 1 << BLOOM_BITS
-
-    def fill(batches):  # noqa: ANN001, ANN202
-        bits = np.zeros(size, bool)
-        for b in batches:
-            if b.num_rows:
-                for at in _bloom_bits(band_keys(*sets_of(b.column("text").to_pylist(), k), rows, bands).ravel()):
-                    bits[at] = True
-        words = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(words)
-        for i in range(0, len(at), 65_536):
-            part = at[i : i + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], names=["at", "w"])
-
-    got = texts.select("text").mapInArrow(fill, "at int, w long").groupBy("at").agg(F.bit_or("w").alias("w")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[got.column("at").to_numpy()] = got.column("w").to_numpy()
-    return out.view(np.uint8)
+def bucket_filter(texts: DataFrame, k: int, rows: int, bands: int) -> np.ndarray:
+    """A filter of the bucket keys of ``texts``."""
+    return bloom.filter_of(texts.select("text"), lambda b: band_keys(*sets_of(b.column("text").to_pylist(), k), rows, bands).ravel())
 
 
 def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", held: tuple[str, ...] = ("dev", "test"), k: int = 3, min_words: int = 8, num: int = 3, den: int = 5, rows: int = ROWS, bands: int = BANDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -93,21 +69,19 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str,
     # the members of classes without their texts: all that the expansion needs
     members = cut(records.select("cls", "id", "side", *kept))
     release(records)
-    bits = bloom_filter(one.where("in_h"), k, rows, bands)
+    bits = bucket_filter(one.where("in_h"), k, rows, bands)
     filled = float(np.unpackbits(bits).mean())
-    bloom = spark.sparkContext.broadcast(bits if filled < FULL else None)
+    shared = spark.sparkContext.broadcast(bits if filled < FULL else None)
 
     def hashed(batches):  # noqa: ANN001, ANN202
-        known = bloom.value
+        known = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             keys = band_keys(*sets_of(b.column("text").to_pylist(), k), rows, bands).ravel()
             owner = np.repeat(np.arange(b.num_rows), bands)
             if known is not None:
-                one_, two = _bloom_bits(keys)
-                has = lambda x: (known[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
-                on = (has(one_) & has(two)).astype(bool)
+                on = bloom.passes(known, keys)
                 keys, owner = keys[on], owner[on]
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(at) for c in ("cls", "n"))], names=["key", "g", "n"])
