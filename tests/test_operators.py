@@ -173,28 +173,31 @@ def test_missing_verdicts_are_kept(spark):
 
 
 def test_upsert(spark):
-    old = spark.createDataFrame([("a", 1, "x", 0), ("b", 2, "y", 1)], "id string, n int, s string, o int")
-    new = spark.createDataFrame([("a", 138, None, 9), ("c", 3, "z", 10)], "id string, n int, s string, o int")
+    old = spark.createDataFrame([("k1", 5, "in", 0), ("k2", 6, "out", 1)], "id string, n int, s string, o int")
+    new = spark.createDataFrame([("k3", 8, "new", 10), ("k1", 77, None, 9)], "id string, n int, s string, o int")
     got = joins.upsert(old, new, "id", "o").orderBy("added", "o").select("id", "n", "s")
-    assert [tuple(r) for r in got.collect()] == [("a", 138, "x"), ("b", 2, "y"), ("c", 3, "z")]
+    assert [tuple(r) for r in got.collect()] == [("k1", 77, "in"), ("k2", 6, "out"), ("k3", 8, "new")]
 
 
 # ---------------------------------------------------------------- metrics
 
 
 def test_macro_f1(spark):
-    df = spark.createDataFrame([("a", "a"), ("a", None), ("b", "b"), ("b", "a")], "g string, p string")
+    df = spark.createDataFrame([("x", "x"), ("x", "x"), ("x", None), ("y", "x"), ("y", "q"), ("z", "z")], "g string, p string")
     r = metrics.intent_metrics(df, "g", "p").first()
-    assert r["accuracy"] == 0.5 and math.isclose(r["macro_f1"], (0.5 + 2 / 3) / 2)
+    # x: 2 right, 1 false, 1 missed; y: none right; z: all right; q is no gold class
+    assert r["accuracy"] == 0.5 and math.isclose(r["macro_f1"], (4 / 6 + 0 + 1) / 3)
 
 
-@pytest.mark.parametrize(("target", "want"), [(0.8, (0.6, 5 / 6, 0.8)), (1.0, (0.9, 1 / 6, 1.0))])
+@pytest.mark.parametrize(("target", "want"), [(0.75, (0.4, 0.8, 0.75)), (0.9, (0.95, 0.2, 1.0)), (0.6, (0.1, 1.0, 0.6))])
 def test_coverage(spark, target, want):
-    df = spark.createDataFrame([(0.9, True), (0.8, True), (0.8, target < 1), (0.7, target >= 1), (0.6, True), (0.5, False)], "c double, ok boolean")
-    if target < 1:
-        df = spark.createDataFrame([(0.9, True), (0.8, True), (0.8, True), (0.7, False), (0.6, True), (0.5, False)], "c double, ok boolean")
-    got = tuple(metrics.coverage_at(df, "c", F.col("ok"), target).first())
-    assert got == pytest.approx(want)
+    # two rows of one confidence count together
+    rows_ = [(0.95, True), (0.95, True), (0.7, True), (0.7, False), (0.6, True), (0.5, True), (0.4, True), (0.4, False), (0.1, False), (0.1, False)]
+    df = spark.createDataFrame(rows_, "c double, ok boolean")
+    assert tuple(metrics.coverage_at(df, "c", F.col("ok"), target).first()) == pytest.approx(want)
+    per = metrics.coverage_by(df.withColumn("g", F.lit("a")).unionByName(spark.createDataFrame([(0.5, False, "b")], "c double, ok boolean, g string")), "g", "c", F.col("ok"), target)
+    got = {r["g"]: tuple(r)[1:] for r in per.collect()}
+    assert got["a"] == pytest.approx(want) and got["b"] == (None, 0.0, None)
 
 
 def test_coverage_of_nothing(spark):
@@ -226,9 +229,10 @@ def test_bootstrap(spark):
 
 
 def test_select_checkpoint(spark):
-    df = spark.createDataFrame([("a", 0.90, 3.0), ("b", 0.89, 2.0), ("c", 0.895, 1.0), ("d", 0.5, 0.1)], "n string, s double, loss double")
-    assert metrics.select_checkpoint(df, "s", 0.01, F.col("loss")).first()["n"] == "c"
-    assert metrics.select_checkpoint(df, "s", 0.0, F.col("loss")).first()["n"] == "a"
+    df = spark.createDataFrame([("p", 0.71, 5.0), ("q", 0.75, 7.0), ("r", 0.74, 6.0), ("s", 0.2, 0.5)], "n string, s double, loss double")
+    assert metrics.select_checkpoint(df, "s", 0.02, F.col("loss")).first()["n"] == "r"
+    assert metrics.select_checkpoint(df, "s", 0.0, F.col("loss")).first()["n"] == "q"
+    assert metrics.select_checkpoint(df, "s", 0.05, F.col("loss")).first()["n"] == "p"
 
 
 def test_text_stats(spark):
@@ -237,34 +241,34 @@ def test_text_stats(spark):
 
 
 def test_latency(spark):
-    df = spark.range(20).select(F.col("id").cast("double").alias("x"))
-    assert tuple(df.agg(*metrics.latency("x")).first()) == (9.5, 18.0)
+    df = spark.range(50).select((F.col("id") * 2).cast("double").alias("x"))
+    assert tuple(df.agg(*metrics.latency("x")).first()) == (49.0, 94.0)
 
 
 # ---------------------------------------------------------------- tokens
 
 
 def test_windows_cover_every_target_once(spark):
-    df = spark.createDataFrame([(0, 10), (1, 7), (2, 3)], "s int, n long")
-    got = rows(tokens.window_index(df, "n", 3).select("s", "start"))
-    assert got == [(0, 0), (0, 3), (0, 6), (1, 0), (1, 3)]
+    df = spark.createDataFrame([(0, 14), (1, 5), (2, 4)], "s int, n long")
+    got = rows(tokens.window_index(df, "n", 4).select("s", "start"))
+    assert got == [(0, 0), (0, 4), (0, 8), (1, 0)]
 
 
 def test_shards(spark):
-    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate([30, 100, 0, 145, 7])], "i long, n long")
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate([25, 60, 0, 210, 5])], "i long, n long")
     off = tokens.running_offsets(df, "i", "n", buckets=2)
-    assert rows(off.select("i", "offset")) == [(0, 0), (1, 30), (2, 130), (3, 130), (4, 275)]
-    p = tokens.shard_pieces(off.withColumnRenamed("n", "m"), "m", 100)
-    assert rows(p.groupBy("shard").agg(F.sum("n"))) == [(0, 100), (1, 100), (2, 82)]
+    assert rows(off.select("i", "offset")) == [(0, 0), (1, 25), (2, 85), (3, 85), (4, 295)]
+    p = tokens.shard_pieces(off.withColumnRenamed("n", "m"), "m", 80)
+    assert rows(p.groupBy("shard").agg(F.sum("n"))) == [(0, 80), (1, 80), (2, 80), (3, 60)]
     assert tokens.running_offsets(df.limit(0), "i", "n").count() == 0
 
 
 def test_length_batches(spark):
     rng = random.Random(1)
-    df = spark.createDataFrame([(i, rng.randrange(5, 61), 0) for i in range(1000)], "i int, n int, g int")
-    got = tokens.length_batches(df, sampling.order_of(1, F.col("i")), "n", 8, 16, "g")
+    df = spark.createDataFrame([(i, rng.randrange(3, 90), 0) for i in range(900)], "i int, n int, g int")
+    got = tokens.length_batches(df, sampling.order_of(1, F.col("i")), "n", 9, 12, "g")
     per = got.groupBy("batch").agg(F.count(F.lit(1)).alias("c"), (F.max("n") - F.min("n")).alias("spread"))
-    assert got.count() == 1000 and per.agg(F.max("c")).first()[0] <= 16 and per.agg(F.avg("spread")).first()[0] < 10
+    assert got.count() == 900 and per.agg(F.max("c")).first()[0] <= 12 and per.agg(F.avg("spread")).first()[0] < 15
 
 
 def test_examples_and_padding(spark):
@@ -282,10 +286,10 @@ def one(spark, col, value):
 
 @pytest.mark.parametrize(
     ("answer", "parsed", "valid"),
-    [('{"intent": "other", "reply": "ok"}', True, True), ('{"intent": "new", "reply": "ok"}', True, False), ('{"intent": "other", "reply": "ok", "x": 1}', True, False), ('{"intent": "oth', False, False), ("[1, 2]", True, False), ('{"intent": "other", "reply": 1}', True, False), ('{"intent": "other", "reply": "a"} x', False, False), ('{"intent": "new", "intent": "other", "reply": "a"}', True, True), ("NaN", True, False), (None, False, False)],
+    [('{"reply": "yes", "intent": "tea"}', True, True), ('{"intent": "rum", "reply": "yes"}', True, False), ('{"intent": "tea", "reply": "yes", "why": null}', True, False), ('{"intent": "te', False, False), ('"tea"', True, False), ('{"intent": "tea", "reply": 7}', True, False), ('{"intent": "tea", "reply": "yes"} .', False, False), ("", False, False), (None, False, False)],
 )
 def test_parse_answer(spark, answer, parsed, valid):
-    r = one(spark, lambda c: jsonio.parse_answer(c, ["other"]), answer)
+    r = one(spark, lambda c: jsonio.parse_answer(c, ["tea"]), answer)
     assert (r["parsed"], r["valid"]) == (parsed, valid)
 
 
@@ -402,7 +406,7 @@ def test_stream_counts(spark, tmp_path):
 
 
 DOCS = [
-    "My card was declined at the shop this morning", "MY CARD was declined at the shop this morning", "My card was declined at the shop this morning today", "ok", " ".join(["yes"] * 8), "وين الطلب مالي ما وصل لين الحين", "call me on 050 123 4567 please about the order", None, "1234 5678 !!!!!!",
+    "The red kite flew over the hill at dawn", "THE RED kite flew over the hill at dawn", "The red kite flew over the hill at dawn alone", "tea", " ".join(["ring"] * 9), "الجو اليوم صافي على الجبل والبحر", "write to 056 987 6543 when the kite is down", None, "2024 ... 0808 ??",
 ]
 
 
@@ -412,7 +416,7 @@ def test_pipeline(spark):
     status = {r["doc_id"]: r["status"] for r in out.collect()}
     assert status == {0: "kept", 1: "drop_exact_dup", 2: "drop_near_dup", 3: "drop_too_short", 4: "drop_repetitive", 5: "kept", 6: "kept", 7: "drop_too_short", 8: "drop_low_letter_ratio"}
     assert sum(r["docs"] for r in pipeline_stats(out).collect()) == len(DOCS)
-    assert not out.where("text like '%4567%'").count()
+    assert not out.where("text like '%6543%'").count()
     assert rows(run_pipeline(df.repartition(3), "doc_id", SMOKE).select("doc_id", "status")) == rows(out.select("doc_id", "status"))
 
 
@@ -449,8 +453,8 @@ def test_assembly(spark):
     verdicts = spark.createDataFrame([(1, "OK"), (3, "BROKEN")], "i int, verdict string")
     assert rows(joins.rewrites(new, fixed, verdicts, ["i"], "t", "OK").select("i", "t", "rewritten")) == [(1, "x", True), (2, "A", False), (3, "b", False), (4, "c", False)]
     assert rows(joins.next_ids(spark.createDataFrame([("b",), ("a",)], "n string"), spark.createDataFrame([("t0009",)], "id string"), "id", "n")) == [("a", "t0010"), ("b", "t0011")]
-    df = spark.createDataFrame([("where is my order",), ("something else entirely",)], "t string")
-    assert [r[0] for r in df.select(dedup.example_copies(df, ["Where is my order?"], "t", 0.7)).collect()] == [True, False]
+    df = spark.createDataFrame([("two boxes of green tea",), ("a very long road to the sea",)], "t string")
+    assert [r[0] for r in df.select(dedup.example_copies(df, ["Two boxes of green TEA!"], "t", 0.7)).collect()] == [True, False]
 
 
 def test_buckets_follow_the_numbers(spark):
