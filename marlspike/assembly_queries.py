@@ -554,9 +554,8 @@ def pieces_per_word(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH x AS (SELECT doc_id, {_POINTS_SQL} AS t FROM documents WHERE length(text) > 128), w AS (SELECT doc_id, t, unnest(range(0, len(t) - 128, 128)) AS start FROM x)
 SELECT doc_id AS shard, start, list_sum(t[start + 1:start + 129])::BIGINT AS checksum FROM w""")
 def gathered_windows(spark: SparkSession, d: str) -> DataFrame:
-    shards = cut(_docs(spark, d).where("length(text) > 128").select(F.col("doc_id").alias("shard"), _points(F.col("text")).alias("t")))
-    w = tokens.window_index(shards.select("shard", F.size("t").cast("bigint").alias("n")), "n", 128).select("shard", "start")
-    return tokens.gather_windows(w, shards, "t", 128).select("shard", "start", F.aggregate("window", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"))
+    shards = _docs(spark, d).where("length(text) > 128").select(F.col("doc_id").alias("shard"), _points(F.col("text")).alias("t"))
+    return tokens.cut_windows(shards, "t", 128).select("shard", "start", F.aggregate("window", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, list_transform(string_split(substring(text, 1, 30), ''), lambda x: unicode(x)) AS t FROM documents WHERE length(text) > 0),

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from marlspike.operators.ranks import BUCKETS, hash_bucket, range_bucket, ranked, running
+from marlspike.session import merged, settled
 
 
 def running_offsets(df: DataFrame, order: str, size: str, buckets: int = BUCKETS) -> DataFrame:
@@ -89,9 +90,26 @@ def sample_windows(df: DataFrame, length: str, seq: int, draws: int, seed: int)
 
 
 def gather_windows(windows: DataFrame, shards: DataFrame, tokens: str, seq: int) -> DataFrame:
-    """``windows`` (``shard``, ``start``) with ``window``, the ``seq`` + 1 tokens from there."""
-    held = shards.select("shard", F.col(tokens).alias("_t"))
-    return windows.join(held, "shard").withColumn("window", F.slice("_t", (F.col("start") + 1).cast("int"), seq + 1)).drop("_t")
+    """``windows`` (``shard``, ``start``) with ``window``, the ``seq`` + 1 tokens from there, from one row a shard.
+
+    For windows drawn apart from the shards; all windows of a shard come from ``cut_windows`` without a join.
+    """
+    held = merged(shards.select("shard", F.col(tokens).alias("_t")))
+    return windows.join(held, "shard").withColumn("window", settled(F.slice("_t", (F.col("start") + 1).cast("int"), seq + 1))).drop("_t")
+
+
+def cut_windows(df: DataFrame, tokens: str, seq: int) -> DataFrame:
+    """The windows of ``window_index``, ``start`` and ``window``, of every row, in place of its ``tokens``.
+
+    Each row's windows are cut where its tokens are, so nothing moves, whatever its key; a row's work is in proportion
+    to its tokens.
+    """
+    kept = [c for c in df.columns if c != tokens]
+    # the tokens are read once for every window
+    held = df.select(*kept, settled(F.col(tokens)).alias("_t")).where(F.size("_t") > seq)
+    starts = F.sequence(F.lit(0).cast("long"), (F.size("_t") - seq - 1).cast("long"), F.lit(seq).cast("long"))
+    cut_ = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("_t", (s + 1).cast("int"), seq + 1).alias("window")))
+    return held.select(*kept, F.inline(cut_))
 
 
 def shifted(ids: Column, labels: Column, size: int, pad: Column, ignore: int = -100) -> tuple[Column, Column]:

@@ -254,6 +254,23 @@ def test_windows_cover_every_target_once(spark):
     assert got == [(0, 0), (0, 4), (0, 8), (1, 0)]
 
 
+def test_windows_are_cut_where_their_tokens_are(spark):
+    # keys that repeat or are missing keep the windows of each of their rows
+    data = [(0, list(range(14))), (1, list(range(50, 55))), (1, list(range(60, 65))), (None, list(range(70, 75))), (2, [1, 2, 3, 4]), (3, []), (4, None)]
+    got = tokens.cut_windows(spark.createDataFrame(data, "s int, t array<int>"), "t", 4)
+    assert got.columns == ["s", "start", "window"]
+    want = [(0, i, list(range(i, i + 5))) for i in (0, 4, 8)] + [(s, 0, list(range(a, a + 5))) for s, a in ((1, 50), (1, 60), (None, 70))]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_shards_never_meet_their_windows_in_a_broadcast_join(spark):
+    shards = spark.range(3).select(F.col("id").alias("shard"), F.transform(F.sequence(F.lit(0), F.lit(20)), lambda x: x + F.col("id") * 100).alias("t")).checkpoint()
+    windows = spark.createDataFrame([(0, 0), (2, 16), (2, 3), (2, 3)], "shard long, start long")
+    got = tokens.gather_windows(windows, shards, "t", 4)
+    assert rows(got) == [(0, 0, list(range(5))), (2, 3, list(range(203, 208))), (2, 3, list(range(203, 208))), (2, 16, list(range(216, 221)))]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shards(spark):
     df = spark.createDataFrame([(i, int(n)) for i, n in enumerate([25, 60, 0, 210, 5])], "i long, n long")
     off = tokens.running_offsets(df, "i", "n", buckets=2)

@@ -62,3 +62,13 @@ def test_sources_fill_up_to_their_own_target(spark, tmp_path):
     d = written(spark, tmp_path, "hub_rows", [(f"{s}{i}", s, "x" * 30) for s in "abc" for i in range(10)], "row_id string, source string, text string")
     # the row that crosses 100 is in; b has less than its target, c has none
     assert rows(Q.until_target_chars(spark, d).groupBy("source").count()) == [("a", 4), ("b", 10), ("c", 10)]
+
+
+def test_windows_of_all_rows_without_a_join(spark, tmp_path):
+    texts = [(1, "é" * 300), (1, "b" * 129), (None, "c" * 257), (2, "d" * 128), (3, None), (4, "")]
+    d = written(spark, tmp_path, "documents", texts, "doc_id long, text string")
+    got = Q.queries()["gathered_windows"](spark, d)
+    want = [(1, 0, 129 * 233), (1, 0, 129 * 98), (1, 128, 129 * 233), (None, 0, 129 * 99), (None, 128, 129 * 99)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
